@@ -37,10 +37,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def words_of(text) -> F.Column:
     """Array of the text's words (WORD), built-in functions only; null text: empty array."""
-    plain = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
+    plain = F.coalesce(text, F.lit(""))
+    for space in SPACES[1:]:
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
     return F.array_remove(F.split(plain, " "), "")
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The row as one struct `_row` beside the named columns, so that no other column of it can clash; null structs never occur."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *columns)
+
+
 def rows_under(df: DataFrame, most: int) -> bool:
     """Whether `df` has at most `most` rows; reads no more than it must to tell."""
     return df.limit(most + 1).count() <= most

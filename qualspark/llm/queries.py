@@ -33,22 +33,47 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every contaminated document: doc_id, item_ids (benchmark items), score (the best alignment, 0 to 1)."""
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_ids", "score")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_quality_rules, fit_quality_rules
+
+    docs = _table(spark, sf_dir, "documents")
+    rules = fit_quality_rules(docs, _table(spark, sf_dir, "labels"))
+    stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return apply_quality_rules(docs.select("doc_id", "text"), rules).select("doc_id", *(F.col(f"stats.{c}").alias(c) for c in stats), "base_failed", "kept", "rule")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from flat u16 files without an index: doc_id, ordinal (in its file), start, n_tokens."""
     from .common import materialize
     from .token_counts import scan_separators
     from .token_store import write_store
 
-    manifest = write_store(_table(spark, sf_dir, "documents"), _tokenizer(), END_OF_DOCUMENT, dtype="<u2", special_as_text=True, index=False)
+    manifest = write_store(_table(spark, sf_dir, "documents"), _tokenizer(), END_OF_DOCUMENT, dtype="<u2", special_as_text=True, index=False, ordered=False)
     keys = manifest.select("path", F.posexplode("keys").alias("ordinal", "doc_id"))
     found = materialize(scan_separators(manifest.select("path"), END_OF_DOCUMENT, dtype="<u2"), "token-counts")
     return keys.join(found, ["path", "ordinal"]).select("doc_id", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("ordinal").cast("long").alias("ordinal"), "start", "n_tokens")
 
 
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_to_weights
+
+    return mix_to_weights(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "op9_mix": op9_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}

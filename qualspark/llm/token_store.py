@@ -31,14 +31,19 @@ _MAGIC = b"TOKSHRD1"
 _MANIFEST = "shard int, path string, n_docs long, n_ids long, first_key long, last_key long, keys array<long>"
 
 
-def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, *, dtype: str = "<u4", special_as_text: bool = False, index: bool = True, out: str | None = None) -> DataFrame:
+def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, *, dtype: str | None = None, special_as_text: bool = False, index: bool = True, ordered: bool = True, out: str | None = None) -> DataFrame:
     """Encode `docs` (doc_id long, text string; other columns are ignored) into shards under `out`.
 
     Returns the manifest, one row per shard: shard (ascending with the keys), path, n_docs, n_ids, first_key,
     last_key. Rows are spread by (doc_id, input order), so a key that repeats a lot spans shards.
+    Ids are stored in `dtype`, by default two bytes each where the vocabulary and the end id allow it, else four.
+    With ordered=False shards are the input's partitions as they are, without a shuffle, and keys may come in any order.
     With index=False the files are flat, payload only, and the manifest's `keys` lists the shard's documents in order.
     """
     out = out or scratch(docs.sparkSession, "tokens")
+    if index and not ordered:
+        raise ValueError("an index needs ordered keys")
+    dtype = dtype or id_type(tokenizer_path, end_id)
     width = np.dtype(dtype).itemsize
 
     def write(batches):
@@ -74,11 +79,19 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, *, dtype: str
             | {k: pa.array([int(v[i]) if len(v) else None], pa.int64()) for k, v, i in (("first_key", known, 0), ("last_key", known, -1))}
         ).select(["shard", "path", "n_docs", "n_ids", "first_key", "last_key", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_at", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange("doc_id", "_at").sortWithinPartitions("doc_id", "_at").select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ordered:
+        rows = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange("doc_id", "_at").sortWithinPartitions("doc_id", "_at").select("doc_id", "text")
     return materialize(rows.mapInArrow(write, _MANIFEST), "token-manifest")
 
 
+def id_type(tokenizer_path: str, end_id: int) -> str:
+    """The narrowest of u16 and u32 that holds every id."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def _index(keys: np.ndarray, nulls: np.ndarray, offsets: np.ndarray, width: int) -> bytes:
     known = np.flatnonzero(nulls == 0)
     distinct, first = np.unique(keys[known].astype(np.uint64), return_index=True)
@@ -100,6 +113,7 @@ class Shard:
         magic, self.width, n, self.n_ids, distinct, hashed = _FOOTER.unpack(read_range(self._file, size - _FOOTER.size, _FOOTER.size))
         if magic != _MAGIC:
             raise ValueError(f"{uri} is not a token shard")
+        self.dtype = f"<u{self.width}"
         start = self.n_ids * self.width
         raw, at = read_range(self._file, start, size - _FOOTER.size - start), 0
         parts = []
@@ -153,10 +167,10 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                 sizes, crcs, step = np.diff(shard.offsets), np.empty(n, dtype=np.int64), 256
                 for a in range(0, n, step):
                     b = min(n, a + step)
-                    run, base = shard.ids(a, b - a), int(shard.offsets[a])
+                    wide = memoryview(np.frombuffer(shard.ids(a, b - a), shard.dtype).astype("<u4").view(np.uint8))
+                    bounds = 4 * (shard.offsets[a : b + 1] - shard.offsets[a])
                     for k in range(a, b):
-                        at = (int(shard.offsets[k]) - base) * shard.width
-                        crcs[k] = zlib.crc32(run[at : at + int(sizes[k]) * shard.width])
+                        crcs[k] = zlib.crc32(wide[bounds[k - a] : bounds[k - a + 1]])
                 at = order
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -190,11 +204,10 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
         for part in rows:
             for uri, own in part.groupby("path"):
                 shard = Shard(uri)
-                dtype = {2: "<u2", 4: "<u4"}[shard.width]
                 out = []
                 for key, at in zip(own["doc_id"], shard.ordinals(own["doc_id"].to_numpy(np.int64)), strict=True):
                     while 0 <= at < len(shard.keys) and shard.keys[at] == key and not shard.nulls[at]:
-                        out.append((key, np.frombuffer(shard.ids(at), dtype).astype(np.int64)))
+                        out.append((key, np.frombuffer(shard.ids(at), shard.dtype).astype(np.int64)))
                         at += 1
                 yield pd.DataFrame(out, columns=["doc_id", "ids"])
 
