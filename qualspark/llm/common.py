@@ -43,6 +43,14 @@ def words_of(text) -> F.Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def once(df: DataFrame, name: str, value: F.Column) -> DataFrame:
+    """`df` with column `name`, computed once per row: an optimizer that inlines it would compute it per array element.
+
+    A generator over an array of one is where projections stop being merged and filters stop being pushed down.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def packed(docs: DataFrame, *columns: str) -> DataFrame:
     """The row as one struct `_row` beside the named columns, so that no other column of it can clash; null structs never occur."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *columns)

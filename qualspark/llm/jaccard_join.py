@@ -6,7 +6,7 @@ Each document lengthens its prefix, within a window of its smallest hashes, as f
 
 - shingles in very many windows ("frequent") cost most. A document takes the shortest prefix that holds one match
   more than it holds frequent shingles; every link then shows in a rare one, and only rare ones are posted.
-- from there it may take a second and third match, if the rarer candidates save more than the longer prefix costs.
+- from there it may ask for more matches (MATCHES), if the rarer candidates save more than the longer prefix costs.
 - a document whose window is mostly frequent shingles (a member of a large family of near copies) posts its plain
   prefix, frequent ones too, and meets all that post the same shingle there.
 
@@ -28,7 +28,9 @@ from .components import connected_components
 from .shingles import shingle_set
 
 #: A shingle in this many windows or more is frequent.
-FREQUENT = 24
+FREQUENT = 10
+#: Rare matches that a document may ask for.
+MATCHES = (1, 2, 3, 5, 8)
 #: What verifying one candidate costs, in postings read.
 VERIFY = 20
 #: Rows up to which the ids of candidate nodes are broadcast; above, the join is shuffled.
@@ -84,18 +86,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
     def sets(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()
         for batch in batches:
             kept, out = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = shingle_set(text.as_py(), width)
-                if xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63 == node:  # else another row that repeats the id
+                if node not in seen and xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63 == node:  # else a row that repeats the id
+                    seen.add(node)
                     kept.append(node)
                     out.append(own.view(np.int64))
             yield pa.RecordBatch.from_pydict({"node": pa.array(kept, pa.int64()), "own": pa.array(out, pa.list_(pa.int64()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_rep"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(sized_broadcast(wanted, BROADCAST_ROWS), "_rep")
-    whole = materialize(rows.select("_node", "text").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]), "jaccard-sets")
+    whole = materialize(rows.select("_node", "text").mapInArrow(sets, "node long, own array<long>"), "jaccard-sets")
     left = pairs.join(whole.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(whole.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
     met = both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("met"), (F.size("own_a").cast("long") + F.size("own_b")).alias("total"))
@@ -137,12 +141,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
         rare = F.aggregate("posts", F.lit(0.0), lambda s, p: s + F.when((p["pos"] < F.col(f"reach{k}")) & (p["often"] < FREQUENT), p["often"] - 1).otherwise(0))
         return F.when(F.col(f"reach{k}").isNotNull(), rare * (1 + VERIFY / k**2))
 
-    per_node = per_node.select("*", *(reach(k).alias(f"reach{k}") for k in (1, 2, 3)))
-    per_node = per_node.select("*", *(cost(k).alias(f"cost{k}") for k in (1, 2, 3)))
-    least = F.least("cost1", "cost2", "cost3")
-    matches = F.when(F.col("family"), 1).when(F.col("cost1") == least, 1).when(F.col("cost2") == least, 2).otherwise(3)
-    per_node = per_node.withColumn("matches", matches)
-    length = F.when(F.col("family"), F.col("plain")).otherwise(F.element_at(F.array("reach1", "reach2", "reach3"), F.col("matches")))
+    per_node = per_node.select("*", *(reach(k).alias(f"reach{k}") for k in MATCHES))
+    per_node = per_node.select("*", *(cost(k).alias(f"cost{k}") for k in MATCHES))
+    options = F.array(*(F.struct(F.col(f"cost{k}").alias("cost"), F.lit(k).alias("k"), F.col(f"reach{k}").alias("reach")) for k in MATCHES))
+    per_node = per_node.withColumn("choice", F.array_min(F.filter(options, lambda o: o["cost"].isNotNull())))
+    per_node = per_node.withColumn("matches", F.coalesce(F.col("choice.k"), F.lit(1)))
+    length = F.when(F.col("family"), F.col("plain")).otherwise(F.col("choice.reach"))
     post = per_node.select("node", "n", "family", "matches", "share", "plain", length.alias("length"), F.explode("posts").alias("p"))
     post = post.select("node", "n", "family", "matches", "share", "p.token", (F.col("p.often") >= FREQUENT).alias("frequent"), (F.col("p.pos") < F.col("length")).alias("taken"), (F.col("p.pos") < F.col("plain")).alias("in_plain"))
     post = materialize(post.where((F.col("taken") & (F.col("family") | ~F.col("frequent"))) | F.col("in_plain")), "jaccard-posts")
@@ -153,9 +157,11 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
         return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
     def hubs(of: DataFrame) -> DataFrame:
-        """Each node with the most shared node of each of its lists, if sizes allow."""
+        """Each node with the most shared node of its lists, if sizes allow and a third of its lists name it: likely links, not all."""
         best = of.groupBy("token").agg(F.max(F.struct("share", "n", "node")).alias("h")).select("token", F.col("h.node").alias("b"), F.col("h.n").alias("m"))
-        return of.join(best, "token").where(near("n", "m")).select(F.col("node").alias("a"), "b")
+        named = of.join(best, "token").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("votes"), F.first("n").alias("n"), F.first("m").alias("m"))
+        posts = of.groupBy(F.col("node").alias("a")).agg(F.count("*").alias("posts"))
+        return named.where((F.col("a") != F.col("b")) & near("n", "m")).join(posts, "a").where("3 * votes >= posts").select("a", "b")
 
     families = post.where("family and in_plain")
     verify = lambda pairs: _verified(pairs, docs, reps, width, num, den)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, rows_under, words_of
+from .common import SPACES, once, rows_under, words_of
 
 #: Labelled rows that rules are learned from, at most; taken in the order of a hash of the id.
 SAMPLE_ROWS = 8_000
@@ -43,21 +43,21 @@ def with_text_stats(docs: DataFrame) -> DataFrame:
     Null and empty texts have zeros. All in built-in functions; nothing leaves the row, however long the text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    staged = docs.withColumn("_t", text).withColumn("_w", words_of(F.col("_t"))).withColumn("_f", _folded(F.col("_t")))
-    staged = staged.withColumn("_n", F.size("_w"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
+    staged = docs.select("*", F.inline(F.array(F.struct(words_of(text).alias("_w"), _folded(text).alias("_f"), lines.alias("_l")))))
     triple = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
-    empty = F.array().cast("array<bigint>")
-    staged = staged.withColumn("_g", F.when(F.col("_n") >= 3, F.transform(F.sequence(F.lit(0), F.col("_n") - 3), triple)).otherwise(empty))
+    n, empty = F.size("_w"), F.array().cast("array<bigint>")
+    staged = once(staged, "_g", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), triple)).otherwise(empty))
     # Most texts repeat no window. In those that do, equal hashes stand side by side once sorted with their places.
-    staged = staged.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    places = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    staged = once(staged, "_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), places))
     beside = lambda x, k: F.coalesce(F.get("_s", k)["h"] == x["h"], F.lit(False))
     at = F.sort_array(F.transform(F.filter("_s", lambda x, i: beside(x, i - 1) | beside(x, i + 1)), lambda x: x["i"]))
-    staged = staged.withColumn("_p", F.when(F.col("_s").isNotNull(), at).otherwise(F.array().cast("array<int>")))
+    staged = once(staged, "_p", F.when(F.col("_s").isNotNull(), at).otherwise(F.array().cast("array<int>")))
     covered = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x)
-    staged = staged.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0))
     f = F.col("_f")
     stats = F.struct(
-        F.col("_n").cast("long").alias("n_words"),
+        n.cast("long").alias("n_words"),
         F.length(F.replace(f, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         _count_of(f, "#").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -68,7 +68,7 @@ def with_text_stats(docs: DataFrame) -> DataFrame:
         _count_of(f, "!").alias("n_marks"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
     )
-    return staged.withColumn("stats", stats).drop("_t", "_w", "_f", "_n", "_g", "_s", "_p", "_l")
+    return once(staged, "stats", stats).drop("_w", "_f", "_l", "_g", "_s", "_p")
 
 
 def base_failed(stats: Column = None) -> Column:

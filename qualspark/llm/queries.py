@@ -33,6 +33,18 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_report
+
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every contaminated document: doc_id, item_ids (benchmark items), score (the best alignment, 0 to 1)."""
     from .decontaminate import contaminated
@@ -61,19 +73,37 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.join(found, ["path", "ordinal"]).select("doc_id", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("ordinal").cast("long").alias("ordinal"), "start", "n_tokens")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import read_packages, write_packages
+
+    return read_packages(write_packages(_table(spark, sf_dir, "pages")))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_to_weights
 
     return mix_to_weights(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its own and its site's quality; a source is a host, a language of it a path."""
+    from .site_quality import site_quality
+
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return site_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), path)
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_toxicity": op3_toxicity,
+    "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
     "op9_mix": op9_mix,
+    "op10_site_quality": op10_site_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
