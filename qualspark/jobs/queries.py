@@ -1,6 +1,379 @@
-"""Registered queries over the given tables, and their SQL."""
+"""Registered queries over the given tables: name -> (spark, sf_dir) -> DataFrame, and the SQL each is held against."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names, phred
+from ..operators import align, bases, calibration, model, regression, report
+from . import synthetic as syn
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bases.corrected_bases(syn.documents_reads(spark, sf_dir))
+
+
+def _finest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.finest_counts(_bases(spark, sf_dir))
+
+
+# --- SQL that several oracles share -------------------------------------------------------------------------------
+_B = "WITH " + syn.BASES_SQL
+_A = "WITH " + syn.ALIGNED_SQL
+_SUMS = "CAST(sum(CAST(error AS BIGINT)) AS BIGINT) AS errors, count(*) AS total"
+_COUNTS = _B + f", counts AS (SELECT rg, q, cycle, dinuc, {_SUMS} FROM bases WHERE NOT skip GROUP BY ALL)"
+_P = ", ".join(f"CAST('{phred.double_p(q)}' AS DECIMAL(27,26))" for q in range(43))
+_T = ", ".join(f"CAST('{phred.true_p(q)}' AS DECIMAL(27,26))" for q in range(1, 43))
+_ADD = "CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(total) AS BIGINT) AS total"
+_MEANS = f"""means AS (SELECT rg, CAST(len(list_filter([{_T}], lambda t: s <= t * CAST(n AS DECIMAL(10,0)))) AS INTEGER) AS mean_q FROM
+  (SELECT rg, sum(list_extract([{_P}], q + 1) * CAST(total AS DECIMAL(10,0))) AS s, sum(total) AS n FROM (SELECT rg, q, sum(total) AS total FROM counts GROUP BY ALL) GROUP BY rg))"""
+
+
+def _post(source: str, keys: str) -> str:
+    """SELECT of `source` (with prior, errors, total) plus `post`, the posterior quality."""
+    fit = "(errors + 1) * ln(pow(10, -c / 10.0)) + (total - errors + 1) * ln(1 - pow(10, -c / 10.0)) - 2.0 * abs(trunc(c - prior)) * abs(trunc(c - prior))"
+    return f"""(SELECT * EXCLUDE (fit, c), CAST(c AS INTEGER) AS post FROM (SELECT x.*, c, CASE WHEN abs(trunc(c - prior)) < 19 THEN {fit} ELSE '-infinity'::DOUBLE END AS fit
+      FROM {source} x, (SELECT unnest(range(1, 43)) AS c)) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY fit DESC, c) = 1)"""
+
+
+_MODEL = f"""{_COUNTS}, {_MEANS},
+g0 AS (SELECT rg, mean_q, mean_q AS prior, {_ADD} FROM counts JOIN means USING (rg) GROUP BY rg, mean_q),
+g AS (SELECT rg, mean_q, post FROM {_post('g0', 'rg')}),
+h0 AS (SELECT c.rg, c.q, g.post AS prior, {_ADD} FROM counts c JOIN g USING (rg) GROUP BY c.rg, c.q, g.post),
+h AS (SELECT * FROM {_post('h0', 'rg, q')}),
+y0 AS (SELECT c.rg, c.q, c.cycle, h.post AS prior, CAST(sum(c.errors) AS BIGINT) AS errors, CAST(sum(c.total) AS BIGINT) AS total FROM counts c JOIN h ON c.rg = h.rg AND c.q = h.q GROUP BY c.rg, c.q, c.cycle, h.post),
+y AS (SELECT * FROM {_post('y0', 'rg, q, cycle')}),
+d0 AS (SELECT c.rg, c.q, c.dinuc, h.post AS prior, CAST(sum(c.errors) AS BIGINT) AS errors, CAST(sum(c.total) AS BIGINT) AS total FROM counts c JOIN h ON c.rg = h.rg AND c.q = h.q WHERE c.dinuc >= 0 GROUP BY c.rg, c.q, c.dinuc, h.post),
+d AS (SELECT * FROM {_post('d0', 'rg, q, dinuc')})"""
+_ACTUAL = "CASE WHEN {e} = 0 THEN 42 ELSE greatest(0, least(42, CAST(trunc(-10 * log10({e} / CAST({n} AS DOUBLE))) AS INTEGER))) END"
+_ERRORS = f"""{_A}, {syn.SITES_SQL},
+ref AS (SELECT chrom, CAST(p AS INTEGER) AS pos, substring(corrected, p - k * {syn.READ} + 1, 1) AS base FROM (SELECT chrom, k, corrected, unnest(range(k * {syn.READ}, k * {syn.READ} + length(corrected))) AS p FROM reads)),
+inside AS (SELECT DISTINCT r.chrom, r.pos FROM ref r JOIN bed ON bed.chrom = r.chrom AND r.pos >= bed.a AND r.pos < bed.b),
+skipped AS (SELECT chrom, pos FROM variants UNION SELECT r.chrom, r.pos FROM ref r ANTI JOIN inside i ON r.chrom = i.chrom AND r.pos = i.pos),
+sites AS (SELECT p.*, p.pos + ref_off AS site FROM pairs p),
+flags AS (
+  SELECT s.rec, s.read_pos, coalesce(substring(s.seq, CAST(s.read_pos AS BIGINT) + 1, 1) <> r.base, false) AS error, k.pos IS NOT NULL AS skip FROM sites s LEFT JOIN ref r ON r.chrom = s.chrom AND r.pos = s.site LEFT JOIN skipped k ON k.chrom = s.chrom AND k.pos = s.site WHERE op = 'M'
+  UNION ALL SELECT rec, read_pos, false, true FROM pairs WHERE op = 'S'
+  UNION ALL SELECT w.rec, w.read_at + j, false, w.hit FROM (SELECT w.rec, w.read_at, a.pos IS NOT NULL AND b.pos IS NOT NULL AS hit, unnest(range(0, n)) AS j FROM walk w LEFT JOIN skipped a ON a.chrom = w.chrom AND a.pos = w.pos + ref_at - 1 LEFT JOIN skipped b ON b.chrom = w.chrom AND b.pos = w.pos + ref_at WHERE op = 'I') w
+  UNION ALL SELECT s.rec, w.read_at - 1, false, true FROM sites s JOIN walk w ON w.rec = s.rec AND w.k = s.k JOIN skipped k ON k.chrom = s.chrom AND k.pos = s.site WHERE s.op = 'D' AND w.read_at > 0),
+found AS (SELECT rec, read_pos, bool_or(error) AS error, bool_or(skip) AS skip FROM flags GROUP BY rec, read_pos)"""
+_BOUND = """CASE WHEN tlen <> 0 AND reverse <> mate_reverse THEN coalesce(CASE WHEN reverse AND aln_end - 1 > pnext THEN pnext - 1 END, CASE WHEN NOT reverse AND pos <= pnext + tlen THEN pos + abs(tlen) END) END"""
+_BOUNDS = f"""bounds AS (SELECT *, {_BOUND} AS boundary FROM (SELECT a.rec, a.pos, a.reverse, a.tlen, a.pnext, rec % 7 <> 3 AND NOT reverse OR rec % 7 = 3 AND reverse AS mate_reverse,
+  a.pos + (SELECT CAST(sum(CASE WHEN op IN ('M','D') THEN n ELSE 0 END) AS INTEGER) FROM ops o WHERE o.rec = a.rec) AS aln_end FROM aligned a))"""
+_TRIM = f"""{_A}, {_BOUNDS},
+tp AS (SELECT p.rec, p.k, p.j, p.read_pos, p.reverse, p.pos + p.ref_off AS site, b.boundary FROM pairs p JOIN bounds b ON b.rec = p.rec WHERE b.boundary IS NOT NULL),
+place AS (SELECT rec, max(CASE WHEN reverse AND site <= boundary THEN k * 1000000 + j END) AS last, min(CASE WHEN NOT reverse AND site >= boundary THEN k * 1000000 + j END) AS first, min(site) AS low, max(site) AS high FROM tp GROUP BY rec),
+gone AS (SELECT DISTINCT rec, read_pos FROM tp JOIN place USING (rec) WHERE read_pos IS NOT NULL AND CASE WHEN reverse THEN boundary >= low AND k * 1000000 + j <= last ELSE boundary <= high AND k * 1000000 + j >= first END)"""
+
+
+# --- counts --------------------------------------------------------------------------------------------------------
+@_query(_B + f" SELECT rg, {_SUMS} FROM bases WHERE NOT skip GROUP BY rg")
+def cov_rg(spark, sf_dir):
+    return model.level_counts(_finest(spark, sf_dir), "rg")
+
+
+@_query(_B + f" SELECT rg, q, {_SUMS} FROM bases WHERE NOT skip GROUP BY rg, q")
+def cov_q(spark, sf_dir):
+    return model.level_counts(_finest(spark, sf_dir), "rg", "q")
+
+
+@_query(_B + f" SELECT rg, q, cycle, {_SUMS} FROM bases WHERE NOT skip GROUP BY rg, q, cycle")
+def cov_cycle(spark, sf_dir):
+    return model.level_counts(_finest(spark, sf_dir), "rg", "q", "cycle")
+
+
+@_query(_B + f" SELECT rg, q, dinuc, {_SUMS} FROM bases WHERE NOT skip AND dinuc >= 0 GROUP BY rg, q, dinuc")
+def cov_dinuc(spark, sf_dir):
+    return model.level_counts(_finest(spark, sf_dir), "rg", "q", "dinuc")
+
+
+@_query(
+    _B
+    + f""" SELECT 'rg' AS level, rg, CAST(NULL AS INTEGER) AS q, CAST(NULL AS INTEGER) AS cycle, CAST(NULL AS INTEGER) AS dinuc, {_SUMS} FROM bases WHERE NOT skip GROUP BY rg
+    UNION ALL SELECT 'q', rg, q, NULL, NULL, {_SUMS} FROM bases WHERE NOT skip GROUP BY rg, q
+    UNION ALL SELECT 'cycle', rg, q, cycle, NULL, {_SUMS} FROM bases WHERE NOT skip GROUP BY rg, q, cycle
+    UNION ALL SELECT 'dinuc', rg, q, NULL, dinuc, {_SUMS} FROM bases WHERE NOT skip AND dinuc >= 0 GROUP BY rg, q, dinuc"""
+)
+def cov_grouping_sets(spark, sf_dir):
+    return model.grouping_set_counts(_bases(spark, sf_dir))
+
+
+@_query(_B + " SELECT rg, max(length(seq)) AS longest, max(q) AS most_q, count(DISTINCT dinuc) FILTER (dinuc >= 0) AS n_dinucs FROM bases JOIN (SELECT rec, seq FROM reads) USING (rec) GROUP BY rg")
+def model_sizes(spark, sf_dir):
+    rows = bases.explode_bases(syn.documents_reads(spark, sf_dir))
+    longest = F.max(F.when(F.col("cycle") >= 0, F.col("cycle") + 1).otherwise(-F.col("cycle"))).cast("long")
+    seen = F.countDistinct(F.when(F.col("dinuc") >= 0, F.col("dinuc")))
+    return rows.groupBy("rg").agg(longest.alias("longest"), F.max("q").alias("most_q"), seen.alias("n_dinucs"))
+
+
+# --- model ---------------------------------------------------------------------------------------------------------
+@_query(f"{_COUNTS}, {_MEANS} SELECT rg, mean_q FROM means")
+def mean_q(spark, sf_dir):
+    return model.mean_qualities(model.level_counts(_finest(spark, sf_dir), "rg", "q"))
+
+
+@_query(_MODEL + " SELECT rg, mean_q, post - mean_q AS delta FROM g")
+def delta_rg(spark, sf_dir):
+    return model.fit_model(_bases(spark, sf_dir)).rg.select("rg", "mean_q", "delta")
+
+
+@_query(_MODEL + " SELECT rg, q, errors, total, prior, post - prior AS delta FROM h")
+def delta_q(spark, sf_dir):
+    return model.fit_model(_bases(spark, sf_dir)).q.select("rg", "q", "errors", "total", "prior", "delta")
+
+
+@_query(_MODEL + " SELECT rg, q, cycle, prior, post - prior AS delta FROM y")
+def delta_cycle(spark, sf_dir):
+    return model.fit_model(_bases(spark, sf_dir)).cycle.select("rg", "q", "cycle", "prior", "delta")
+
+
+@_query(_MODEL + " SELECT rg, q, dinuc, prior, post - prior AS delta FROM d")
+def delta_dinuc(spark, sf_dir):
+    return model.fit_model(_bases(spark, sf_dir)).dinuc.select("rg", "q", "dinuc", "prior", "delta")
+
+
+@_query(
+    _MODEL
+    + """ SELECT b.rec, string_agg(chr(CAST(33 + CASE WHEN b.q < 6 THEN b.q ELSE g.post + (h.post - h.prior) + coalesce(y.post - y.prior, 0) + coalesce(d.post - d.prior, 0) END AS INTEGER)), '' ORDER BY b.pos) AS qual
+    FROM bases b LEFT JOIN g ON g.rg = b.rg LEFT JOIN h ON h.rg = b.rg AND h.q = b.q LEFT JOIN y ON y.rg = b.rg AND y.q = b.q AND y.cycle = b.cycle LEFT JOIN d ON d.rg = b.rg AND d.q = b.q AND d.dinuc = b.dinuc GROUP BY b.rec"""
+)
+def recalibrate(spark, sf_dir):
+    return model.recalibrate_reads(syn.documents_reads(spark, sf_dir))
+
+
+@_query()
+def regression_recalibrate(spark, sf_dir):
+    return regression.regression_qualities(model.level_counts(_finest(spark, sf_dir), "rg", "q"))
+
+
+@_query(ORACLE_SQL["cov_q"])
+def stream_cov_q(spark, sf_dir):
+    """The counts by (rg, q), from a stream over the documents."""
+    from ..streaming.counts import latest_counts, write_counts
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    out = f"{base}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    reads = syn.reads_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*"))
+    write_counts(reads, f"{out}/counts", f"{out}/state").awaitTermination()
+    return latest_counts(spark, f"{out}/counts")
+
+
+# --- names, sequences, probabilities -------------------------------------------------------------------------------
+@_query(
+    "WITH "
+    + syn.READS_SQL
+    + """ SELECT rec, split_part(name, '_', 1) AS fastq_key, regexp_replace(split_part(name, '_', 1), '/[12]$', '') AS bare, lang AS rg_field, lang AS rg_last, split_part(name, '_', 1) LIKE '%/2' AS second,
+    regexp_replace(split_part(name, '_', 1), '/[12]$', '') || CASE WHEN second THEN '/2' ELSE '/1' END AS canonical FROM (SELECT *, rg AS lang FROM reads)"""
+)
+def read_names(spark, sf_dir):
+    name, bare = F.col("name"), names.bare_name(F.col("name"))
+    reads = syn.documents_reads(spark, sf_dir)
+    return reads.select("rec", names.fastq_key(name).alias("fastq_key"), bare.alias("bare"), names.read_group_field(name).alias("rg_field"), F.coalesce(names.read_group_anywhere(F.replace(name, F.lit("_RG:Z:"), F.lit("_x_RG:Z:"))), F.lit("?")).alias("rg_last"), names.second_in_pair(name).alias("second"), names.canonical_name(bare, names.second_in_pair(name)).alias("canonical"))
+
+
+@_query("WITH " + syn.READS_SQL + " SELECT rec, reverse(translate(seq, 'ATGC', 'TACG')) AS seq FROM reads")
+def revcomp(spark, sf_dir):
+    return syn.documents_reads(spark, sf_dir).select("rec", names.reverse_complement(F.col("seq")).alias("seq"))
+
+
+@_query(_B + " SELECT rec, CAST(sum(CAST(error AS BIGINT)) AS BIGINT) AS n_errors, count(*) AS n_bases FROM bases GROUP BY rec")
+def corrected_sites(spark, sf_dir):
+    """Errors of each read, the corrected reads joined by their ordinal as from a second file."""
+    reads = syn.documents_reads(spark, sf_dir)
+    joined = bases.with_corrections(reads.drop("corrected"), reads.select("rec", "name", F.col("corrected").alias("seq")))
+    return bases.corrected_bases(joined).groupBy("rec").agg(F.sum(F.col("error").cast("long")).alias("n_errors"), F.count("*").alias("n_bases"))
+
+
+@_query("SELECT CAST(greatest(0, least(42, trunc(-10 * log10(l_linenumber / (l_quantity + 100.5))))) AS INTEGER) AS q, count(*) AS n FROM lineitem GROUP BY ALL")
+def p_to_q(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select(phred.p_to_q(F.col("l_linenumber") / (F.col("l_quantity") + 100.5)).alias("q")).groupBy("q").agg(F.count("*").alias("n"))
+
+
+@_query(_B + " SELECT rg, q, round(sum(pow(10, -q / 10.0)), 3) AS expected FROM bases GROUP BY rg, q")
+def q_to_p(spark, sf_dir):
+    return _bases(spark, sf_dir).groupBy("rg", "q").agg(F.round(F.sum(phred.q_to_p(F.col("q"))), 3).alias("expected"))
+
+
+# --- alignments ----------------------------------------------------------------------------------------------------
+def _skipped(spark, sf_dir) -> DataFrame:
+    """Variant sites and everything outside the regions."""
+    variants = align.variant_sites(syn.variant_records(spark, sf_dir))
+    positions = syn.reference_sequence(spark, sf_dir).select("chrom", F.explode(F.sequence("start", F.col("start") + F.length("seq") - 1)).alias("pos"))
+    outside = align.in_intervals(positions, syn.confident_regions(spark, sf_dir), "inside").where("not inside").select("chrom", "pos")
+    return variants.unionByName(outside).distinct()
+
+
+def _reference(spark, sf_dir) -> DataFrame:
+    from ..sources.sites import reference_bases
+
+    return reference_bases(syn.reference_sequence(spark, sf_dir))
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    return align.read_errors(syn.alignments(spark, sf_dir), _reference(spark, sf_dir), _skipped(spark, sf_dir))
+
+
+def _bounded(spark, sf_dir) -> DataFrame:
+    rows = syn.alignments(spark, sf_dir)
+    spans = align.cigar_ops(rows).groupBy("rec").agg(F.sum(F.when(F.col("op").isin("M", "D"), F.col("n")).otherwise(0)).alias("span"))
+    rows = rows.join(spans, "rec").withColumn("mate_reverse", F.when(F.col("rec") % 7 == 3, F.col("reverse")).otherwise(~F.col("reverse")))
+    no = F.lit(False)
+    return rows.withColumn("boundary", align.adaptor_boundary(F.col("pos"), F.col("pos") + F.col("span"), F.col("tlen"), F.col("pnext"), F.lit(True), no, no, F.col("reverse"), F.col("mate_reverse")))
+
+
+@_query(f"WITH {syn.SITES_SQL} SELECT chrom, pos FROM variants")
+def variant_expand(spark, sf_dir):
+    return align.variant_sites(syn.variant_records(spark, sf_dir))
+
+
+@_query(f"WITH {syn.SITES_SQL} SELECT v.chrom, v.pos, EXISTS (SELECT 1 FROM bed WHERE bed.chrom = v.chrom AND v.pos >= bed.a AND v.pos < bed.b) AS inside FROM variants v")
+def bed_mask(spark, sf_dir):
+    return align.in_intervals(align.variant_sites(syn.variant_records(spark, sf_dir)), syn.confident_regions(spark, sf_dir), "inside")
+
+
+@_query(_ERRORS + " SELECT chrom, count(*) AS n_skipped FROM skipped GROUP BY chrom")
+def skip_union(spark, sf_dir):
+    return _skipped(spark, sf_dir).groupBy("chrom").agg(F.count("*").alias("n_skipped"))
+
+
+@_query(_A + " SELECT rec, CAST(k AS INTEGER) AS k, op, n, read_at, ref_at FROM walk")
+def cigar_ops(spark, sf_dir):
+    return align.cigar_ops(syn.alignments(spark, sf_dir))
+
+
+@_query(_ERRORS + " SELECT rec, count(*) AS n_bases, CAST(sum(CAST(error AS BIGINT)) AS BIGINT) AS n_errors, CAST(sum(CAST(skip AS BIGINT)) AS BIGINT) AS n_skips, CAST(sum(read_pos * CAST(skip AS BIGINT)) AS BIGINT) AS skip_sum FROM found GROUP BY rec")
+def read_errors(spark, sf_dir):
+    n = lambda c: F.sum(F.col(c).cast("long"))
+    return _found(spark, sf_dir).groupBy("rec").agg(F.count("*").alias("n_bases"), n("error").alias("n_errors"), n("skip").alias("n_skips"), F.sum(F.col("read_pos") * F.col("skip").cast("long")).alias("skip_sum"))
+
+
+_CALIBRATION = f"""calib AS (SELECT ascii(substring(r.qual, CAST(f.read_pos AS BIGINT) + 1, 1)) - 33 AS q, count(*) AS n, CAST(sum(CAST(f.error AS BIGINT)) AS BIGINT) AS e FROM found f JOIN reads r ON r.rec = f.rec WHERE NOT f.skip GROUP BY 1),
+calibration AS (SELECT CAST(q AS INTEGER) AS predicted_q, {_ACTUAL.format(e='e', n='n')} AS actual_q, 'documents' AS label, n AS n_bases FROM calib)"""
+
+
+def _aligned_bases(spark, sf_dir) -> DataFrame:
+    """Aligned bases with their own qualities: the alignment's errors joined to reads by name, the last of a name winning."""
+    reads = calibration.last_of_name(syn.documents_reads(spark, sf_dir).select("rec", names.fastq_key(F.col("name")).alias("key"), "qual"), "key", "rec")
+    return _found(spark, sf_dir).join(reads.select("rec", "qual"), "rec").select(phred.char_q(F.substring(F.col("qual"), F.col("read_pos") + 1, F.lit(1))).alias("q"), "error", "skip")
+
+
+@_query(f"{_ERRORS}, {_CALIBRATION} SELECT * FROM calibration")
+def calibration_bam(spark, sf_dir):
+    return calibration.calibration_table(_aligned_bases(spark, sf_dir), "documents")
+
+
+@_query(_B + f" SELECT q AS predicted_q, {_ACTUAL.format(e='sum(CAST(error AS BIGINT))', n='count(*)')} AS actual_q, 'reads' AS label, count(*) AS n_bases FROM bases WHERE NOT skip GROUP BY q")
+def calibration_fastq(spark, sf_dir):
+    return calibration.calibration_table(_bases(spark, sf_dir), "reads")
+
+
+@_query(f"{_ERRORS}, {_CALIBRATION} SELECT label, predicted_q AS x, CAST(actual_q AS BIGINT) AS y FROM calibration")
+def plot_calibration(spark, sf_dir):
+    return calibration.plot_rows(calibration_bam(spark, sf_dir), "calibration")
+
+
+@_query(f"{_ERRORS}, {_CALIBRATION} SELECT label, predicted_q AS x, n_bases AS y FROM calibration")
+def plot_sample_size(spark, sf_dir):
+    return calibration.plot_rows(calibration_bam(spark, sf_dir), "sample-size")
+
+
+@_query(f"{_A}, {_BOUNDS} SELECT rec, boundary FROM bounds")
+def adaptor_boundary(spark, sf_dir):
+    return _bounded(spark, sf_dir).select("rec", "boundary")
+
+
+@_query(_TRIM + " SELECT rec, count(*) AS n_trimmed, CAST(min(read_pos) AS INTEGER) AS first, CAST(max(read_pos) AS INTEGER) AS last FROM gone GROUP BY rec")
+def trim(spark, sf_dir):
+    return align.trimmed(_bounded(spark, sf_dir)).groupBy("rec").agg(F.count("*").alias("n_trimmed"), F.min("read_pos").alias("first"), F.max("read_pos").alias("last"))
+
+
+_STRAND = f"""clip AS (SELECT rec, CASE WHEN length(seq) >= 60 AND rec % 4 = 1 THEN 10 ELSE 0 END AS aln_start FROM reads),
+strand AS (SELECT a.rec, a.rg, CAST(p AS INTEGER) AS pos, base, CAST(q AS INTEGER) AS q, CAST(CASE WHEN second THEN -(at + 1) ELSE at END AS INTEGER) AS cycle,
+  CAST(CASE WHEN p < aln_start THEN 0 WHEN second THEN -(cat + 1) ELSE cat END AS INTEGER) AS clip_cycle,
+  CAST(CASE WHEN instr('ATGC', own) > 0 AND prev <> '' AND instr('ATGC', prev) > 0 AND q >= 6 THEN 4 * (instr('ATGC', prev) - 1) + instr('ATGC', own) - 1 ELSE -1 END AS INTEGER) AS dinuc FROM
+  (SELECT *, substring(seq, p + 1, 1) AS base, ascii(substring(qual, p + 1, 1)) - 33 AS q, CASE WHEN reverse THEN n - 1 - p ELSE p END AS at, CASE WHEN reverse THEN n - 1 - p ELSE p - aln_start END AS cat,
+    CASE WHEN reverse THEN translate(substring(seq, p + 1, 1), 'ATGC', 'TACG') ELSE substring(seq, p + 1, 1) END AS own,
+    CASE WHEN reverse THEN translate(substring(seq, p + 2, 1), 'ATGC', 'TACG') WHEN p > 0 THEN substring(seq, p, 1) ELSE '' END AS prev
+    FROM (SELECT a.*, c.aln_start, unnest(range(0, n)) AS p FROM aligned a JOIN clip c USING (rec))) a)"""
+
+
+def _strand(spark, sf_dir) -> DataFrame:
+    rows = syn.alignments(spark, sf_dir)
+    start = F.when((F.length("seq") >= 60) & (F.col("rec") % 4 == 1), 10).otherwise(0)
+    return align.aligned_covariates(rows.withColumn("aln_start", start).withColumn("aln_end", F.length("seq")))
+
+
+@_query(f"{_A}, {_STRAND} SELECT rg, cycle, clip_cycle, dinuc, count(*) AS n FROM strand GROUP BY ALL")
+def strand_covariates(spark, sf_dir):
+    return _strand(spark, sf_dir).groupBy("rg", "cycle", "clip_cycle", "dinuc").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""{_ERRORS}, {_STRAND}, {_TRIM.removeprefix(_A + ', ')}
+    SELECT s.rg, s.q, s.clip_cycle AS cycle, CASE WHEN s.pos >= 0 THEN s.dinuc END AS dinuc, CAST(sum(CAST(f.error AS BIGINT)) AS BIGINT) AS errors, count(*) AS total FROM strand s JOIN found f ON f.rec = s.rec AND f.read_pos = s.pos
+    LEFT JOIN gone t ON t.rec = s.rec AND t.read_pos = s.pos WHERE s.q >= 6 AND s.base <> 'N' AND NOT f.skip AND t.rec IS NULL GROUP BY ALL"""
+)
+def bam_counts(spark, sf_dir):
+    """Finest counts of aligned reads: low qualities, N, clips, adaptor and excluded sites are skipped."""
+    gone = align.trimmed(_bounded(spark, sf_dir)).select("rec", F.col("read_pos").alias("pos"))
+    found = _found(spark, sf_dir).where("not skip").select("rec", F.col("read_pos").alias("pos"), "error")
+    rows = _strand(spark, sf_dir).where((F.col("q") >= phred.LEAST_Q) & (F.col("base") != "N"))
+    rows = rows.join(found, ["rec", "pos"]).join(gone, ["rec", "pos"], "left_anti")
+    return model.finest_counts(rows.select("rg", "q", F.col("clip_cycle").alias("cycle"), "dinuc", "error", F.lit(False).alias("skip")))
+
+
+# --- reports -------------------------------------------------------------------------------------------------------
+@_query(f"{_COUNTS} SELECT CAST(s AS INTEGER) AS quality_score, CAST(coalesce(n, 0) AS BIGINT) AS count, CAST(CASE WHEN n > 0 THEN s ELSE 93 END AS INTEGER) AS quantized_score FROM (SELECT unnest(range(0, 94)) AS s) LEFT JOIN (SELECT q, sum(total) AS n FROM counts GROUP BY q) ON q = s")
+def quantize(spark, sf_dir):
+    return calibration.quantized(model.level_counts(_finest(spark, sf_dir), "rg", "q"))
+
+
+_EST = "e0 AS (SELECT rg, round(-10 * log10(sum(pow(10, -q / 10.0) * total) / sum(total)), 5) AS prior, " + _ADD + " FROM (SELECT rg, q, " + _ADD + " FROM counts GROUP BY ALL) GROUP BY rg)"
+
+
+@_query(f"{_COUNTS}, {_EST} SELECT rg AS ReadGroup, 'M' AS EventType, CAST(post AS DOUBLE) AS EmpiricalQuality, round(prior, 4) AS EstimatedQReported, total AS Observations, CAST(errors AS DOUBLE) AS Errors FROM {_post('e0', 'rg')}")
+def report_rg(spark, sf_dir):
+    return report.read_group_table(model.level_counts(_finest(spark, sf_dir), "rg", "q")).withColumn("EstimatedQReported", F.round("EstimatedQReported", 4))
+
+
+@_query(f"{_COUNTS}, r0 AS (SELECT rg, q, q AS prior, {_ADD} FROM counts GROUP BY rg, q) SELECT rg AS ReadGroup, q AS QualityScore, 'M' AS EventType, CAST(post AS DOUBLE) AS EmpiricalQuality, total AS Observations, CAST(errors AS DOUBLE) AS Errors FROM {_post('r0', 'rg, q')}")
+def report_q(spark, sf_dir):
+    return report.quality_table(model.level_counts(_finest(spark, sf_dir), "rg", "q"))
+
+
+@_query(
+    f"""{_COUNTS}, r0 AS (SELECT rg, q, q AS prior, 'Context' AS name, substring('ATGC', CAST(dinuc // 4 AS BIGINT) + 1, 1) || substring('ATGC', CAST(dinuc % 4 AS BIGINT) + 1, 1) AS value, {_ADD} FROM counts WHERE dinuc >= 0 GROUP BY rg, q, dinuc
+    UNION ALL SELECT rg, q, q, 'Cycle', CAST(CASE WHEN cycle >= 0 THEN cycle + 1 ELSE cycle END AS VARCHAR), {_ADD} FROM counts GROUP BY rg, q, cycle)
+    SELECT rg AS ReadGroup, q AS QualityScore, value AS CovariateValue, name AS CovariateName, 'M' AS EventType, CAST(post AS DOUBLE) AS EmpiricalQuality, total AS Observations, CAST(errors AS DOUBLE) AS Errors FROM {_post('r0', 'rg, q, name, value')}"""
+)
+def report_cov(spark, sf_dir):
+    finest = _finest(spark, sf_dir)
+    return report.covariate_table(model.level_counts(finest, "rg", "q", "cycle"), model.level_counts(finest, "rg", "q", "dinuc"))
+
+
+@_query(
+    f"""{_COUNTS} SELECT g.rg, CAST(s AS INTEGER) AS q, CAST(v AS INTEGER) AS dinuc, CAST(coalesce(errors, 0) AS BIGINT) AS errors, CAST(coalesce(total, 0) AS BIGINT) AS total
+    FROM (SELECT DISTINCT rg FROM counts WHERE dinuc >= 0) g, (SELECT unnest(range(0, 43)) AS s), (SELECT unnest(range(0, 16)) AS v) LEFT JOIN (SELECT rg, q, dinuc, {_ADD} FROM counts GROUP BY ALL) c ON c.rg = g.rg AND c.q = s AND c.dinuc = v"""
+)
+def table_to_vectors(spark, sf_dir):
+    """Counts read back from a report's tables, over the whole domain of a model."""
+    return report.dense_cells(report.counts_from_report(report.report_tables(_finest(spark, sf_dir)))["dinuc"], "dinuc")
