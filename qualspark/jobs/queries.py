@@ -307,10 +307,10 @@ def trim(spark, sf_dir):
 
 
 _STRAND = f"""clip AS (SELECT rec, CASE WHEN length(seq) >= 60 AND rec % 4 = 1 THEN 10 ELSE 0 END AS aln_start FROM reads),
-strand AS (SELECT a.rec, a.rg, CAST(p AS INTEGER) AS pos, base, CAST(q AS INTEGER) AS q, CAST(CASE WHEN second THEN -(at + 1) ELSE at END AS INTEGER) AS cycle,
-  CAST(CASE WHEN p < aln_start THEN 0 WHEN second THEN -(cat + 1) ELSE cat END AS INTEGER) AS clip_cycle,
+strand AS (SELECT a.rec, a.rg, CAST(p AS INTEGER) AS pos, base, CAST(q AS INTEGER) AS q, CAST(CASE WHEN second THEN -(o + 1) ELSE o END AS INTEGER) AS cycle,
+  CAST(CASE WHEN p < aln_start THEN 0 WHEN second THEN -(oc + 1) ELSE oc END AS INTEGER) AS clip_cycle,
   CAST(CASE WHEN instr('ATGC', own) > 0 AND prev <> '' AND instr('ATGC', prev) > 0 AND q >= 6 THEN 4 * (instr('ATGC', prev) - 1) + instr('ATGC', own) - 1 ELSE -1 END AS INTEGER) AS dinuc FROM
-  (SELECT *, substring(seq, p + 1, 1) AS base, ascii(substring(qual, p + 1, 1)) - 33 AS q, CASE WHEN reverse THEN n - 1 - p ELSE p END AS at, CASE WHEN reverse THEN n - 1 - p ELSE p - aln_start END AS cat,
+  (SELECT *, substring(seq, p + 1, 1) AS base, ascii(substring(qual, p + 1, 1)) - 33 AS q, CASE WHEN reverse THEN n - 1 - p ELSE p END AS o, CASE WHEN reverse THEN n - 1 - p ELSE p - aln_start END AS oc,
     CASE WHEN reverse THEN translate(substring(seq, p + 1, 1), 'ATGC', 'TACG') ELSE substring(seq, p + 1, 1) END AS own,
     CASE WHEN reverse THEN translate(substring(seq, p + 2, 1), 'ATGC', 'TACG') WHEN p > 0 THEN substring(seq, p, 1) ELSE '' END AS prev
     FROM (SELECT a.*, c.aln_start, unnest(range(0, n)) AS p FROM aligned a JOIN clip c USING (rec))) a)"""

@@ -107,8 +107,8 @@ ALIGNED_SQL = (
 step AS (SELECT *, length(seq) AS n, rec % 3 = 1 AS reverse, CAST(k * {READ} AS INTEGER) AS pos, CAST((rec * 37) % 160 AS INTEGER) AS s FROM reads),
 aligned AS (SELECT *, CASE WHEN n < 60 OR rec % 4 = 0 THEN n || 'M' WHEN rec % 4 = 1 THEN '10S' || (n - 10) || 'M' WHEN rec % 4 = 2 THEN '20M5I' || (n - 25) || 'M' ELSE '20M3D' || (n - 20) || 'M' END AS cigar,
   CASE WHEN reverse THEN -(s + 20) ELSE s - 10 END AS tlen, CASE WHEN reverse THEN pos + s - 90 ELSE pos + s - 40 END AS pnext FROM step),
-ops AS (SELECT rec, chrom, pos, seq, reverse, o.k AS k, right(o.x, 1) AS op, CAST(left(o.x, length(o.x) - 1) AS INTEGER) AS n FROM
-  (SELECT *, unnest(list_transform(range(0, len(x)), j -> {{'k': j, 'x': x[j + 1]}})) AS o FROM (SELECT *, regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]') AS x FROM aligned))),
+ops AS (SELECT rec, chrom, pos, seq, reverse, k, right(x[k + 1], 1) AS op, CAST(left(x[k + 1], length(x[k + 1]) - 1) AS INTEGER) AS n FROM
+  (SELECT rec, chrom, pos, seq, reverse, x, unnest(range(0, len(x))) AS k FROM (SELECT *, regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]') AS x FROM (SELECT * EXCLUDE (k) FROM aligned)))),
 walk AS (SELECT *, CAST(coalesce(sum(CASE WHEN op IN ('M','I','S','=','X') THEN n ELSE 0 END) OVER w, 0) AS INTEGER) AS read_at,
   CAST(coalesce(sum(CASE WHEN op IN ('M','D','N','=','X') THEN n ELSE 0 END) OVER w, 0) AS INTEGER) AS ref_at FROM ops
   WINDOW w AS (PARTITION BY rec ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

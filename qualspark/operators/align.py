@@ -16,7 +16,8 @@ _READ, _REF = "MIS=X", "MDN=X"
 def variant_sites(vcf: DataFrame) -> DataFrame:
     """Distinct 0-based (chrom, pos) of every position of every record: chrom, pos (1-based), ref, stop (nullable)."""
     end = F.coalesce(F.col("stop"), F.col("pos") - 1 + F.length("ref"))
-    return vcf.where(end > F.col("pos") - 1).select("chrom", F.explode(F.sequence(F.col("pos") - 1, end - 1)).cast("int").alias("pos")).distinct()
+    spread = vcf.where(end > F.col("pos") - 1).select("chrom", F.explode(F.sequence(F.col("pos") - 1, end - 1)).alias("pos"))
+    return spread.select("chrom", F.col("pos").cast("int").alias("pos")).distinct()
 
 
 def in_intervals(points: DataFrame, bed: DataFrame, flag: str) -> DataFrame:
