@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 _MOST_ROUNDS = 60
 
@@ -25,10 +25,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if roots is None:
             roots = point.select("node", F.col("to").alias("root"))
         else:
-            moved = roots.join(point.withColumnRenamed("node", "root"), "root", "left")
+            old, moved = roots, roots.join(point.withColumnRenamed("node", "root"), "root", "left")
             roots = materialize(moved.select("node", F.coalesce("to", "root").alias("root")), "cc-roots")
+            if hasattr(old, "scratch_path"):
+                discard(old)
         left, right = (point.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
+        done = edges
         edges = materialize(edges.join(left, "a").join(right, "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "cc-edges")
+        discard(done)
         if edges.isEmpty():
             return roots
     raise RuntimeError("components did not converge")

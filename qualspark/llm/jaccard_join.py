@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized_broadcast
+from .common import discard, materialize, release_shuffles, sized_broadcast
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -103,7 +103,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
     left = pairs.join(whole.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(whole.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
     met = both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("met"), (F.size("own_a").cast("long") + F.size("own_b")).alias("total"))
-    return materialize(met.where(F.col("met") * den >= (F.col("total") - F.col("met")) * num).select("a", "b"), "jaccard-links")
+    links = materialize(met.where(F.col("met") * den >= (F.col("total") - F.col("met")) * num).select("a", "b"), "jaccard-links")
+    discard(pairs, wanted, whole)
+    release_shuffles(docs.sparkSession)
+    return links
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -121,6 +124,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     # Rows per shingle first, with map-side sums; most shingles end here. Copies in other tasks are dropped after.
     often = posted.groupBy("token").count().where("count > 1").select("token")
     shared = materialize(posted.join(often, "token").distinct(), "jaccard-shared")
+    release_shuffles(docs.sparkSession)
     counts = shared.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     shared = shared.join(counts, "token")
 

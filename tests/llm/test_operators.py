@@ -1,0 +1,296 @@
+"""Small tables: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import random
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from qualspark.llm import (
+    components,
+    decontaminate,
+    jaccard_join,
+    mixing,
+    perfect_hash,
+    quality_rules,
+    secrets,
+    site_quality,
+    token_counts,
+    token_store,
+    toxicity,
+    warc_zip,
+)
+from qualspark.llm.queries import _tokenizer
+from qualspark.llm.text_ids import chunk_ids
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, stats string, component_id long, _row string"
+
+
+def words(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+def table(spark, rows):
+    """Rows (doc_id, text, source) with columns that clash with the operators' own."""
+    return spark.createDataFrame([(i, t, None, s, None, 7, "x", -1, "y") for i, t, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = words(30_000, 5, 5000)
+    rows = [(5, None, "a"), (3, "", "b"), (4, " \t\n", None), (1, "one", "a"), (2, long, "a"), (9, long + " tail", "b"), (None, words(80, 1), "c"), (7, words(80, 1), "c"), (7, words(80, 1), "c"), (7, words(80, 2), None), (11, "é x\x1fy <|endoftext|> ok", "a")]
+    return rows, table(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, []).limit(0)
+
+
+def test_token_store(spark, odd, empty):
+    rows, docs = odd
+    got = token_store.encode_documents(spark, docs, _tokenizer(), 1).collect()
+    own = chunk_ids(_tokenizer())
+    want = Counter((i, len(own.encode(t)) // 4 + 1) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == want
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted((r.doc_id for r in got), key=lambda i: (i is not None, i))
+    manifest = token_store.write_store(docs, _tokenizer(), 1)
+    keys = spark.createDataFrame([(7,), (1,), (1,), (404,), (None,)], "doc_id long")
+    assert Counter(r.doc_id for r in token_store.lookup(manifest, keys).collect()) == Counter({7: 3, 1: 2})
+    assert token_store.encode_documents(spark, empty, _tokenizer(), 1).collect() == []
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_perfect_hash(keys):
+    keys = np.array(sorted(keys), dtype=np.uint64)
+    table = perfect_hash.PerfectHash.from_bytes(perfect_hash.PerfectHash.build(keys).to_bytes())
+    assert sorted(table.slots(keys)) == list(range(len(keys)))
+
+
+def test_text_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(_tokenizer())
+    own = chunk_ids(_tokenizer())
+    for text in ("don't I'LL x's 12'34", "ÉTÉ straße ÑANDÚ.", "ΑΣ. Σ ΑΣ İI ſt ﬁ 日本語 👍🏽 a​b", "é É́ ́a", "a\x85b\xa0c\x1cd", "<|endoftext|>foo<|startoftext|>", "", "x" * 5000):
+        assert own.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_separator_scan(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    paths, want = [], {}
+    for k, n in enumerate((0, 1, 40, 1000, 777)):
+        ids = rng.integers(1, 9, n).astype("<u2")
+        if k == 4:
+            ids[:] = 5  # no separator at all
+        path = f"file://{tmp_path}/{k}.bin"
+        (tmp_path / f"{k}.bin").write_bytes(ids.tobytes())
+        paths.append((path,))
+        ends = [i + 1 for i, x in enumerate(ids) if x == 1]
+        cuts = [0, *ends, *([n] if n and (not ends or ends[-1] < n) else [])]
+        want[path] = [(j, a, b - a, b in ends) for j, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    files = spark.createDataFrame(paths, "path string")
+    got = token_counts.scan_separators(files, 1, block_ids=16).collect()
+    for path, rows in want.items():
+        assert sorted((r.ordinal, r.start, r.n_tokens, r.closed) for r in got if r.path == path) == rows
+
+
+def test_jaccard_edges(spark, odd, empty):
+    rows, docs = odd
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(docs).collect())
+    assert got == Counter({(5, 5): 1, (3, 3): 1, (4, 4): 1, (1, 1): 1, (2, 2): 1, (9, 2): 1, (None, 7): 1, (7, 7): 3, (11, 11): 1})
+    assert jaccard_join.jaccard_components(empty).collect() == []
+
+
+def test_jaccard_families(spark):
+    """Families of near copies, a passage in many texts, and chains of links, against all pairs."""
+    r, rows = random.Random(4), []
+    base, passage = words(120, 1, 3000).split(), words(60, 2, 3000)
+    for _ in range(130):
+        own = base[:]
+        for k in r.sample(range(120), r.randrange(5)):
+            own[k] = f"x{r.randrange(10**6)}"
+        rows.append(" ".join(own))
+    rows += [passage + " " + words(r.randrange(5, 200), 100 + k, 3000) for k in range(60)]
+    chain = words(100, 3, 3000).split()
+    for k in range(20):
+        chain[3 * k] = f"c{k}"
+        rows.append(" ".join(chain))
+    rows = list(enumerate(rows))
+    r.shuffle(rows)
+    for width, num in ((4, 85), (5, 80)):
+        want = brute.jaccard(rows, width, num, 100)
+        got = jaccard_join.jaccard_components(table(spark, [(i, t, "a") for i, t in rows]), width=width, num=num, den=100).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 140)] + [(200, 200), (7, 3), (7, 3)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(51), 0) | dict.fromkeys(range(100, 140), 100)
+
+
+def test_secrets(spark, empty):
+    texts = [None, "", "token=secret: abcdefghijklmnop", 'é password = "abcdef123456" x AKIAABCDEFGHIJKLMN 0123456789abcdef0', "TOKEN:'abcdefghijkl", "AKIAABC AKIAAKIAABCDEFGHIJ", "password=short1 login=bob", "password=short1 and far " + "x " * 200 + "login=bob", "api_key=" + "a" * 50_000 + " " + "deadbeef" * 4000, "tokens=aaaaaaaaaaaa apikey: bbbbbbbbbbbbbb"]
+    got = {r.doc_id: r for r in secrets.secret_report(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256) == brute.secrets(t)
+    assert "weak_secret" in got[6].spans and "weak_id" in got[6].spans and got[7].spans == ""
+    assert secrets.secret_report(empty).collect() == []
+
+
+def test_quality_stats(spark, odd, empty):
+    rows, docs = odd
+    texts = [t for _, t, _ in rows] + ["a b c a b c a b c\nx y\n\nx y\n  \nx y\n#*$%&|<> !", "the the the the the", "Aé 1\x0b2"]
+    given = table(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.stats for r in quality_rules.with_text_stats(given.drop("stats")).collect()}
+    for i, t in enumerate(texts):
+        s = got[i]
+        assert (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words) == brute.quality_stats(t)[:5]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.fit_quality_rules(empty, labels) == []
+    kept = quality_rules.apply_quality_rules(docs.select("doc_id", "text"), []).where("kept").select("doc_id").collect()
+    assert Counter(r.doc_id for r in kept) == Counter(i for i, t, _ in rows if not brute.quality_stats(t)[5])
+
+
+def test_learned_rules():
+    r = random.Random(1)
+    rows = []
+    for _ in range(900):
+        a, b, c = r.random(), r.random(), r.random()
+        rows.append(({"a": a, "b": b, "c": c}, a > 0.8 or (b < 0.2 and c > 0.5)))
+    rules = quality_rules.learn_rules(rows)
+    wrong = sum(any(x.holds(f) for x in rules) != y for f, y in rows)
+    assert 1 <= len(rules) <= 6 and wrong <= 45
+    assert quality_rules.learn_rules([]) == [] and quality_rules.learn_rules([({"a": 1.0}, False)] * 50) == []
+
+
+def test_decontamination(spark, empty):
+    item = words(40, 9, 3000)
+    edited = item.split()
+    edited[10] = "other"
+    del edited[25]
+    bench = spark.createDataFrame([(1, item, "z"), (2, None, "z"), (3, "", "z"), (4, "tiny item", "z"), (1, item, "z")], "item_id long, text string, score string")
+    docs = [(1, words(200, 20, 3000) + " " + item + " " + words(50, 21, 3000), "a"), (2, words(90, 22, 3000) + " " + " ".join(edited), "a"), (3, words(300, 23, 3000), "a"), (4, None, "a"), (5, "", "a"), (6, "here is a Tiny, ITEM there", "a"), (7, " ".join(item.split()[:9]) + " " + words(80, 24, 3000), "a"), (None, item.upper(), None), (1, words(60, 25, 3000), "a")]
+    given = table(spark, docs)
+    found = {(r.doc_id, tuple(r.item_ids)) for r in decontaminate.contaminated(given, bench).collect()}
+    assert found == {(1, (1,)), (2, (1,)), (6, (4,)), (None, (1,))}
+    left = decontaminate.decontaminate(given, bench)
+    assert left.columns == given.columns and Counter(r.doc_id for r in left.collect()) == Counter([1, 3, 4, 5, 7])
+    assert decontaminate.decontaminate(empty, bench).collect() == []
+    assert decontaminate.decontaminate(given, bench.limit(0)).count() == len(docs)
+
+
+def test_alignment():
+    number = lambda s: np.array([ord(c) for c in s])
+
+    def plain(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                rows[i][j] = max(0, rows[i - 1][j - 1] + (2 if x == y else -1), rows[i - 1][j] - 1, rows[i][j - 1] - 1)
+        return max(map(max, rows))
+
+    r = random.Random(2)
+    for _ in range(60):
+        a, b = ("".join(r.choice("abcd") for _ in range(r.randrange(1, 25))) for _ in range(2))
+        assert decontaminate.align(number(a), number(b)) == plain(a, b)
+
+
+def test_warc(spark):
+    rows = [(1, "http://x/é y\r\n", "<a>é</a>"), (2, None, "<a>é</a>"), (3, "u", None), (4, "u", ""), (1, "again", "<a>é</a>"), (None, "n", "<a>é</a>"), (None, "n", "only null"), (None, "n", "only null"), (8, "big", "z" * 3_000_000)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest long")
+    for least in (0, 5):
+        got = warc_zip.read_packages(warc_zip.write_packages(pages, least_bytes=least)).collect()
+        assert Counter(tuple(r) for r in got) == brute.warc(rows, least)
+    assert warc_zip.read_packages(warc_zip.write_packages(pages.limit(0))).collect() == []
+
+
+def test_zip_directories(tmp_path):
+    import zipfile
+
+    from pyarrow import fs
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in range(70_000):  # more members than a plain end record can count
+            z.writestr(f"m{k}", b"x" * (k % 3))
+        z.comment = b"PK\x05\x06 is only a comment"
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "a.zip")) as f:
+        members = warc_zip.zip_members(f)
+        assert len(members) == 70_000 and f.read_at(2, members["m2"][0]) == b"xx"
+
+
+def test_mixing(spark, odd, empty):
+    rows, docs = odd
+    got = mixing.mix_to_weights(docs).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(brute.WORD.findall(t or ""))
+    want = brute.targets(sizes)
+    assert len(got) == len(rows) and all(r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 3 * r["size"] for r in got)
+    out = mixing.emit_mix(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    assert mixing.mix_to_weights(empty).collect() == [] and mixing.emit_mix(empty).collect() == []
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=3), st.integers(0, 1000), min_size=1, max_size=8))
+def test_targets(spark, sizes):
+    given_ = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(given_).collect()}
+    assert got == pytest.approx(brute.targets(sizes))
+
+
+def test_nearest_examples_are_exact():
+    rng, terms = np.random.default_rng(5), 40
+    vectors = []
+    for _ in range(500):
+        at = np.sort(rng.choice(terms, rng.integers(0, 6), replace=False))
+        w = rng.random(len(at)) + 0.01
+        vectors.append((at, w / np.sqrt(np.sum(w * w)) if len(at) else w))
+    index = toxicity.BlockMaxIndex(vectors, terms)
+    dense = np.zeros((500, terms))
+    for i, (at, w) in enumerate(vectors):
+        dense[i, at] = w
+    for at, w in vectors[:80]:
+        if len(at):
+            _, got = index.nearest(at, w, 12)
+            every = np.sort(dense[:, at] @ w)[::-1]
+            assert np.allclose(got, every[every > 0][:12])
+
+
+def test_toxicity_edges(spark, odd, empty):
+    rows, docs = odd
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score_toxicity(empty, labels).collect() == []
+    assert len(toxicity.score_toxicity(docs, labels.limit(0)).collect()) == len(rows)
+
+
+def test_site_quality(spark, odd, empty):
+    rows, docs = odd
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    args = (F.col("source"), F.concat_ws("/", "source", "lang"))
+    got = site_quality.site_quality(docs, labels, *args).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert site_quality.site_quality(empty, labels, *args).collect() == []
+    assert len(site_quality.site_quality(docs, labels.limit(0), *args).collect()) == len(rows)
+
+
+def test_sparse_sites_shrink(spark):
+    """Of two good-looking documents the one on a bad, well-known site scores lower; a lone site stays near the prior."""
+    good, bad = words(200, 1, 4000), " ".join(["junk### spam!!"] * 60)
+    rows = [(i, words(200, i, 4000), "good.example") for i in range(60)] + [(100 + i, bad + f" {i}", "bad.example") for i in range(60)]
+    rows += [(200, good, "bad.example"), (201, good, "good.example"), (202, good, "lone.example")]
+    labels = spark.createDataFrame([(i, 1 if i < 100 else 0) for i in [*range(40), *range(100, 140)]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in site_quality.site_quality(table(spark, rows), labels, F.col("source"), F.col("source")).collect()}
+    assert got[200].score < got[202].score < got[201].score and got[201].kept
