@@ -13,14 +13,16 @@ _MOST_ROUNDS = 60
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of `edges` (a long, b long), root the smallest node of its component.
 
-    Each round every node points at its smallest neighbour, itself included, and edges are rewritten by these
-    pointers; a round at least halves what is left of a component. Self-loops and repeats are fine, nulls are not.
+    Each round every node points at its neighbour with the smallest hash of the round, itself included, and edges are
+    rewritten by these pointers: a random order, so a constant share of the nodes is expected to go, along chains too.
+    Self-loops and repeats are fine, nulls are not.
     """
     edges = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), "cc-edges")
     roots = None
-    for _ in range(_MOST_ROUNDS):
+    for k in range(_MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        point = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(drawn("a")), F.min(drawn("b"))).alias("x")).select("node", "x.to")
         point = materialize(point, "cc-point")
         if roots is None:
             roots = point.select("node", F.col("to").alias("root"))
@@ -34,5 +36,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = materialize(edges.join(left, "a").join(right, "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "cc-edges")
         discard(done)
         if edges.isEmpty():
-            return roots
+            least = roots.groupBy("root").agg(F.min("node").alias("least"))
+            return materialize(roots.join(least, "root").select("node", F.least("least", "root").alias("root")), "components")
     raise RuntimeError("components did not converge")
