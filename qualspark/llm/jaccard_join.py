@@ -49,7 +49,7 @@ def _plain(n: Column, num: int, den: int) -> Column:
 
 
 def shingle_windows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """One row per document: doc_id, n_shingles, node (null for an empty set), window (smallest hashes; null for copies seen in the task)."""
+    """One row per document: doc_id, mark (hash of the text), n_shingles, node (null for an empty set), window (smallest hashes; null for copies seen in the task)."""
 
     def sets(batches):
         import pyarrow as pa
@@ -57,7 +57,7 @@ def shingle_windows(docs: DataFrame, width: int, num: int, den: int) -> DataFram
         seen: set[int] = set()
         for batch in batches:
             sizes, nodes, windows = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 own = shingle_set(text.as_py(), width)
                 n = len(own)
                 node = xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63 if n else None
@@ -71,10 +71,10 @@ def shingle_windows(docs: DataFrame, width: int, num: int, den: int) -> DataFram
                 seen.add(node)
                 plain = n - _need(n, num, den) + 1
                 windows.append(own[: plain + (plain + 1) // 2 + 4].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "window": pa.array(windows, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "mark": batch.column(1), "n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "window": pa.array(windows, pa.list_(pa.int64()))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(sets, "doc_id long, n_shingles long, node long, window array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(sets, "doc_id long, mark long, n_shingles long, node long, window array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -113,7 +113,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     """Link documents whose shingle sets have den * |intersection| >= num * |union|.
 
     docs: doc_id long, text string; other columns are ignored. One row per input row: doc_id, n_shingles (set size),
-    component_id (smallest doc_id reachable by links, itself included; its own if nothing links). A null, empty or
+    component_id (smallest doc_id reachable by links, itself included; its own if nothing links), mark (xxhash64 of the text). A null, empty or
     word-less text has an empty set, links with nothing and keeps its own doc_id. Rows that repeat a doc_id are texts
     of their own, each with the component of its text. Rows with a null doc_id link as others do, but a null is no
     component id unless a component has nothing else.
@@ -199,7 +199,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     smallest = parts.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = materialize(parts.join(smallest, "root").select("node", "component_id"), "jaccard-named")
     copies = F.coalesce(F.col("component_id"), F.col("doc_id"))
-    return rows.join(named, "node", "left").select("doc_id", "n_shingles", copies.alias("component_id"))
+    return rows.join(named, "node", "left").select("doc_id", "n_shingles", copies.alias("component_id"), "mark")
 
 
 def _labelled(posts: DataFrame, links: DataFrame) -> DataFrame:

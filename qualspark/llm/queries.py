@@ -30,7 +30,7 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
-    return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100).drop("mark")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
