@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualspark.llm.common import materialize, packed
+from qualspark.llm.common import materialize, packed, sized_broadcast
 from qualspark.llm.decontaminate import decontaminate
-from qualspark.llm.jaccard_join import jaccard_components
+from qualspark.llm.jaccard_join import BROADCAST_ROWS, jaccard_components
 from qualspark.llm.mixing import emit_mix
 from qualspark.llm.quality_rules import apply_quality_rules, fit_quality_rules
 from qualspark.llm.queries import TOKENIZER
@@ -30,12 +30,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents that link with nothing stay, and so do null and empty texts. Of rows that repeat a doc_id and a text one
     stays, too, as they are copies of each other. Rows without a doc_id stay where nothing in their component has one.
     """
-    parts = jaccard_components(docs.select("doc_id", "text"), width=5, num=80, den=100)
-    # A component's smallest doc_id is the row that stays; rows without words are components of their own.
-    keep = materialize(parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct(), "pipeline-keep")
+    parts = materialize(jaccard_components(docs.select("doc_id", "text"), width=5, num=80, den=100), "pipeline-parts")
     own = packed(docs, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_mark"))
-    kept = own.join(keep, F.col("_id").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["_id", "_mark"]).select("_row.*")
+    named = lambda rows: rows.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m"))
+    # A component's smallest doc_id is the row that stays. What goes is the smaller side, and is broadcast if small.
+    gone = materialize(named(parts.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))), "pipeline-gone")
+    left = own.join(sized_broadcast(gone, BROADCAST_ROWS), same, "left_anti")
+    again = materialize(named(parts.groupBy("doc_id", "mark").count().where("count > 1")), "pipeline-repeats")
+    if again.isEmpty():
+        return left.select("_row.*")
+    again = sized_broadcast(again, BROADCAST_ROWS)
+    once = left.join(again, same, "left_semi").dropDuplicates(["_id", "_mark"])
+    return left.join(again, same, "left_anti").unionByName(once).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
