@@ -6,9 +6,9 @@ Each document lengthens its prefix, within a window of its smallest hashes, as f
 
 - shingles in very many windows ("frequent") cost most. A document takes the shortest prefix that holds one match
   more than it holds frequent shingles; every link then shows in a rare one, and only rare ones are posted.
-- from there it may ask for more matches (MATCHES), if the rarer candidates save more than the longer prefix costs.
-- a document whose window is mostly frequent shingles (a member of a large family of near copies) posts its plain
-  prefix, frequent ones too, and meets all that post the same shingle there.
+- from there it may ask for more matches (MATCHES, or all that its window can hold), if the rarer candidates save more than the longer prefix costs.
+- a document whose window is mostly frequent shingles (a member of a large family of near copies) posts its whole
+  window, frequent ones too, and must share as many of it as the longest prefix demands.
 
 Identical sets are one node. To emit no square of a family's size, nodes are first verified against one hub for each
 posted shingle, then family members still apart against one member drawn for each shingle; pairs already in one
@@ -31,8 +31,8 @@ from .shingles import shingle_set
 FREQUENT = 10
 #: Rare matches that a document may ask for.
 MATCHES = (1, 2, 3, 5, 8)
-#: What verifying one candidate costs, in postings read.
-VERIFY = 20
+#: What verifying one candidate costs, in postings read: whole sets hold hundreds of shingles.
+VERIFY = 400
 #: Rows up to which the ids of candidate nodes are broadcast; above, the join is shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Sets that a task remembers, to post copies once per task.
@@ -148,12 +148,16 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     per_node = per_node.select("*", *(reach(k).alias(f"reach{k}") for k in MATCHES))
     per_node = per_node.select("*", *(cost(k).alias(f"cost{k}") for k in MATCHES))
     options = F.array(*(F.struct(F.col(f"cost{k}").alias("cost"), F.lit(k).alias("k"), F.col(f"reach{k}").alias("reach")) for k in MATCHES))
+    # And as many as the whole window can hold: texts that only share a passage fall short of that.
+    all_rare = F.aggregate("posts", F.lit(0.0), lambda s, p: s + F.when(p["often"] < FREQUENT, p["often"] - 1).otherwise(0))
+    largest = F.col("window") - F.size("hot") - F.col("plain") + 1
+    options = F.concat(options, F.array(F.struct(F.when(~F.col("family"), all_rare * (1 + VERIFY / (largest * largest))).alias("cost"), largest.alias("k"), F.col("window").alias("reach"))))
     per_node = per_node.withColumn("choice", F.array_min(F.filter(options, lambda o: o["cost"].isNotNull())))
     per_node = per_node.withColumn("matches", F.coalesce(F.col("choice.k"), F.lit(1)))
     length = F.when(F.col("family"), F.col("plain")).otherwise(F.col("choice.reach"))
-    post = per_node.select("node", "n", "family", "matches", "share", "plain", length.alias("length"), F.explode("posts").alias("p"))
-    post = post.select("node", "n", "family", "matches", "share", "p.token", (F.col("p.often") >= FREQUENT).alias("frequent"), (F.col("p.pos") < F.col("length")).alias("taken"), (F.col("p.pos") < F.col("plain")).alias("in_plain"))
-    post = materialize(post.where((F.col("taken") & (F.col("family") | ~F.col("frequent"))) | F.col("in_plain")), "jaccard-posts")
+    post = per_node.select("node", "n", "family", "matches", "share", "plain", (F.col("window") - F.col("plain") + 1).alias("most"), length.alias("length"), F.explode("posts").alias("p"))
+    post = post.select("node", "n", "family", "matches", "share", "most", "p.token", (F.col("p.often") >= FREQUENT).alias("frequent"), (F.col("p.pos") < F.col("length")).alias("taken"), (F.col("p.pos") < F.col("plain")).alias("in_plain"))
+    post = materialize(post, "jaccard-posts")
     rare = post.where("taken and not frequent")
 
     def near(x: str, y: str) -> Column:
@@ -179,19 +183,22 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
         links = links.unionByName(verify(apart))
 
     # Exact rest: rare postings in full, and family members with all that hold their shingles, across components only.
-    right = lambda of: of.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("part_b"), F.col("matches").alias("matches_b"))
+    right = lambda of: of.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("part_b"), F.col("matches").alias("matches_b"), F.col("most").alias("most_b"))
     labelled = materialize(_labelled(post, links), "jaccard-parts")
     own = labelled.where("taken and not frequent and not family")
     pairs = own.withColumnRenamed("node", "a").join(right(own), "token").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("part_b")) & near("n", "m"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first(F.least("matches", "matches_b")).alias("least"))
     rest = pairs.where("met >= least").select("a", "b")
     if not families.isEmpty():
-        every = labelled.where("in_plain")
-        most = every.where("family").groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "part")).alias("top")).select("token", F.col("top.part").alias("top"))
-        every = materialize(every.join(most, "token"), "jaccard-family-posts")
+        # Whole windows are the prefixes of `most` matches, frequent shingles and all.
+        most = labelled.where("family").groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "part")).alias("top")).select("token", F.col("top.part").alias("top"))
+        every = materialize(labelled.join(most, "token"), "jaccard-family-posts")
         few, main = every.where("family and part <> top"), every.where("family and part = top")
-        ask = lambda x, y: x.select("token", F.col("node").alias("a"), "n", "part").join(right(y), "token").where((F.col("part") != F.col("part_b")) & near("n", "m")).select("a", "b")
-        rest = rest.unionByName(ask(few, every)).unionByName(ask(main, every.where("not family and part <> top")))
+        ask = lambda x, y: x.select("token", F.col("node").alias("a"), "n", "part", "most").join(right(y), "token").where((F.col("part") != F.col("part_b")) & near("n", "m"))
+        met = ask(few, every).unionByName(ask(main, every.where("not family and part <> top")))
+        # A pair may show from both sides, and on some lists from one only: count each shingle once.
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "token", F.least("most", "most_b").alias("least")).distinct()
+        rest = rest.unionByName(met.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("least").alias("least")).where("met >= least").select("a", "b"))
     links = links.unionByName(verify(rest))
 
     roots = connected_components(links)
