@@ -4,7 +4,7 @@ Fitting takes a bounded sample of labelled documents. The terms that tell the la
 the vocabulary; how many documents hold each term is counted over all documents. The examples' normalised TF-IDF
 vectors go into an inverted index whose postings lie in blocks of neighbouring examples, with the largest weight of
 each term in each block. A query's bound on a block is the sum of its weights times these; blocks are read from the
-highest bound down, until no block can beat the k-th example found. So the k nearest are exact, and the index, bounded
+highest bounds first, and then only those that can still beat the k-th example found. So the k nearest are exact, and the index, bounded
 by the sample, is what tasks share.
 
 Votes weigh 1 / (distance + EPSILON), with a prior that a lone far neighbour cannot outvote. A logistic curve, fitted
@@ -27,7 +27,7 @@ from .common import materialize
 MOST_TOXIC, MOST_CLEAN = 3_000, 6_000
 #: Terms of the vocabulary at most, and how many standard errors apart their shares in the classes must be.
 MOST_TERMS, LEAST_Z = 512, 4.0
-NEIGHBOURS, BLOCK, EPSILON, PRIOR_WEIGHT = 12, 64, 0.05, 1.0
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, EPSILON, PRIOR_WEIGHT = 12, 64, 4, 0.05, 1.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -103,40 +103,44 @@ def _vector(at, n, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Inverted index over unit vectors: postings of each term by block, and its largest weight in each block."""
+    """Inverted index over unit vectors: each term's weights by block of examples, and its largest in each block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         # Examples with the same heaviest term stand together, so that block bounds are tight.
-        self.order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else n_terms, i))
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else n_terms, i)), dtype=np.int64)
         self.n_blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((n_terms, self.n_blocks))
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self.postings = np.zeros((n_terms, self.n_blocks, BLOCK))
         for place, i in enumerate(self.order):
-            for term, w in zip(*vectors[i], strict=True):
-                lists.setdefault((int(term), place // BLOCK), []).append((place % BLOCK, float(w)))
-                self.most[term, place // BLOCK] = max(self.most[term, place // BLOCK], w)
-        self.postings = {key: (np.array([p for p, _ in own]), np.array([w for _, w in own])) for key, own in lists.items()}
+            self.postings[vectors[i][0], place // BLOCK, place % BLOCK] = vectors[i][1]
+        self.most = self.postings.max(axis=2) if len(vectors) else np.zeros((n_terms, 0))
+
+    def _read(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the examples of `blocks` that share a term with the query."""
+        scores = np.tensordot(w, self.postings[np.ix_(at, blocks)], axes=1).ravel()
+        places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        hit = (scores > 0) & (places != without)
+        return places[hit], scores[hit]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties by place; exact."""
+        """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties by place; exact.
+
+        The blocks with the highest bounds give k candidates; then only blocks whose bound reaches the k-th are read.
+        """
         bounds = w @ self.most[at]
-        places, scores, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(places) == k and bounds[block] < floor - 1e-12:
-                break
-            own = np.zeros(BLOCK)
-            for term, weight in zip(at, w, strict=True):
-                if (p := self.postings.get((int(term), int(block)))) is not None:
-                    own[p[0]] += weight * p[1]
-            hit = np.flatnonzero(own > 0)
-            places, scores = np.concatenate([places, block * BLOCK + hit]), np.concatenate([scores, own[hit]])
-            if without >= 0:
-                keep = places != without
-                places, scores = places[keep], scores[keep]
-            best = np.lexsort((places, -np.round(scores, 12)))[:k]
-            places, scores = places[best], scores[best]
-            floor = scores[-1] if len(scores) == k else 0.0
-        return np.array([self.order[p] for p in places], dtype=np.int64), np.minimum(scores, 1.0)
+        blocks = np.argsort(-bounds, kind="stable")
+        blocks = blocks[: np.count_nonzero(bounds > 0)]
+        places, scores = self._read(at, w, blocks[:FIRST_BLOCKS], without)
+        floor = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        rest = blocks[FIRST_BLOCKS:]
+        rest = rest[bounds[rest] >= floor - 1e-12]
+        if len(rest):
+            more = self._read(at, w, rest, without)
+            places, scores = np.concatenate([places, more[0]]), np.concatenate([scores, more[1]])
+        if len(scores) > k:
+            near = scores >= np.partition(scores, -k)[-k] - 1e-12
+            places, scores = places[near], scores[near]
+        best = np.lexsort((places, -np.round(scores, 12)))[:k]
+        return self.order[places[best]], np.minimum(scores[best], 1.0)
 
 
 @dataclass
@@ -192,7 +196,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[ToxicityModel, Dat
     prior = min(0.99, max(0.001, shares if shares is not None else 0.0))
     model = ToxicityModel(terms, idf, [r["id"] for r in rows], toxic, BlockMaxIndex(vectors, len(terms)), prior, (1.0, 0.0))
     if terms and 0 < toxic.sum() < len(toxic):
-        place = {i: p for p, i in enumerate(model.index.order)}
+        place = {int(i): p for p, i in enumerate(model.index.order)}
         votes = np.array([model._vote(*v, without=place[i])[0] for i, v in enumerate(vectors)])
         weight = np.where(toxic == 1, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
         model.curve = _logistic(votes, toxic, weight)
