@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman scores them.
+"""Benchmark decontamination: shared n-grams find passages, Smith-Waterman scores them.
 
 1. Every word n-gram of every benchmark item is looked up in the whole corpus in one pass; hits keep their places.
-2. From the hits comes how many documents hold each n-gram. In every run of `span` neighbouring n-grams of an item the
-   one held by the fewest documents is a seed, so any copied run of span + n - 1 words holds a seed, however common.
-3. Seed hits of a document on an item, near one diagonal, make a candidate passage: the item's length and a margin.
+2. Every hit is a seed for each item that holds its n-gram. None is left out for another: which n-grams an edited copy
+   keeps is its own, so a choice made once per item (by rarity, say) could take just those that the edits broke.
+3. Seeds of a document on an item, near one diagonal, make a candidate passage: the item's length and a margin.
 4. The passage is aligned with the item by Smith-Waterman over words, edited and paraphrased words costing little, and
    its score is a share of what the item scores with itself.
 
@@ -43,14 +43,10 @@ def seed_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return materialize(held.join(wanted, "gram").distinct(), "leak-hits")
 
 
-def choose_seeds(items: DataFrame, hits: DataFrame, span: int) -> DataFrame:
-    """(item_id, gram, k) of the rarest n-gram of every run of `span` neighbours; ties go to the first."""
-    often = hits.groupBy("gram").agg(F.countDistinct("doc_id", "mark").alias("often"))
-    placed = items.select("item_id", F.posexplode("grams").alias("k", "gram")).join(often, "gram")
-    # Grams that no document holds find nothing, so the rarest is taken among those held: more seeds, never fewer.
-    runs = placed.select("item_id", F.explode(F.sequence(F.greatest(F.col("k") - (span - 1), F.lit(0)), F.col("k"))).alias("run"), F.struct("often", "k", "gram").alias("s"))
-    best = runs.groupBy("item_id", "run").agg(F.min("s").alias("s"))
-    return best.select("item_id", "s.gram", "s.k").distinct()
+def seeds(items: DataFrame, hits: DataFrame) -> DataFrame:
+    """Every hit with each place of an item that holds its n-gram: doc_id, mark, item_id, shift (the diagonal)."""
+    placed = items.select("item_id", F.posexplode("grams").alias("k", "gram"))
+    return hits.join(placed, "gram").select("doc_id", "mark", "item_id", (F.col("at") - F.col("k")).alias("shift"))
 
 
 def align(a: np.ndarray, b: np.ndarray) -> int:
@@ -68,7 +64,7 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def leak_scores(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, span: int = 6, margin: int = 12) -> DataFrame:
+def leak_scores(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, margin: int = 12) -> DataFrame:
     """Aligned passages: doc_id, mark, item_id, start (word of the passage), score (0 to 1), the best per document and item.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Null or empty texts on either side match
@@ -82,8 +78,7 @@ def leak_scores(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, span: int
     for size in [n, *sorted(lengths)]:
         part = bench.where(F.size("words") >= n if size == n else F.size("words") == size).withColumn("grams", grams("words", size))
         hits = seed_hits(docs, part, size)
-        seeds = choose_seeds(part, hits, span)
-        own = hits.join(seeds, "gram").select("doc_id", "mark", "item_id", (F.col("at") - F.col("k")).alias("shift"))
+        own = seeds(part, hits)
         found = own if found is None else found.unionByName(own)
     # One passage per document, item and band of diagonals.
     passages = found.withColumn("band", F.floor(F.col("shift") / (2 * margin))).groupBy("doc_id", "mark", "item_id", "band").agg(F.min("shift").alias("low"), F.max("shift").alias("high"))

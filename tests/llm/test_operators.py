@@ -189,6 +189,18 @@ def test_decontamination(spark, empty):
     assert decontaminate.decontaminate(given, bench.limit(0)).count() == len(docs)
 
 
+def test_decontamination_of_edited_copies_beside_exact_ones(spark):
+    """An exact copy makes the n-grams that an edited copy keeps the commoner ones; both are found."""
+    items = {i: words(40, 100 + i, 3000) for i in range(6)}
+    docs = []
+    for i, item in items.items():
+        edited = [f"other{k}" if k % 8 == i else w for k, w in enumerate(item.split())]
+        docs += [(10 * i, words(60, 200 + i, 3000) + " " + item, "a"), (10 * i + 1, words(60, 300 + i, 3000) + " " + " ".join(edited), "a")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, tuple(r.item_ids)) for r in decontaminate.contaminated(table(spark, docs), bench).collect()}
+    assert found == {(d, (d // 10,)) for d, _, _ in docs}
+
+
 def test_alignment():
     number = lambda s: np.array([ord(c) for c in s])
 
