@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting takes a bounded sample of labelled documents. The terms that tell the labels apart in it (bounded, too) make
-the vocabulary; how many documents hold each term is counted over all documents. The examples' normalised TF-IDF
-vectors go into an inverted index whose postings lie in blocks of neighbouring examples, with the largest weight of
-each term in each block. A query's bound on a block is the sum of its weights times these; blocks are read from the
-highest bounds first, and then only those that can still beat the k-th example found. So the k nearest are exact, and the index, bounded
-by the sample, is what tasks share.
+Fitting takes a bounded sample of labelled documents, and all words of these are the vocabulary. How many documents
+hold each word is counted over all documents, also for the words that no example holds: they make a query longer, so
+cosines are over all words of both texts. Words whose shares tell the labels apart weigh more; none is left out. The
+examples' vectors go into an inverted index of sparse postings that lie in blocks of neighbouring examples, with the
+largest weight of each term in each block. A query's bound on a block is the sum of its weights times these; blocks
+are read from the highest bounds first, and then only those that can still beat the k-th example found. So the k
+nearest are exact, and the index, bounded by the sample, is what tasks share.
 
 Votes weigh 1 / (distance + EPSILON), with a prior that a lone far neighbour cannot outvote. A logistic curve, fitted
 on votes that leave each example itself out and weighted back to the classes' shares, makes them scores.
@@ -15,18 +16,22 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized_broadcast
 
 #: Bounds of the sample: examples of either class. Those with the smallest hashes of the id are taken.
 MOST_TOXIC, MOST_CLEAN = 3_000, 6_000
-#: Terms of the vocabulary at most, and how many standard errors apart their shares in the classes must be.
-MOST_TERMS, LEAST_Z = 512, 4.0
+#: Standard errors between a term's shares in the classes from which it weighs its contrast's square, not 1.
+LEAST_Z = 4.0
+#: Rows up to which counts of words outside the vocabulary, or their sums by document, are broadcast.
+BROADCAST_ROWS = 2_000_000
 NEIGHBOURS, BLOCK, FIRST_BLOCKS, EPSILON, PRIOR_WEIGHT = 12, 64, 4, 0.05, 1.0
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,8 +55,8 @@ def labelled_sample(labels: DataFrame) -> DataFrame:
     return materialize(parts[0].unionByName(parts[1]), "toxic-sample")
 
 
-def choose_terms(docs: DataFrame, sample: DataFrame) -> list[str]:
-    """The terms whose shares of toxic and of clean examples lie furthest apart, in standard errors."""
+def weigh_terms(docs: DataFrame, sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the sample, in order, and the weight of each by how far apart its shares in the classes lie."""
 
     def split(batches):
         import pyarrow as pa
@@ -68,73 +73,129 @@ def choose_terms(docs: DataFrame, sample: DataFrame) -> list[str]:
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not p or not n:
-        return []
-    held = texts.mapInArrow(split, "toxic int, term string").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b >= 3")
-    share = (F.col("a") + F.col("b") + 1) / (p + n + 2)
-    z = F.abs(F.col("a") / p - F.col("b") / n) / F.sqrt(share * (1 - share) * (1 / p + 1 / n))
-    return [r["term"] for r in held.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()]
+        return [], np.zeros(0)
+    held = texts.mapInArrow(split, "toxic int, term string").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    found = held.toArrow()  # the words of the sample
+    term, a, b = (found.column(c).to_numpy() for c in ("term", "a", "b"))
+    order = np.argsort(term)
+    a, b = a[order].astype(np.float64), b[order].astype(np.float64)
+    share = (a + b + 1) / (p + n + 2)
+    z = np.abs(a / p - b / n) / np.sqrt(share * (1 - share) * (1 / p + 1 / n))
+    return list(term[order]), np.where((a + b >= 3) & (z >= LEAST_Z), z * z, 1.0)
 
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Sparse counts of `terms` in each whole text: doc_id, at (ascending term numbers), n (their counts)."""
-    number = {t: k for k, t in enumerate(terms)}
+    """Sparse counts of each whole text: row, doc_id, at (ascending term numbers), n (their counts), far and far_n (hashes and counts of other words)."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})  # bounded by the sample
 
     def count(batches):
         import pyarrow as pa
 
+        number = shared.value
         for batch in batches:
-            at, n = [], []
-            for text in batch.column(1):
-                own: dict[int, int] = {}
-                for word in _terms(text.as_py()):
+            at, n, far, far_n = [], [], [], []
+            for text in batch.column(2):
+                own, other = {}, {}
+                for word, times in Counter(_terms(text.as_py())).items():
                     if (k := number.get(word)) is not None:
-                        own[k] = own.get(k, 0) + 1
+                        own[k] = times
+                    else:
+                        other[xxhash.xxh3_64_intdigest(word) - 2**63] = times
                 at.append(keys := sorted(own))
                 n.append([own[k] for k in keys])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(n, pa.list_(pa.int32()))})
+                far.append(list(other))
+                far_n.append(list(other.values()))
+            ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "doc_id": batch.column(1), "at": pa.array(at, ints), "n": pa.array(n, ints), "far": pa.array(far, longs), "far_n": pa.array(far_n, ints)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, at array<int>, n array<int>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(count, "row long, doc_id long, at array<int>, n array<int>, far array<long>, far_n array<int>")
 
 
-def _vector(at, n, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def document_counts(counts: DataFrame, n_terms: int) -> np.ndarray:
+    """How many rows hold each term; a task sends one row per term at most."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        often = np.zeros(n_terms, dtype=np.int64)
+        for batch in batches:
+            often += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n_terms)
+        held = np.flatnonzero(often)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(held, pa.int32()), "often": pa.array(often[held], pa.int64())})
+
+    found = counts.select("at").mapInArrow(add, "term int, often long").groupBy("term").agg(F.sum("often").alias("often")).toArrow()
+    often = np.zeros(n_terms)
+    often[found.column("term").to_numpy()] = found.column("often").to_numpy()
+    return often
+
+
+def with_far(counts: DataFrame, total: int) -> DataFrame:
+    """doc_id, at, n, rest: what the words outside the vocabulary add to the square of the text's length."""
+    far = counts.select("row", F.explode(F.arrays_zip("far", "far_n")).alias("f")).select("row", F.col("f.far").alias("word"), F.col("f.far_n").alias("times"))
+    often = materialize(far.groupBy("word").agg(F.count("*").alias("often")), "toxic-far")
+    weight = (1 + F.log(F.col("times").cast("double"))) * (F.log(F.lit(1.0 + total) / (1 + F.col("often"))) + 1)
+    rest = materialize(far.join(sized_broadcast(often, BROADCAST_ROWS), "word").groupBy("row").agg(F.sum(weight * weight).alias("rest")), "toxic-rest")
+    return counts.join(sized_broadcast(rest, BROADCAST_ROWS), "row", "left").select("doc_id", "at", "n", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+
+
+def _vector(at, n, idf: np.ndarray, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     at = np.asarray(at, dtype=np.int64)
     w = (1 + np.log(np.asarray(n, dtype=np.float64))) * idf[at]
-    return at, w / np.sqrt(np.sum(w * w)) if len(w) else w
+    return at, w / np.sqrt(np.sum(w * w) + rest) if len(w) else w
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 class BlockMaxIndex:
-    """Inverted index over unit vectors: each term's weights by block of examples, and its largest in each block."""
+    """Inverted index over vectors: sparse postings by term and block of examples, and each term's largest weight in each block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         # Examples with the same heaviest term stand together, so that block bounds are tight.
         self.order = np.array(sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else n_terms, i)), dtype=np.int64)
         self.n_blocks = -(-len(vectors) // BLOCK)
-        self.postings = np.zeros((n_terms, self.n_blocks, BLOCK))
-        for place, i in enumerate(self.order):
-            self.postings[vectors[i][0], place // BLOCK, place % BLOCK] = vectors[i][1]
-        self.most = self.postings.max(axis=2) if len(vectors) else np.zeros((n_terms, 0))
-
-    def _read(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the examples of `blocks` that share a term with the query."""
-        scores = np.tensordot(w, self.postings[np.ix_(at, blocks)], axes=1).ravel()
-        places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        hit = (scores > 0) & (places != without)
-        return places[hit], scores[hit]
+        none = [np.zeros(0, np.int64)]
+        term = np.concatenate([vectors[i][0] for i in self.order] or none).astype(np.int64)
+        place = np.repeat(np.arange(len(vectors)), [len(vectors[i][0]) for i in self.order])
+        by = np.argsort(term, kind="stable")  # places stay in order
+        term, self.place = term[by], place[by].astype(np.int64)
+        self.weight = np.concatenate([vectors[i][1] for i in self.order] or none).astype(np.float64)[by]
+        # An entry is a term's postings in one block.
+        key = term * max(1, self.n_blocks) + self.place // BLOCK
+        self.start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.size = np.diff(np.r_[self.start, len(key)])
+        self.block = self.place[self.start] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, self.start) if len(key) else np.zeros(0)
+        self.first = np.searchsorted(term[self.start], np.arange(n_terms + 1))
+
+    def _read(self, entries: np.ndarray, w: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the examples in `entries`, whose terms have weights `w` in the query."""
+        at = _ranges(self.start[entries], self.size[entries])
+        scores = np.bincount(self.place[at], np.repeat(w, self.size[entries]) * self.weight[at], len(self.order))
+        if without >= 0:
+            scores[without] = 0
+        places = np.flatnonzero(scores > 0)
+        return places, scores[places]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties by place; exact.
 
         The blocks with the highest bounds give k candidates; then only blocks whose bound reaches the k-th are read.
         """
-        bounds = w @ self.most[at]
-        blocks = np.argsort(-bounds, kind="stable")
-        blocks = blocks[: np.count_nonzero(bounds > 0)]
-        places, scores = self._read(at, w, blocks[:FIRST_BLOCKS], without)
+        count = self.first[at + 1] - self.first[at]
+        entries, w = _ranges(self.first[at], count), np.repeat(w, count)
+        bounds = np.bincount(self.block[entries], w * self.most[entries], self.n_blocks)
+        top = np.zeros(self.n_blocks, dtype=bool)
+        top[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        now = top[self.block[entries]]
+        places, scores = self._read(entries[now], w[now], without)
         floor = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = blocks[FIRST_BLOCKS:]
-        rest = rest[bounds[rest] >= floor - 1e-12]
-        if len(rest):
-            more = self._read(at, w, rest, without)
+        rest = (~top & (bounds >= floor - 1e-12))[self.block[entries]]
+        if rest.any():
+            more = self._read(entries[rest], w[rest], without)
             places, scores = np.concatenate([places, more[0]]), np.concatenate([scores, more[1]])
         if len(scores) > k:
             near = scores >= np.partition(scores, -k)[-k] - 1e-12
@@ -159,11 +220,11 @@ class ToxicityModel:
         share = (weights @ self.toxic[near] + PRIOR_WEIGHT * self.prior) / (weights.sum() + PRIOR_WEIGHT)
         return math.log(share / (1 - share)), near, cosines
 
-    def score(self, at, n) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score, nearest examples, cosines) of sparse counts."""
+    def score(self, at, n, rest: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, nearest examples, cosines) of sparse counts; `rest` is of the words outside the vocabulary."""
         if not self.terms:
             return self.prior, np.empty(0, np.int64), np.empty(0)
-        vote, near, cosines = self._vote(*_vector(at, n, self.idf))
+        vote, near, cosines = self._vote(*_vector(at, n, self.idf, rest))
         return 1 / (1 + math.exp(-(self.curve[0] * vote + self.curve[1]))), near, cosines
 
 
@@ -179,35 +240,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[ToxicityModel, DataFrame]:
-    """The model, and the term counts of all `docs` that it was made with (written out, to be scored)."""
+    """The model, and the term counts of all `docs` that it was made with (to be scored)."""
     sample = labelled_sample(labels)
-    terms = choose_terms(docs, sample)
+    terms, contrast = weigh_terms(docs, sample)
     counts = materialize(term_counts(docs, terms), "toxic-counts")
     total = counts.count()
-    often = np.zeros(len(terms))
-    for r in counts.select(F.explode("at").alias("term")).groupBy("term").count().collect():  # one row per term
-        often[r["term"]] = r["count"]
-    idf = np.log((1 + total) / (1 + often)) + 1
+    idf = contrast * (np.log((1 + total) / (1 + document_counts(counts, len(terms)))) + 1)
     found = counts.join(F.broadcast(sample), counts["doc_id"] == sample["id"]).groupBy("id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("at", "n")).alias("v"))
-    rows = sorted(found.collect(), key=lambda r: r["id"])  # the sample, bounded
-    vectors = [_vector(r["v"]["at"], r["v"]["n"], idf) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], dtype=np.float64)
+    rows = found.select("id", "toxic", "v.at", "v.n").toArrow().sort_by("id")  # the sample, bounded
+    vectors = [_vector(at.values.to_numpy(), n.values.to_numpy(), idf) for at, n in zip(rows["at"], rows["n"], strict=True)]
+    toxic = rows["toxic"].to_numpy().astype(np.float64)
     shares = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("double"))).collect()[0][0]
     prior = min(0.99, max(0.001, shares if shares is not None else 0.0))
-    model = ToxicityModel(terms, idf, [r["id"] for r in rows], toxic, BlockMaxIndex(vectors, len(terms)), prior, (1.0, 0.0))
+    model = ToxicityModel(terms, idf, rows["id"].to_pylist(), toxic, BlockMaxIndex(vectors, len(terms)), prior, (1.0, 0.0))
     if terms and 0 < toxic.sum() < len(toxic):
         place = {int(i): p for p, i in enumerate(model.index.order)}
         votes = np.array([model._vote(*v, without=place[i])[0] for i, v in enumerate(vectors)])
         weight = np.where(toxic == 1, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
         model.curve = _logistic(votes, toxic, weight)
-    return model, counts
+    return model, with_far(counts, total)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """Per row of `docs`: doc_id, held_out, score (0 to 1), predicted (score >= threshold), evidence.
 
     docs: doc_id, text; labels: doc_id, toxic (0 or 1); other columns are ignored. evidence: the nearest examples with
-    doc_id, cosine and toxic. Null and empty texts, and texts without a term of the vocabulary, get the score of no
+    doc_id, cosine and toxic. Null and empty texts, and texts without a word of any example, get the score of no
     neighbours. Without labels of both classes every score is the labels' share of toxic rows.
     """
     model, counts = fit_toxicity(docs, labels)
@@ -220,12 +278,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             scores, near = [], []
-            for at, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (tuple(at), tuple(n))
+            for at, n, rest in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                at, n = at.values.to_numpy(), n.values.to_numpy()
+                key = (xxhash.xxh3_128_digest(at.tobytes() + n.tobytes()), rest)
                 if key not in known:
                     if len(known) >= 50_000:
                         known.clear()
-                    s, found, cosines = model.score(at, n)
+                    s, found, cosines = model.score(at, n, rest)
                     known[key] = s, [{"doc_id": model.ids[i], "cosine": float(c), "toxic": int(model.toxic[i])} for i, c in zip(found[:3], cosines[:3], strict=True)]
                 scores.append(known[key][0])
                 near.append(known[key][1])

@@ -1,6 +1,8 @@
 """Small tables: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import math
 import random
+import zlib
 from collections import Counter
 
 import brute
@@ -288,6 +290,22 @@ def test_toxicity_edges(spark, odd, empty):
     assert len(toxicity.score_toxicity(docs, labels.limit(0)).collect()) == len(rows)
 
 
+def test_toxicity_takes_all_words(spark):
+    """A copy of a toxic example finds it by words that do not tell the labels apart; cosines are over all words of both texts."""
+    ids = [i for i in range(1, 90) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    texts = {i: " ".join(chr(97 + k // 26 % 26) * 2 + chr(97 + k % 26) for k in random.Random(i).sample(range(300), 30)) for i in ids}
+    toxic = ids[:8]
+    docs = [(i, t, "a") for i, t in texts.items()] + [(1000, texts[toxic[0]], "a"), (1001, texts[toxic[1]] + " unheard", "a"), (1002, "unheard unseen", "a")]
+    labels = spark.createDataFrame([(i, 0, int(i in toxic)) for i in ids], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(table(spark, docs), labels).collect()}
+    assert got[1000].evidence[0].doc_id == toxic[0] and got[1000].evidence[0].cosine == pytest.approx(1)
+    model, _ = toxicity.fit_toxicity(table(spark, docs), labels)
+    idf = lambda n: math.log((1 + len(docs)) / (1 + n)) + 1
+    own = sum(model.idf[model.terms.index(w)] ** 2 for w in texts[toxic[1]].split())
+    assert got[1001].evidence[0].doc_id == toxic[1] and got[1001].evidence[0].cosine == pytest.approx(math.sqrt(own / (own + idf(2) ** 2)))
+    assert got[1002].evidence == [] and got[1000].score > got[1002].score
+
+
 def test_site_quality(spark, odd, empty):
     rows, docs = odd
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
