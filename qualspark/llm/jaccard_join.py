@@ -81,7 +81,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
     """Those of `pairs` (a, b: nodes) whose whole sets reach the threshold, written out."""
     pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(wanted.join(reps, "node").select(F.col("doc_id").alias("_rep"), F.col("node").alias("_node")), "jaccard-wanted")
+    wanted = materialize(wanted.join(reps, "node").select(F.col("rep.doc_id").alias("_rep"), F.col("rep.mark").alias("_rep_mark"), F.col("node").alias("_node")), "jaccard-wanted")
 
     def sets(batches):
         import pyarrow as pa
@@ -97,8 +97,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
                     out.append(own.view(np.int64))
             yield pa.RecordBatch.from_pydict({"node": pa.array(kept, pa.int64()), "own": pa.array(out, pa.list_(pa.int64()))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_rep"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(sized_broadcast(wanted, BROADCAST_ROWS), "_rep")
+    # A set may be held by rows with a null doc_id only.
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_mark"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(sized_broadcast(wanted, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_mark") == F.col("_rep_mark")))
     whole = materialize(rows.select("_node", "text").mapInArrow(sets, "node long, own array<long>"), "jaccard-sets")
     left = pairs.join(whole.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(whole.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
@@ -119,7 +120,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     component id unless a component has nothing else.
     """
     rows = materialize(shingle_windows(docs, width, num, den), "jaccard-windows")
-    reps = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "mark")).alias("rep"))
     posted = rows.where("window is not null").select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("window").alias("pos", "token"))
     # Rows per shingle first, with map-side sums; most shingles end here. Copies in other tasks are dropped after.
     often = posted.groupBy("token").count().where("count > 1").select("token")

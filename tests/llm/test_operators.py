@@ -112,6 +112,13 @@ def test_jaccard_edges(spark, odd, empty):
     assert jaccard_join.jaccard_components(empty).collect() == []
 
 
+def test_jaccard_links_near_copies_without_ids(spark):
+    text = words(200, 77, 5000)
+    rows = [(4, text, "a"), (None, text + " tail", "a"), (6, words(200, 78, 5000), "a")]
+    got = jaccard_join.jaccard_components(table(spark, rows), width=4, num=85, den=100).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(4, 4), (None, 4), (6, 6)}
+
+
 def test_jaccard_families(spark):
     """Families of near copies, a passage in many texts, and chains of links, against all pairs."""
     r, rows = random.Random(4), []
