@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -46,12 +45,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages now: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def words_of(text) -> F.Column:
     """Array of the text's words (WORD), built-in functions only; null text: empty array."""
     plain = F.coalesce(text, F.lit(""))
