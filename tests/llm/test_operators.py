@@ -307,10 +307,30 @@ def test_toxicity_takes_all_words(spark):
     got = {r.doc_id: r for r in toxicity.score_toxicity(table(spark, docs), labels).collect()}
     assert got[1000].evidence[0].doc_id == toxic[0] and got[1000].evidence[0].cosine == pytest.approx(1)
     model, _ = toxicity.fit_toxicity(table(spark, docs), labels)
-    idf = lambda n: math.log((1 + len(docs)) / (1 + n)) + 1
-    own = sum(model.idf[model.terms.index(w)] ** 2 for w in texts[toxic[1]].split())
-    assert got[1001].evidence[0].doc_id == toxic[1] and got[1001].evidence[0].cosine == pytest.approx(math.sqrt(own / (own + idf(2) ** 2)))
+    terms = sorted({w for i in ids for w in texts[i].split()})
+    rare = math.log((1 + len(docs)) / 2) + 1
+    own = sum(model.idf[terms.index(w)] ** 2 for w in texts[toxic[1]].split())
+    assert got[1001].evidence[0].doc_id == toxic[1] and got[1001].evidence[0].cosine == pytest.approx(math.sqrt(own / (own + rare**2)))
     assert got[1002].evidence == [] and got[1000].score > got[1002].score
+    assert all(e.doc_id != i for i in ids for e in got[i].evidence)
+
+
+def test_toxicity_equals_dense_cosines(spark):
+    """All scores of the query's operator, against all pairs of whole vectors."""
+    r = random.Random(3)
+    word = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    docs, labels = [], []
+    for i in range(240):
+        y = i % 5 == 0
+        text = " ".join(word(r.randrange(200)) for _ in range(r.randrange(3, 40))) + y * (" zz" + " zy" * r.randrange(3))
+        docs.append((i, text if i % 31 else None, "a"))
+        if i % 3:
+            labels.append((i, 0, int(y)))
+    got = {x.doc_id: x for x in toxicity.score_toxicity(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    want = brute.toxicity([(i, t) for i, t, _ in docs], [(i, y) for i, _, y in labels])
+    assert set(got) == set(want)
+    for i, (held_out, score) in want.items():
+        assert got[i].held_out == held_out and got[i].score == pytest.approx(score, abs=1e-6), i
 
 
 def test_site_quality(spark, odd, empty):
