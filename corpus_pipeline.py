@@ -19,7 +19,11 @@ from qualspark.llm.token_store import encode_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor a learned rule rejects."""
+    """Documents that neither the base rule nor a learned rule rejects.
+
+    Null, empty and short texts fail the base rule and go. Rows that repeat a document are judged alike. Ties between
+    rules go to the first. Rows stay whole, so columns of any name stay; an empty table stays empty.
+    """
     rules = fit_quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return apply_quality_rules(packed(docs, "text"), rules).where("kept").select("_row.*")
 
@@ -46,17 +50,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item; the whole document goes.
+
+    Null and empty texts hold nothing and stay, as do all rows where the benchmark is empty. Rows that repeat a document
+    go or stay together. Rows stay whole, so columns of any name stay; an empty table stays empty.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, 0 to 3 times; a null source is one more source.
+
+    Null and empty texts have size 0 and are sampled as others are. Rows that repeat a document are sampled each on
+    their own. Columns of any name stay; an empty table stays empty.
+    """
     return emit_mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token shards of the mix, read back: doc_id, start, n_tokens, ids_crc32, a row for each copy in doc_id order.
+
+    Null and empty texts hold the end id alone; null doc_ids come first. Other columns are ignored; an empty table gives
+    no rows.
+    """
     import public_tokenizers
 
     return encode_documents(spark, docs, public_tokenizers.path(TOKENIZER), end_id=1)

@@ -37,5 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(done)
         if edges.isEmpty():
             least = roots.groupBy("root").agg(F.min("node").alias("least"))
-            return materialize(roots.join(least, "root").select("node", F.least("least", "root").alias("root")), "components")
+            named = materialize(roots.join(least, "root").select("node", F.least("least", "root").alias("root")), "components")
+            discard(edges, point, *([roots] if hasattr(roots, "scratch_path") else []))
+            return named
     raise RuntimeError("components did not converge")

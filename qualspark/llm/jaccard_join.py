@@ -363,6 +363,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
         hubs = materialize(hubs.select("token", "h.*"), "jaccard-hubs")
         found = labelled.join(other(hubs), "token").where(_may_link(num, den)).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
         links = _verified(found, sets, num, den)
+        discard(hubs)
         n = links.count()
         if n:
             parts = _merged(parts, links)
@@ -377,6 +378,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     links = _verified(met.where("met >= least").select("a", "b"), sets, num, den)
     if not links.isEmpty():
         parts = _merged(parts, links)
+    discard(labelled, posts, whole, wanted)
     return _named(rows, parts)
 
 

@@ -6,7 +6,8 @@ that its step crosses: 0 to 3 times. Documents stand in the order of their sizes
 share of long and short ones and the taken words stay near the target.
 
 The running sum of a large source is split: documents fall into cells (source, size class, salt), each numbered within
-itself, and the cells' counts are summed per source. A cell is what one task sorts.
+itself, and the cells' counts are summed per source. A cell is what one task sorts. Rows that repeat a document are one
+row with a count there, so no repeated row fills a cell.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, words_of
+from .common import materialize, packed, sized_broadcast, words_of
 
-#: Documents that a cell of the most common size class holds, roughly, before salts split it further.
-CELL_ROWS = 1_000_000
-#: Cells per size class at least.
-LEAST_SALTS = 16
+#: Cells per size class of a source, whatever the table's size, so that the order of documents never depends on it.
+SALTS = 64
+#: Rows up to which the plan of a mix is broadcast to the texts; above, the join is shuffled.
+BROADCAST_ROWS = 2_000_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -58,35 +59,36 @@ def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), *, m
     without words has target 0, and none of its documents is taken. The same rows and seed give the same result.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("mark"))
-    sized = materialize(sized, "mix-sizes")
-    total = sized.count()
-    salts = max(LEAST_SALTS, -(-total // (4 * CELL_ROWS)))
-    cell = [F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("s"), F.floor(4 * F.log2(F.col("size") + F.lit(1.0))).cast("int").alias("c"), F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int").alias("k")]
-    sized = sized.select("*", *cell)
-    cells = sized.groupBy("s", "c", "k").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    cell = [F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("s"), F.floor(4 * F.log2(F.col("size") + F.lit(1.0))).cast("int").alias("c"), F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)).cast("int").alias("k")]
+    sized = materialize(sized.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n")).select("*", *cell), "mix-sizes")
+    cells = sized.groupBy("s", "c", "k").agg(F.first("source").alias("source"), F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("size"))
     cells = materialize(cells, "mix-cells")
     sources = source_targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     named = sources.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("s"), "source_size", "target", _offset(seed).alias("offset"))
     earlier = Window.partitionBy("s").orderBy("c", "k").rowsBetween(Window.unboundedPreceding, -1)
     counted = cells.select("s", "c", "k", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     placed = counted.join(named, "s")
-    within = Window.partitionBy("s", "c", "k").orderBy("size", F.xxhash64("doc_id", "mark"), "doc_id", "mark")
-    numbered = sized.withColumn("at", F.row_number().over(within)).join(placed, ["s", "c", "k"])
+    within = Window.partitionBy("s", "c", "k").orderBy("size", F.xxhash64("doc_id", "mark"), "doc_id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = sized.withColumn("at", F.sum("n").over(within)).join(placed, ["s", "c", "k"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    last = F.col("before") + F.col("at")
-    copies = F.floor(F.col("offset") + last * rate) - F.floor(F.col("offset") + (last - 1) * rate)
-    return numbered.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "mark")
+    each = numbered.select("doc_id", "source", "size", "source_size", "target", "mark", "offset", rate.alias("rate"), F.explode(F.sequence(F.col("before") + F.col("at") - F.col("n") + 1, F.col("before") + F.col("at"))).alias("last"))
+    copies = F.floor(F.col("offset") + F.col("last") * F.col("rate")) - F.floor(F.col("offset") + (F.col("last") - 1) * F.col("rate"))
+    return each.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "mark")
 
 
 def emit_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), *, most: float = 3.0, seed: int = 17) -> DataFrame:
-    """`docs` itself with each row as often as the mix takes it; all its columns stay."""
+    """`docs` itself with each row as often as the mix takes it; all its columns stay, whatever their names.
+
+    Rows that repeat doc_id, source and text are interchangeable: one of them stands for all of their copies. Only such
+    rows move; the others meet the plan where they are, unless the plan is too large to broadcast.
+    """
     plan = mix_to_weights(docs, weights, most=most, seed=seed)
-    # Equal rows (doc_id, source, text) are interchangeable: their copies are summed and dealt out again evenly.
     plan = plan.groupBy("doc_id", "source", "mark").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("mark").alias("_m"), "_copies", "_rows").where("_copies > 0")
+    plan = materialize(plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("mark").alias("_m"), F.col("_copies").cast("int").alias("_copies"), "_rows").where("_copies > 0"), "mix-plan")
     own = packed(docs, "doc_id", "source").withColumn("_mark", F.xxhash64(F.col("_row.text")))
-    hit = own.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_mark") == F.col("_m")))
-    same = Window.partitionBy("_d", "_s", "_m").orderBy("_m")
-    share = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long"))
-    dealt = hit.withColumn("_nth", F.row_number().over(same)).select("_row", share.alias("_n")).where("_n > 0")
-    return dealt.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")
+    taken = lambda of: own.join(sized_broadcast(of, BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_mark") == F.col("_m")))
+    hit = taken(plan.where("_rows = 1")).select("_row", "_copies")
+    again = plan.where("_rows > 1")
+    if not again.isEmpty():
+        hit = hit.unionByName(taken(again).groupBy("_d", "_s", "_m", "_copies").agg(F.first("_row").alias("_row")).select("_row", "_copies"))
+    return hit.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
