@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ def recalibrate(spark: SparkSession, reads: str, corrected: str, out: str, infer
 
 def benchmark(spark: SparkSession, sam: str, fasta: str, vcf: str, bed: str | None = None, reads: str | None = None, label: str | None = None, use_original: bool = False) -> DataFrame:
     """Calibration table of aligned reads, or of the reads of a FASTQ file that the alignments know by name."""
-    rows = alignments.as_reads(alignments.read_sam(spark, sam), use_original)
+    stored = alignments.read_bam(spark, [_uri(sam)]) if sam.endswith(".bam") else alignments.read_sam(spark, sam)
+    rows = alignments.as_reads(stored, use_original)
     written = rows.withColumn("seq", F.when(F.col("reverse"), F.reverse(F.translate("seq", "ATGC", "TACG"))).otherwise(F.col("seq")))
     reference = sites.reference_bases(sites.read_fasta(spark, fasta))
     skipped = align.variant_sites(sites.read_vcf(spark, vcf))
@@ -46,6 +48,10 @@ def benchmark(spark: SparkSession, sam: str, fasta: str, vcf: str, bed: str | No
     return calibration.calibration_table(found.join(quals, "rec").select(q.alias("q"), "error", "skip"), label or reads or sam)
 
 
+def _uri(path: str) -> str:
+    return path if "://" in path else f"file://{os.path.abspath(path)}"
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="qualspark")
     kinds = parser.add_subparsers(dest="command", required=True)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, phred
-from ..operators import align, bases, calibration, model, regression, report
+from ..operators import align, aligned, bases, calibration, model, regression, report
 from . import synthetic as syn
+from .tables import materialize, shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,15 +53,17 @@ def _post(source: str, keys: str) -> str:
       FROM {source} x, (SELECT unnest(range(1, 43)) AS c)) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY fit DESC, c) = 1)"""
 
 
-_MODEL = f"""{_COUNTS}, {_MEANS},
-g0 AS (SELECT rg, mean_q, mean_q AS prior, {_ADD} FROM counts JOIN means USING (rg) GROUP BY rg, mean_q),
-g AS (SELECT rg, mean_q, post FROM {_post('g0', 'rg')}),
-h0 AS (SELECT c.rg, c.q, g.post AS prior, {_ADD} FROM counts c JOIN g USING (rg) GROUP BY c.rg, c.q, g.post),
+_BELOW = f"""h0 AS (SELECT c.rg, c.q, g.post AS prior, {_ADD} FROM counts c JOIN g USING (rg) GROUP BY c.rg, c.q, g.post),
 h AS (SELECT * FROM {_post('h0', 'rg, q')}),
 y0 AS (SELECT c.rg, c.q, c.cycle, h.post AS prior, CAST(sum(c.errors) AS BIGINT) AS errors, CAST(sum(c.total) AS BIGINT) AS total FROM counts c JOIN h ON c.rg = h.rg AND c.q = h.q GROUP BY c.rg, c.q, c.cycle, h.post),
 y AS (SELECT * FROM {_post('y0', 'rg, q, cycle')}),
 d0 AS (SELECT c.rg, c.q, c.dinuc, h.post AS prior, CAST(sum(c.errors) AS BIGINT) AS errors, CAST(sum(c.total) AS BIGINT) AS total FROM counts c JOIN h ON c.rg = h.rg AND c.q = h.q WHERE c.dinuc >= 0 GROUP BY c.rg, c.q, c.dinuc, h.post),
 d AS (SELECT * FROM {_post('d0', 'rg, q, dinuc')})"""
+_MODEL = f"""{_COUNTS}, {_MEANS},
+g0 AS (SELECT rg, mean_q, mean_q AS prior, {_ADD} FROM counts JOIN means USING (rg) GROUP BY rg, mean_q),
+g AS (SELECT rg, mean_q, post FROM {_post('g0', 'rg')}),
+{_BELOW}"""
+_EST = "e0 AS (SELECT rg, round(-10 * log10(sum(pow(10, -q / 10.0) * total) / sum(total)), 5) AS prior, " + _ADD + " FROM (SELECT rg, q, " + _ADD + " FROM counts GROUP BY ALL) GROUP BY rg)"
 _ACTUAL = "CASE WHEN {e} = 0 THEN 42 ELSE greatest(0, least(42, CAST(trunc(-10 * log10({e} / CAST({n} AS DOUBLE))) AS INTEGER))) END"
 _ERRORS = f"""{_A}, {syn.SITES_SQL},
 ref AS (SELECT chrom, CAST(p AS INTEGER) AS pos, substring(corrected, p - k * {syn.READ} + 1, 1) AS base FROM (SELECT chrom, k, corrected, unnest(range(k * {syn.READ}, k * {syn.READ} + length(corrected))) AS p FROM reads)),
@@ -168,8 +170,7 @@ def stream_cov_q(spark, sf_dir):
     """The counts by (rg, q), from a stream over the documents."""
     from ..streaming.counts import latest_counts, write_counts
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     reads = syn.reads_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*"))
     write_counts(reads, f"{out}/counts", f"{out}/state").awaitTermination()
@@ -309,36 +310,57 @@ def trim(spark, sf_dir):
 _STRAND = f"""clip AS (SELECT rec, CASE WHEN length(seq) >= 60 AND rec % 4 = 1 THEN 10 ELSE 0 END AS aln_start FROM reads),
 strand AS (SELECT a.rec, a.rg, CAST(p AS INTEGER) AS pos, base, CAST(q AS INTEGER) AS q, CAST(CASE WHEN second THEN -(o + 1) ELSE o END AS INTEGER) AS cycle,
   CAST(CASE WHEN p < aln_start THEN 0 WHEN second THEN -(oc + 1) ELSE oc END AS INTEGER) AS clip_cycle,
-  CAST(CASE WHEN instr('ATGC', own) > 0 AND prev <> '' AND instr('ATGC', prev) > 0 AND q >= 6 THEN 4 * (instr('ATGC', prev) - 1) + instr('ATGC', own) - 1 ELSE -1 END AS INTEGER) AS dinuc FROM
+  CAST(CASE WHEN instr('ATGC', own) > 0 AND prev <> '' AND instr('ATGC', prev) > 0 AND q >= 6 THEN 4 * (instr('ATGC', prev) - 1) + instr('ATGC', own) - 1 ELSE -1 END AS INTEGER) AS dinuc,
+  CAST(CASE WHEN p < aln_start THEN 0 WHEN oc = 0 THEN -1 WHEN instr('ATGC', own) > 0 AND instr('ATGC', prev) > 0 AND q >= 6 THEN 4 * (instr('ATGC', prev) - 1) + instr('ATGC', own) - 1 ELSE -1 END AS INTEGER) AS clip_dinuc FROM
   (SELECT *, substring(seq, p + 1, 1) AS base, ascii(substring(qual, p + 1, 1)) - 33 AS q, CASE WHEN reverse THEN n - 1 - p ELSE p END AS o, CASE WHEN reverse THEN n - 1 - p ELSE p - aln_start END AS oc,
     CASE WHEN reverse THEN translate(substring(seq, p + 1, 1), 'ATGC', 'TACG') ELSE substring(seq, p + 1, 1) END AS own,
     CASE WHEN reverse THEN translate(substring(seq, p + 2, 1), 'ATGC', 'TACG') WHEN p > 0 THEN substring(seq, p, 1) ELSE '' END AS prev
     FROM (SELECT a.*, c.aln_start, unnest(range(0, n)) AS p FROM aligned a JOIN clip c USING (rec))) a)"""
 
 
-def _strand(spark, sf_dir) -> DataFrame:
-    rows = syn.alignments(spark, sf_dir)
-    start = F.when((F.length("seq") >= 60) & (F.col("rec") % 4 == 1), 10).otherwise(0)
-    return align.aligned_covariates(rows.withColumn("aln_start", start).withColumn("aln_end", F.length("seq")))
+def _clipped(spark, sf_dir) -> DataFrame:
+    """Aligned reads with their adaptor boundary and aligned part."""
+    start, end = aligned.aligned_part(F.col("cigar"), F.length("seq"))
+    return _bounded(spark, sf_dir).withColumn("aln_start", start).withColumn("aln_end", end)
 
 
-@_query(f"{_A}, {_STRAND} SELECT rg, cycle, clip_cycle, dinuc, count(*) AS n FROM strand GROUP BY ALL")
+@_query(f"{_A}, {_STRAND} SELECT rg, cycle, clip_cycle, dinuc, clip_dinuc, count(*) AS n FROM strand GROUP BY ALL")
 def strand_covariates(spark, sf_dir):
-    return _strand(spark, sf_dir).groupBy("rg", "cycle", "clip_cycle", "dinuc").agg(F.count("*").alias("n"))
+    return align.aligned_covariates(_clipped(spark, sf_dir)).groupBy("rg", "cycle", "clip_cycle", "dinuc", "clip_dinuc").agg(F.count("*").alias("n"))
 
 
-@_query(
-    f"""{_ERRORS}, {_STRAND}, {_TRIM.removeprefix(_A + ', ')}
-    SELECT s.rg, s.q, s.clip_cycle AS cycle, CASE WHEN s.pos >= 0 THEN s.dinuc END AS dinuc, CAST(sum(CAST(f.error AS BIGINT)) AS BIGINT) AS errors, count(*) AS total FROM strand s JOIN found f ON f.rec = s.rec AND f.read_pos = s.pos
-    LEFT JOIN gone t ON t.rec = s.rec AND t.read_pos = s.pos WHERE s.q >= 6 AND s.base <> 'N' AND NOT f.skip AND t.rec IS NULL GROUP BY ALL"""
-)
+_BAM_COUNTS = f"""{_ERRORS}, {_STRAND}, {_TRIM.removeprefix(_A + ', ')},
+counts AS (SELECT s.rg, s.q, s.clip_cycle AS cycle, s.clip_dinuc AS dinuc, CAST(sum(CAST(f.error AS BIGINT)) AS BIGINT) AS errors, count(*) AS total FROM strand s JOIN found f ON f.rec = s.rec AND f.read_pos = s.pos
+    LEFT JOIN gone t ON t.rec = s.rec AND t.read_pos = s.pos WHERE s.q >= 6 AND s.base <> 'N' AND NOT f.skip AND t.rec IS NULL GROUP BY ALL)"""
+
+
+def _aligned_counts(spark, sf_dir) -> DataFrame:
+    return aligned.aligned_counts(_clipped(spark, sf_dir), _reference(spark, sf_dir), _skipped(spark, sf_dir))
+
+
+@_query(f"{_BAM_COUNTS} SELECT * FROM counts")
 def bam_counts(spark, sf_dir):
     """Finest counts of aligned reads: low qualities, N, clips, adaptor and excluded sites are skipped."""
-    gone = align.trimmed(_bounded(spark, sf_dir)).select("rec", F.col("read_pos").alias("pos"))
-    found = _found(spark, sf_dir).where("not skip").select("rec", F.col("read_pos").alias("pos"), "error")
-    rows = _strand(spark, sf_dir).where((F.col("q") >= phred.LEAST_Q) & (F.col("base") != "N"))
-    rows = rows.join(found, ["rec", "pos"]).join(gone, ["rec", "pos"], "left_anti")
-    return model.finest_counts(rows.select("rg", "q", F.col("clip_cycle").alias("cycle"), "dinuc", "error", F.lit(False).alias("skip")))
+    return _aligned_counts(spark, sf_dir)
+
+
+@_query(f"{_BAM_COUNTS}, {_EST} SELECT rg AS ReadGroup, 'M' AS EventType, CAST(post AS DOUBLE) AS EmpiricalQuality, round(prior, 4) AS EstimatedQReported, total AS Observations, CAST(errors AS DOUBLE) AS Errors FROM {_post('e0', 'rg')}")
+def bam_report(spark, sf_dir):
+    """Alignments to a report: its table by read group."""
+    tables = aligned.alignment_report(_clipped(spark, sf_dir), _reference(spark, sf_dir), _skipped(spark, sf_dir))
+    return tables["RecalTable0"].withColumn("EstimatedQReported", F.round("EstimatedQReported", 4))
+
+
+@_query(
+    f"""{_BAM_COUNTS}, {_EST}, g AS (SELECT rg, prior AS mean_q, post FROM {_post('e0', 'rg')}),
+    {_BELOW}
+    SELECT s.rec, string_agg(chr(CAST(33 + CASE WHEN s.q < 6 THEN s.q ELSE trunc(g.mean_q + (g.post - g.mean_q) + coalesce(h.post - h.prior, 0) + coalesce(y.post - y.prior, 0) + coalesce(d.post - d.prior, 0)) END AS INTEGER)), '' ORDER BY s.pos) AS qual
+    FROM strand s LEFT JOIN g ON g.rg = s.rg LEFT JOIN h ON h.rg = s.rg AND h.q = s.q LEFT JOIN y ON y.rg = s.rg AND y.q = s.q AND y.cycle = s.cycle LEFT JOIN d ON d.rg = s.rg AND d.q = s.q AND d.dinuc = s.dinuc GROUP BY s.rec"""
+)
+def recalibrate_bam(spark, sf_dir):
+    """Alignments to a report, the report to a model, the model to new qualities of the alignments."""
+    counts = materialize(_aligned_counts(spark, sf_dir), "aligned-counts")
+    return aligned.recalibrate_alignments(_clipped(spark, sf_dir), aligned.model_of_report(report.report_tables(counts)))
 
 
 # --- reports -------------------------------------------------------------------------------------------------------
@@ -347,9 +369,6 @@ def quantize(spark, sf_dir):
     return calibration.quantized(model.level_counts(_finest(spark, sf_dir), "rg", "q"))
 
 
-_EST = "e0 AS (SELECT rg, round(-10 * log10(sum(pow(10, -q / 10.0) * total) / sum(total)), 5) AS prior, " + _ADD + " FROM (SELECT rg, q, " + _ADD + " FROM counts GROUP BY ALL) GROUP BY rg)"
-
-
 @_query(f"{_COUNTS}, {_EST} SELECT rg AS ReadGroup, 'M' AS EventType, CAST(post AS DOUBLE) AS EmpiricalQuality, round(prior, 4) AS EstimatedQReported, total AS Observations, CAST(errors AS DOUBLE) AS Errors FROM {_post('e0', 'rg')}")
 def report_rg(spark, sf_dir):
     return report.read_group_table(model.level_counts(_finest(spark, sf_dir), "rg", "q")).withColumn("EstimatedQReported", F.round("EstimatedQReported", 4))

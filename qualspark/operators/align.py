@@ -119,7 +119,8 @@ def aligned_covariates(reads: DataFrame) -> DataFrame:
     """Bases of aligned reads with covariates in sequencing direction, mapped back to alignment direction.
 
     reads: rec, rg, second, reverse, seq, qual, aln_start, aln_end (the part without soft clips). Gives rec, rg, pos,
-    base, q, cycle and dinuc over the whole read, and clip_cycle over the aligned part.
+    base, q, cycle and dinuc over the whole read, and clip_cycle and clip_dinuc over the aligned part alone: 0 in soft
+    clips, and its first base in sequencing direction has no context, whatever was clipped before it.
     """
     letters = F.split("seq", "")
     empty = F.array(F.lit(None).cast("string"))
@@ -128,6 +129,9 @@ def aligned_covariates(reads: DataFrame) -> DataFrame:
     previous = F.when(F.col("reverse"), complement(F.col("x.after"))).otherwise(F.col("x.before"))
     own = F.when(F.col("reverse"), complement(F.col("x.base"))).otherwise(F.col("x.base"))
     q = F.ascii(F.col("x.c")) - 33
+    dinuc = dinucleotide(previous, own, q)
+    clipped = (F.col("pos") < F.col("aln_start")) | (F.col("pos") >= F.col("aln_end"))
+    first = F.col("pos") == F.when(F.col("reverse"), F.col("aln_end") - 1).otherwise(F.col("aln_start"))
     return rows.select(
         "rec",
         "rg",
@@ -135,6 +139,7 @@ def aligned_covariates(reads: DataFrame) -> DataFrame:
         F.col("x.base").alias("base"),
         q.alias("q"),
         strand_cycle(F.col("pos"), F.col("n"), F.col("reverse"), F.col("second")).alias("cycle"),
-        dinucleotide(previous, own, q).alias("dinuc"),
+        dinuc.alias("dinuc"),
         clipped_cycle(F.col("pos"), F.col("aln_start"), F.col("aln_end"), F.col("reverse"), F.col("second")).alias("clip_cycle"),
+        F.when(clipped, 0).when(first, -1).otherwise(dinuc).alias("clip_dinuc"),
     )

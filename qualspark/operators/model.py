@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phred import expected_errors, mean_q, posterior_q
+from .bases import checked_quality
 
 
 def finest_counts(bases: DataFrame) -> DataFrame:
     """errors and total by (rg, q, cycle, dinuc) over bases that are not skipped: one shuffle feeds all levels.
 
     bases: rg, q, cycle, dinuc, error, skip. Sums are made before the shuffle, so a read group that holds most bases
-    costs no more than its cells.
+    costs no more than its cells. A counted quality above the model's range fails.
     """
-    return bases.where(~F.col("skip")).groupBy("rg", "q", "cycle", "dinuc").agg(F.sum(F.col("error").cast("long")).alias("errors"), F.count("*").alias("total"))
+    return bases.where(~F.col("skip")).groupBy("rg", checked_quality(F.col("q")).alias("q"), "cycle", "dinuc").agg(F.sum(F.col("error").cast("long")).alias("errors"), F.count("*").alias("total"))
 
 
 def level_counts(finest: DataFrame, *keys: str) -> DataFrame:
@@ -58,20 +59,27 @@ def fit_model(bases: DataFrame, means: DataFrame | None = None) -> Model:
     finest = finest_counts(bases)
     by_q = level_counts(finest, "rg", "q")
     means = mean_qualities(by_q) if means is None else means
-    post = lambda prior: posterior_q(F.col(prior), F.col("errors"), F.col("total"))
-    same = lambda a, b: a["rg"].eqNullSafe(b["rg"])
     by_rg = level_counts(by_q, "rg")
-    rg = by_rg.join(means, same(by_rg, means)).select(by_rg["rg"], "mean_q", "errors", "total", post("mean_q").alias("post")).withColumn("delta", F.col("post") - F.col("mean_q"))
+    rg = by_rg.join(means, by_rg["rg"].eqNullSafe(means["rg"])).select(by_rg["rg"], "mean_q", "errors", "total")
+    return model_of_counts(rg, by_q, level_counts(finest, "rg", "q", "cycle"), level_counts(finest, "rg", "q", "dinuc"))
+
+
+def model_of_counts(by_rg: DataFrame, by_q: DataFrame, by_cycle: DataFrame, by_dinuc: DataFrame) -> Model:
+    """The model of counts at its four levels, from bases or read from a report.
+
+    by_rg: rg, mean_q (whole, or a fraction as reports have it), errors, total; the others: rg, q, key, errors, total.
+    """
+    post = lambda prior: posterior_q(F.col(prior), F.col("errors"), F.col("total"))
+    rg = by_rg.select("rg", "mean_q", "errors", "total", post("mean_q").alias("post")).withColumn("delta", F.col("post") - F.col("mean_q"))
     parent = rg.select(F.col("rg").alias("_rg"), F.col("post").alias("prior"))
     q = by_q.join(parent, F.col("rg").eqNullSafe(F.col("_rg"))).select("rg", "q", "errors", "total", "prior", post("prior").alias("post")).withColumn("delta", F.col("post") - F.col("prior"))
     parent = q.select(F.col("rg").alias("_rg"), F.col("q").alias("_q"), F.col("post").alias("prior"))
 
-    def cells(key: str) -> DataFrame:
-        counts = level_counts(finest, "rg", "q", key)
+    def cells(counts: DataFrame, key: str) -> DataFrame:
         joined = counts.join(parent, F.col("rg").eqNullSafe(F.col("_rg")) & (F.col("q") == F.col("_q")))
         return joined.select("rg", "q", key, "errors", "total", "prior", (post("prior") - F.col("prior")).alias("delta"))
 
-    return Model(rg, q, cells("cycle"), cells("dinuc"))
+    return Model(rg, q, cells(by_cycle, "cycle"), cells(by_dinuc, "dinuc"))
 
 
 def recalibrated_bases(bases: DataFrame, model: Model, least: int = 6) -> DataFrame:

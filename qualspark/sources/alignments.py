@@ -15,11 +15,14 @@ SCHEMA = "rec long, qname string, flag int, rname string, pos int, mapq int, cig
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of SAM text, rec in file order."""
+    """Alignments of SAM text, rec in file order. Of tags that a line repeats the last one counts."""
     lines = numbered_lines(spark, path).where("value <> '' and not startswith(value, '@')")
-    f = F.split("value", "\t")
+    # Header lines give nulls, as a filter on a field may be evaluated before the one that drops them.
+    f = F.split(F.when(~F.startswith("value", F.lit("@")), F.col("value")), "\t")
     at = lambda k: F.element_at(f, k + 1)
-    pairs = F.transform(F.slice(f, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 6, 1 << 20).alias("v")))
+    fields = F.slice(f, F.lit(12), F.size(f))
+    pairs = F.transform(fields, lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substr(t, F.lit(6)).alias("v")))
+    pairs = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
     return lines.select(
         F.col("line").alias("rec"),
         at(0).alias("qname"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from qualspark.functions import covariates, names, phred
 from qualspark.jobs import cli
-from qualspark.operators import align, bases, calibration, model, report
+from qualspark.operators import align, aligned, bases, calibration, model, report
 from qualspark.sources import alignments, fastq, report_file, sites
 
 SAM = """@HD\tVN:1.6\tSO:coordinate
@@ -108,6 +108,59 @@ def test_dinucleotides(spark):
     assert codes == list(range(16))
 
 
+def test_context_of_the_aligned_part(spark):
+    """A clip before the first aligned base gives it no context, in sequencing direction."""
+    rows = [(0, "a", False, True, "CAGCGGCAT", "+" * 9, 2, 9), (1, "a", False, False, "ATGCA", "+" * 5, 2, 5), (2, "a", False, True, "CAGCGGCAT", "+" * 9, 0, 9)]
+    reads = spark.createDataFrame(rows, "rec long, rg string, second boolean, reverse boolean, seq string, qual string, aln_start int, aln_end int")
+    got = align.aligned_covariates(reads).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("pos", "clip_dinuc", "dinuc"))).alias("x")).collect()
+    clip, whole = ({r.rec: [x[k] for x in r.x] for r in got} for k in ("clip_dinuc", "dinuc"))
+    pairs = ["AT", "TG", "GC", "CC", "CG", "GC", "CT", "TG"]
+    full = [4 * "ATGC".index(a) + "ATGC".index(b) for a, b in pairs]
+    assert clip[2] == whole[2] == [*reversed(full), -1]
+    assert clip[0] == [0, 0, *[*reversed(full), -1][2:]]
+    assert clip[1] == [0, 0, -1, 11, 12] and whole[1] == [-1, 1, 6, 11, 12]
+
+
+def test_aligned_part(spark):
+    for cigar, n, part in (("9M", 9, (0, 9)), ("2S7M", 9, (2, 9)), ("3H2S4M1D3M2S1H", 11, (2, 9)), ("1M9H", 1, (0, 1)), ("4M5S", 9, (0, 4))):
+        start, end = aligned.aligned_part(F.lit(cigar), F.lit(n))
+        assert one(spark, a=start, b=end) == part
+    assert one(spark, n=aligned.reference_span(F.lit("2S8M2I4M1D3M"))).n == 16
+
+
+def test_new_qualities_of_alignments(spark):
+    row = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    shifts = model.Model(
+        row("rg string, mean_q int, delta int", ("0", 10, 1)),
+        row("rg string, q int, delta int", ("0", 7, 2)),
+        row("rg string, q int, cycle int, delta int", *(("0", 7, k, 3) for k in range(3))),
+        row("rg string, q int, dinuc int, delta int", *(("0", 7, k, 5) for k in range(-1, 16))),
+    )
+    reads = row("rec long, rg string, second boolean, reverse boolean, seq string, qual string", (1, "0", False, False, "ATG", "((#"))
+    assert [r.qual for r in aligned.recalibrate_alignments(reads, shifts).collect()] == ["66#"]  # 21, 21, 2
+
+
+def test_counts_of_a_clipped_alignment(spark, files, tmp_path):
+    """One base of original quality 7 on a reference that agrees: one observation, no error, and a report that makes a model."""
+    (tmp_path / "c.sam").write_text("@SQ\tSN:ref\tLN:45\n@RG\tID:0\tPU:unit\nclipped\t0\tref\t9\t255\t1M9H\t*\t0\t0\tA\t#\tRG:Z:0\tOQ:Z:(\tOQ:Z:(\n")
+    stored = alignments.read_sam(spark, f"{tmp_path}/c.sam")
+    reads = aligned.alignment_reads(stored, alignments.read_groups(spark, f"{tmp_path}/c.sam"))
+    reference = sites.reference_bases(sites.read_fasta(spark, f"{files}/ref.fa"))
+    skipped = align.variant_sites(sites.read_vcf(spark, f"{files}/v.vcf"))
+    counts = aligned.aligned_counts(reads, reference, skipped)
+    assert [tuple(r) for r in counts.collect()] == [("unit", 7, 0, -1, 0, 1)]
+    own = aligned.model_of_report(aligned.alignment_report(reads, reference, skipped))
+    assert [(r.rg, r.mean_q, r.total) for r in own.rg.collect()] == [("unit", 7.0, 1)]
+    assert len(aligned.recalibrate_alignments(reads, own).collect()) == 1
+    assert aligned.alignment_reads(stored, use_original=False).collect()[0].qual == "#"
+
+
+def test_quality_above_the_range_fails(spark):
+    rows = spark.createDataFrame([("a", 43, 0, -1, False, False)], "rg string, q int, cycle int, dinuc int, error boolean, skip boolean")
+    with pytest.raises(Exception, match="above the model's range"):
+        model.finest_counts(rows).collect()
+
+
 def test_names(spark):
     name = F.lit("r001/2_x:y_RG:Z:foo")
     assert one(spark, a=names.read_group_anywhere(name), b=names.bare_name(name), c=names.second_in_pair(name)) == ("foo", "r001", True)
