@@ -106,4 +106,12 @@ QUERIES = {
     "op10_site_quality": op10_site_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    first AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+    hex AS (SELECT p.page_id, p.html, f.first, sha1(p.html) AS h FROM p JOIN first f ON f.html = p.html)
+    SELECT page_id, strlen(html) AS payload_bytes,
+      list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(k // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) % 32 + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+      CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM hex""",
+}

@@ -74,7 +74,9 @@ def secret_spans(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     base = F.col("kind").isin(*_BASE)
     by_start = Window.partitionBy("row").orderBy("start")
     near = by_start.rangeBetween(-scope, scope)
-    until, after = by_start.rangeBetween(Window.unboundedPreceding, 0), by_start.rangeBetween(0, Window.unboundedFollowing)
+    # Running extremes from either end: a frame that shrinks from its front would be computed anew for each row.
+    from_end = Window.partitionBy("row").orderBy(F.col("start").desc())
+    until, after = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) for w in (by_start, from_end))
     seen = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
     linked = placed.select(
         "*",
@@ -87,7 +89,7 @@ def secret_spans(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     kept = F.coalesce(base | (complement & ~F.col("under") & ~F.col("over")), F.lit(False))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.when(kept, F.struct("start", rank.alias("rank"), "end", "kind"))
-    per_row = linked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.array_distinct(F.collect_list(span))).alias("spans"))
+    per_row = linked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_set(span)).alias("spans"))
     return per_row.select("doc_id", "spans")
 
 

@@ -56,7 +56,8 @@ def scan_separators(files: DataFrame, end_id: int, *, dtype: str = "<u2", block_
                 yield pa.RecordBatch.from_pydict({"path": [path], "block": pa.array([block], pa.int64()), "start": pa.array([start], pa.int64()), "n_ids": pa.array([length], pa.int64()), "ends": pa.array([ends], pa.list_(pa.int64()))})
 
     blocks = blocks_of(files, width, block_ids)
-    found = blocks.repartition(F.col("path"), F.col("block")).mapInArrow(find, _FOUND)
+    tasks = 4 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = blocks.repartition(tasks, "path", "block").mapInArrow(find, _FOUND)
     # The scan over blocks: each needs the last separator and the number of separators before it.
     by_file = Window.partitionBy("path").orderBy("block")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)

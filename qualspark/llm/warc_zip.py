@@ -219,4 +219,6 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, v, t in zip(names, zip(*out, strict=True), types, strict=True)})
 
     found = spread(packages.select("path")).mapInArrow(locate, "path string, start long, lengths array<long>")
-    return found.repartition("path", "start").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # A number of its own: these rows are small, but each stands for megabytes that a task reads.
+    tasks = 4 * int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(tasks, "path", "start").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -333,6 +333,16 @@ def test_toxicity_equals_dense_cosines(spark):
         assert got[i].held_out == held_out and got[i].score == pytest.approx(score, abs=1e-6), i
 
 
+def test_secrets_of_a_text_with_many_matches(spark):
+    """Work grows with the matches, not with their square."""
+    import time
+
+    docs = table(spark, [(1, "deadbeefdeadbeef " * 100_000, "a")])
+    start = time.time()
+    got = secrets.secret_report(docs).collect()
+    assert got[0].n_hex == 100_000 and time.time() - start < 90
+
+
 def test_site_quality(spark, odd, empty):
     rows, docs = odd
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")

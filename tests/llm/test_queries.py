@@ -75,6 +75,16 @@ def test_op8(spark, sf_dir):
     assert Counter(tuple(r) for r in q.op8_warc(spark, sf_dir).collect()) == brute.warc(pages)
 
 
+def test_op8_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf_dir}/pages.parquet')")
+    got = con.execute(q.ORACLE_SQL["op8_warc"])
+    names = [d[0] for d in got.description]
+    assert Counter(got.fetchall()) == Counter(tuple(r[c] for c in names) for r in q.op8_warc(spark, sf_dir).collect())
+
+
 def test_op9(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()
     size = {r.doc_id: len(brute.WORD.findall(r.text or "")) for r in rows}
