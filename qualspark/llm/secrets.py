@@ -6,9 +6,10 @@ more in all; hex: 16 or more lower-case hex digits.
 
 Weak candidates are parts of a multipart credential that alone say little: identifiers (short or temporary access
 ids, user and client names), secrets (short assigned values, mixed 40-character keys) and endpoints (URLs, connection
-strings). Parts join by position: a candidate's scope is SCOPE code points around its start, and it is reported only
-if the parts that complement it start within that scope. Base spans take part as identifiers (access) and secrets
-(assign, hex). Weak candidates that overlap a base span are left to it.
+strings). Parts meet in an interval join on bins of SCOPE code points: a part's scope is SCOPE code points around its
+start, and its partners are the parts of another role that start within it. A weak candidate is reported only if its
+partners complement it. Base spans take part as identifiers (access) and secrets (assign, hex). Weak candidates that
+overlap a base span are left to it. A scope holds a bounded number of matches, so pairs grow with the matches.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Code points around a candidate's start.
 SCOPE = 160
 
@@ -34,6 +37,8 @@ _PATTERNS = {
 _BASE = ("assign", "access", "hex")
 #: All kinds in the order of a tie, base kinds first.
 KINDS = (*_BASE, "weak_id", "weak_secret", "endpoint")
+#: What a part of each kind is in a credential of several parts.
+_ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -58,12 +63,24 @@ def _kind(family: Column, m: Column) -> Column:
     )
 
 
+def _partners(parts: DataFrame, scope: int) -> DataFrame:
+    """`parts` (row, start, rank, end, kind, role, ...; distinct) with `partners`, the parts of other roles in scope, and their `roles`; null without any."""
+    other = parts.select("row", F.floor(F.col("start") / scope).alias("bin"), F.col("role").alias("role_b"), F.struct("start", "rank", "end", "kind").alias("partner"))
+    first, last = (F.floor((F.col("start") + d) / scope) for d in (-scope, scope))
+    around = parts.withColumn("bin", F.explode(F.sequence(first, last)))
+    met = around.join(other, ["row", "bin"]).where((F.col("role") != F.col("role_b")) & F.col("partner.start").between(F.col("start") - scope, F.col("start") + scope))
+    own = ["row", "start", "rank", "end", "kind"]
+    found = met.groupBy(*own).agg(F.sort_array(F.collect_set("partner")).alias("partners"), F.collect_set("role_b").alias("roles"))
+    return parts.join(found, own, "left")
+
+
 def secret_spans(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
-    """Spans per input row: doc_id, spans (array<struct(start, rank, end, kind)> by start, then rank in KINDS).
+    """Spans per input row: doc_id, spans (array<struct(start, rank, end, kind)> by start, then rank in KINDS) and groups
+    (the spans that have partners, in the same order, each with the array `partners` of such structs).
 
     docs: doc_id long, text string; other columns are ignored. Starts and ends count code points, ends are exclusive.
-    Null and empty texts have no spans. Rows that repeat a doc_id keep their own spans. Work and memory grow with a
-    text and its matches, not with their square.
+    Null and empty texts have no spans. Rows that repeat a doc_id keep their own spans; an empty table gives no rows.
+    Work and memory grow with a text and its matches, not with their square.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = rows.select("row", "doc_id", F.explode_outer(F.concat(*(_matches(F.col("text"), k) for k in _PATTERNS))).alias("x")).select("row", "doc_id", "x.*")
@@ -71,26 +88,31 @@ def secret_spans(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     so_far = Window.partitionBy("row", "family").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("m")).over(so_far)
     placed = found.select("row", "doc_id", (end - F.length("m")).alias("start"), end.alias("end"), _kind(F.col("family"), F.col("m")).alias("kind"))
+    # Matches alone, a small part of the texts: searched once, though the join reads them on both sides.
+    placed = materialize(placed.distinct(), "secret-parts")
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    role = F.create_map(*(F.lit(x) for pair in _ROLE.items() for x in pair))[F.col("kind")]
     base = F.col("kind").isin(*_BASE)
-    by_start = Window.partitionBy("row").orderBy("start")
-    near = by_start.rangeBetween(-scope, scope)
     # Running extremes from either end: a frame that shrinks from its front would be computed anew for each row.
-    from_end = Window.partitionBy("row").orderBy(F.col("start").desc())
-    until, after = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) for w in (by_start, from_end))
-    seen = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
-    linked = placed.select(
-        "*",
-        seen("access", "weak_id").alias("id_near"),
-        seen("assign", "hex", "weak_secret").alias("secret_near"),
-        (F.coalesce(F.max(F.when(base, F.col("end"))).over(until), F.lit(0)) > F.col("start")).alias("under"),
-        F.coalesce(F.min(F.when(base, F.col("start"))).over(after) < F.col("end"), F.lit(False)).alias("over"),
+    by_start, from_end = (Window.partitionBy("row").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("start"), F.col("start").desc()))
+    flagged = placed.where("kind is not null").select(
+        "row",
+        "start",
+        rank.alias("rank"),
+        "end",
+        "kind",
+        role.alias("role"),
+        (F.coalesce(F.max(F.when(base, F.col("end"))).over(by_start), F.lit(0)) > F.col("start")).alias("under"),
+        F.coalesce(F.min(F.when(base, F.col("start"))).over(from_end) < F.col("end"), F.lit(False)).alias("over"),
     )
-    complement = F.when(F.col("kind") == "weak_id", F.col("secret_near")).when(F.col("kind") == "weak_secret", F.col("id_near")).when(F.col("kind") == "endpoint", F.col("id_near") & F.col("secret_near"))
-    kept = F.coalesce(base | (complement & ~F.col("under") & ~F.col("over")), F.lit(False))
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    span = F.when(kept, F.struct("start", rank.alias("rank"), "end", "kind"))
-    per_row = linked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_set(span)).alias("spans"))
-    return per_row.select("doc_id", "spans")
+    linked = _partners(flagged, scope)
+    has = lambda r: F.coalesce(F.array_contains("roles", r), F.lit(False))
+    complement = F.when(F.col("role") == "id", has("secret")).when(F.col("role") == "secret", has("id")).otherwise(has("id") & has("secret"))
+    kept = linked.where(base | (complement & ~F.col("under") & ~F.col("over"))).select("row", F.struct("start", "rank", "end", "kind", F.coalesce("partners", F.array()).alias("partners")).alias("span"))
+    per_row = kept.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("all"))
+    bare = F.transform(F.coalesce("all", F.array()), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
+    whole = placed.select("row", "doc_id").distinct().join(per_row, "row", "left")
+    return whole.select("doc_id", bare.alias("spans"), F.filter(F.coalesce("all", F.array()), lambda x: F.size(x["partners"]) > 0).alias("groups"))
 
 
 def joined(spans: Column) -> Column:
@@ -99,7 +121,9 @@ def joined(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
-    """Per input row: doc_id, n_assign, n_access, n_hex, base_sha256 (of the base spans, joined), spans (all, joined)."""
+    """Per input row: doc_id, n_assign, n_access, n_hex, base_sha256 (of the base spans, joined), spans (all, joined) and
+    groups (of each span with partners: the span, >, its partners joined; separated by semicolons)."""
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin(*_BASE))
-    return secret_spans(docs, scope=scope).select("doc_id", *map(count, _BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    groups = F.concat_ws(";", F.transform("groups", lambda x: F.concat(F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")), F.lit(">"), joined(x["partners"]))))
+    return secret_spans(docs, scope=scope).select("doc_id", *map(count, _BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), groups.alias("groups"))

@@ -165,3 +165,45 @@ def toxicity(docs, labels, k=12, least_z=4.0, epsilon=0.05):
         slope, level = slope + np.clip(step[0], -2, 2), level + np.clip(step[1], -2, 2)
     slope = max(0.1, slope)
     return {i: (held(i), 1 / (1 + math.exp(-(slope * vote(i) + level)))) for i in counts}
+
+
+_NAMED = r"""["']?\x20*[:=]\x20*["']?"""
+_PARTS = {
+    "assign": r"(?:(?i:password|passwd|secret|token|api_?key))" + _NAMED + r"([A-Za-z0-9+/_.=-]+)",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]{16,}",
+    "temporary": r"\bASIA[A-Z0-9]{12,}",
+    "name": r"\b(?i:client_?id|access_?key_?id|user_?name|user|login)" + _NAMED + r"[A-Za-z0-9@._-]{3,}",
+    "key": r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])",
+    "endpoint": r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\s\"'<>]+",
+}
+_KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
+
+
+def linked_secrets(text, scope):
+    """(spans, groups) of secret_report, every part compared with every other."""
+    parts = set()
+    for family, pattern in _PARTS.items():
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            size = len(m[1]) if family == "assign" else len(m[0])
+            kind = {
+                "assign": "assign" if size >= 12 else "weak_secret" if size >= 6 else None,
+                "access": "access" if size >= 18 else "weak_id" if size >= 12 else None,
+                "hex": "hex",
+                "key": "weak_secret" if all(re.search(c, m[0]) for c in ("[A-Z]", "[a-z]", "[0-9]")) else None,
+                "endpoint": "endpoint",
+            }.get(family, "weak_id")
+            if kind:
+                parts.add((m.start(), _KINDS.index(kind), m.end()))
+    role = ["secret", "id", "secret", "id", "secret", "endpoint"]
+    needs = {"id": {"secret"}, "secret": {"id"}, "endpoint": {"id", "secret"}}
+    name = lambda p: f"{_KINDS[p[1]]}:{p[0]}:{p[2]}"
+    spans, groups = [], []
+    for p in sorted(parts):
+        with_ = sorted(o for o in parts if role[o[1]] != role[p[1]] and abs(o[0] - p[0]) <= scope)
+        covered = any(o[1] < 3 and o[0] < p[2] and p[0] < o[2] for o in parts)
+        if p[1] < 3 or (needs[role[p[1]]] <= {role[o[1]] for o in with_} and not covered):
+            spans.append(name(p))
+            if with_:
+                groups.append(name(p) + ">" + ",".join(map(name, with_)))
+    return ",".join(spans), ";".join(groups)
