@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -83,9 +84,15 @@ def weigh_terms(docs: DataFrame, sample: DataFrame) -> tuple[list[str], np.ndarr
     return list(term[order]), np.where((a + b >= 3) & (z >= LEAST_Z), z * z, 1.0)
 
 
+@cache
+def _compressor() -> zstandard.ZstdCompressor:
+    """One for each Python worker, which has one thread: making one costs more than a text's counts do."""
+    return zstandard.ZstdCompressor(level=1)
+
+
 def pack(at: np.ndarray, n: np.ndarray) -> bytes:
     """Ascending term numbers, as steps, and their counts, compressed: the counts of all documents are written and dealt once."""
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([np.diff(at, prepend=0), n]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return _compressor().compress(np.concatenate([np.diff(at, prepend=0), n]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +176,7 @@ class BlockMaxIndex:
         sizes = np.array([len(vectors[i][0]) for i in self.order], dtype=np.int64)
         term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0)]).astype(np.int64)
         by = np.argsort(term, kind="stable")  # places stay in order
-        term, self.place = term[by], np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)[by]
+        term, self.place = term[by], np.repeat(np.arange(len(vectors)), sizes)[by]
         self.weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)]).astype(np.float64)[by]
         # An entry is a term's postings in one block.
         key = term * max(1, self.n_blocks) + self.place // BLOCK
@@ -178,6 +185,7 @@ class BlockMaxIndex:
         self.block = self.place[self.start] // BLOCK
         self.most = np.maximum.reduceat(self.weight, self.start) if len(key) else np.zeros(0)
         self.first = np.searchsorted(term[self.start], np.arange(n_terms + 1))
+        self.posted = np.searchsorted(term, np.arange(n_terms + 1))
         self.top = np.zeros(n_terms)
         np.maximum.at(self.top, term, self.weight)
 
@@ -187,6 +195,13 @@ class BlockMaxIndex:
         read = _ranges(self.start[entries], size)
         return np.bincount(self.place[read], np.repeat(w, size) * self.weight[read], len(self.order))
 
+    def _read_terms(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """As `_read`, over all postings of the terms, which lie together."""
+        first, last = self.posted[at], self.posted[at + 1]
+        parts = [slice(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        place, weight = (np.concatenate([of[p] for p in parts]) for of in (self.place, self.weight))
+        return np.bincount(place, np.repeat(w, last - first) * weight, len(self.order))
+
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties by place; exact.
 
@@ -197,13 +212,13 @@ class BlockMaxIndex:
         order = np.argsort(-most, kind="stable")
         at, w, most = at[order], w[order], most[order]
         heavy = int(np.searchsorted(np.cumsum(most), most.sum() / 2)) + 1
-        count = self.first[at + 1] - self.first[at]
-        entries, w, cut = _ranges(self.first[at], count), np.repeat(w, count), int(count[:heavy].sum())
-        scores = self._read(entries[:cut], w[:cut])
+        scores = self._read_terms(at[:heavy], w[:heavy])
         if without >= 0:
             scores[without] = 0
         floor = float(np.partition(scores, -k)[-k]) - 1e-9 if len(scores) >= k else 0.0
-        entries, w = entries[cut:], w[cut:]
+        at, w = at[heavy:], w[heavy:]
+        count = self.first[at + 1] - self.first[at]
+        entries, w = _ranges(self.first[at], count), np.repeat(w, count)
         block = self.block[entries]
         kept = np.maximum.reduceat(scores, np.arange(0, len(scores), BLOCK)) + np.bincount(block, w * self.most[entries], self.n_blocks) >= floor
         now = kept[block]
