@@ -11,6 +11,11 @@ from .phred import LEAST_Q
 BASES = "ATGC"
 
 
+def letter(raw: str, at: Column) -> Column:
+    """Letter `at`, from 0, of a column of ASCII bytes, found without walking along it."""
+    return F.substring(F.col(raw), at + 1, F.lit(1)).cast("string")
+
+
 def _number(base: Column) -> Column:
     """1 to 4 for a letter of BASES, else 0."""
     return F.when(F.length(base) == 1, F.position(base, F.lit(BASES))).otherwise(0)

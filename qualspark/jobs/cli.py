@@ -8,9 +8,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.covariates import letter
 from ..functions.names import fastq_key, read_group_field, second_in_pair
+from ..functions.phred import char_q
 from ..operators import align, bases, calibration, model
 from ..sources import alignments, fastq, sites
+from .tables import materialize
 
 
 def recalibrate(spark: SparkSession, reads: str, corrected: str, out: str, infer_rg: bool = False) -> None:
@@ -19,7 +22,8 @@ def recalibrate(spark: SparkSession, reads: str, corrected: str, out: str, infer
     rg = read_group_field(F.col("name")) if infer_rg else F.lit(None).cast("string")
     named = raw.withColumn("rg", rg).withColumn("second", second_in_pair(F.col("name")))
     joined = bases.with_corrections(named, fastq.read_fastq(spark, corrected))
-    done = model.recalibrate_reads(joined)
+    finest = materialize(model.finest_counts(bases.corrected_bases(joined)), "finest-counts")
+    done = model.recalibrate_reads(joined, model.model_of_finest(finest))
     fastq.write_fastq(joined.drop("qual").join(done, "rec"), out)
 
 
@@ -28,24 +32,20 @@ def benchmark(spark: SparkSession, sam: str, fasta: str, vcf: str, bed: str | No
     stored = alignments.read_bam(spark, [_uri(sam)]) if sam.endswith(".bam") else alignments.read_sam(spark, sam)
     rows = alignments.as_reads(stored, use_original)
     written = rows.withColumn("seq", F.when(F.col("reverse"), F.reverse(F.translate("seq", "ATGC", "TACG"))).otherwise(F.col("seq")))
-    reference = sites.reference_bases(sites.read_fasta(spark, fasta))
-    skipped = align.variant_sites(sites.read_vcf(spark, vcf))
-    if bed is not None:
-        outside = align.in_intervals(reference.select("chrom", "pos"), sites.read_bed(spark, bed), "inside").where("not inside").select("chrom", "pos")
-        skipped = skipped.unionByName(outside).distinct()
-    found = align.read_errors(written, reference, skipped)
+    bins = align.site_bins(sites.read_fasta(spark, fasta), align.variant_spans(sites.read_vcf(spark, vcf)), None if bed is None else sites.read_bed(spark, bed))
+    found = written.select("rec", "seq").join(align.read_flags(written, bins), "rec")
     if reads is not None:
         # By name, and the last alignment of a name counts; a read that no alignment names fails.
-        known = calibration.last_of_name(rows.select("rec", "name", "reverse", F.length("seq").alias("n")), "name", "rec")
+        known = calibration.last_of_name(rows.select("rec", "name", "reverse"), "name", "rec")
         other = fastq.read_fastq(spark, reads).select(fastq_key(F.col("name")).alias("key"), F.col("qual").alias("q_text"))
         joined = other.join(known, F.col("key") == F.col("name"), "left")
         must = F.when(F.col("rec").isNotNull(), F.col("rec")).otherwise(F.raise_error(F.concat(F.lit("no alignment is named "), F.col("key"))))
-        quals = joined.select(must.alias("rec"), "reverse", "n", "q_text")
+        quals = joined.select(must.alias("rec"), "reverse", "q_text")
     else:
-        quals = rows.select("rec", "reverse", F.length("seq").alias("n"), F.col("qual").alias("q_text"))
-    at = F.when(F.col("reverse"), F.col("n") - 1 - F.col("read_pos")).otherwise(F.col("read_pos"))
-    q = F.ascii(F.substring(F.col("q_text"), at + 1, F.lit(1))) - 33
-    return calibration.calibration_table(found.join(quals, "rec").select(q.alias("q"), "error", "skip"), label or reads or sam)
+        quals = rows.select("rec", "reverse", F.col("qual").alias("q_text"))
+    written_q = F.when(F.col("reverse"), F.reverse("q_text")).otherwise(F.col("q_text")).cast("binary")
+    bases_found = align.flagged_bases(found.join(quals.select("rec", written_q.alias("q_text")), "rec"), "q_text")
+    return calibration.calibration_table(bases_found.select(char_q(letter("q_text", F.col("read_pos"))).alias("q"), "error", "skip"), label or reads or sam)
 
 
 def _uri(path: str) -> str:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, phred
+from ..functions import covariates, names, phred
 from ..operators import align, aligned, bases, calibration, model, regression, report
 from . import synthetic as syn
 from .tables import materialize, shared_dir
@@ -157,7 +157,8 @@ def delta_dinuc(spark, sf_dir):
     FROM bases b LEFT JOIN g ON g.rg = b.rg LEFT JOIN h ON h.rg = b.rg AND h.q = b.q LEFT JOIN y ON y.rg = b.rg AND y.q = b.q AND y.cycle = b.cycle LEFT JOIN d ON d.rg = b.rg AND d.q = b.q AND d.dinuc = b.dinuc GROUP BY b.rec"""
 )
 def recalibrate(spark, sf_dir):
-    return model.recalibrate_reads(syn.documents_reads(spark, sf_dir))
+    finest = materialize(_finest(spark, sf_dir), "finest-counts")
+    return model.recalibrate_reads(syn.documents_reads(spark, sf_dir), model.model_of_finest(finest))
 
 
 @_query()
@@ -215,28 +216,18 @@ def q_to_p(spark, sf_dir):
 
 
 # --- alignments ----------------------------------------------------------------------------------------------------
-def _skipped(spark, sf_dir) -> DataFrame:
-    """Variant sites and everything outside the regions."""
-    variants = align.variant_sites(syn.variant_records(spark, sf_dir))
-    positions = syn.reference_sequence(spark, sf_dir).select("chrom", F.explode(F.sequence("start", F.col("start") + F.length("seq") - 1)).alias("pos"))
-    outside = align.in_intervals(positions, syn.confident_regions(spark, sf_dir), "inside").where("not inside").select("chrom", "pos")
-    return variants.unionByName(outside).distinct()
-
-
-def _reference(spark, sf_dir) -> DataFrame:
-    from ..sources.sites import reference_bases
-
-    return reference_bases(syn.reference_sequence(spark, sf_dir))
+def _bins(spark, sf_dir) -> DataFrame:
+    """The reference with variant sites and everything outside the regions skipped."""
+    return align.site_bins(syn.reference_sequence(spark, sf_dir), align.variant_spans(syn.variant_records(spark, sf_dir)), syn.confident_regions(spark, sf_dir))
 
 
 def _found(spark, sf_dir) -> DataFrame:
-    return align.read_errors(syn.alignments(spark, sf_dir), _reference(spark, sf_dir), _skipped(spark, sf_dir))
+    return align.read_errors(syn.alignments(spark, sf_dir), _bins(spark, sf_dir))
 
 
 def _bounded(spark, sf_dir) -> DataFrame:
     rows = syn.alignments(spark, sf_dir)
-    spans = align.cigar_ops(rows).groupBy("rec").agg(F.sum(F.when(F.col("op").isin("M", "D"), F.col("n")).otherwise(0)).alias("span"))
-    rows = rows.join(spans, "rec").withColumn("mate_reverse", F.when(F.col("rec") % 7 == 3, F.col("reverse")).otherwise(~F.col("reverse")))
+    rows = rows.withColumn("span", align.reference_span(F.col("cigar"))).withColumn("mate_reverse", F.when(F.col("rec") % 7 == 3, F.col("reverse")).otherwise(~F.col("reverse")))
     no = F.lit(False)
     return rows.withColumn("boundary", align.adaptor_boundary(F.col("pos"), F.col("pos") + F.col("span"), F.col("tlen"), F.col("pnext"), F.lit(True), no, no, F.col("reverse"), F.col("mate_reverse")))
 
@@ -253,7 +244,7 @@ def bed_mask(spark, sf_dir):
 
 @_query(_ERRORS + " SELECT chrom, count(*) AS n_skipped FROM skipped GROUP BY chrom")
 def skip_union(spark, sf_dir):
-    return _skipped(spark, sf_dir).groupBy("chrom").agg(F.count("*").alias("n_skipped"))
+    return align.skipped_counts(_bins(spark, sf_dir))
 
 
 @_query(_A + " SELECT rec, CAST(k AS INTEGER) AS k, op, n, read_at, ref_at FROM walk")
@@ -274,7 +265,9 @@ calibration AS (SELECT CAST(q AS INTEGER) AS predicted_q, {_ACTUAL.format(e='e',
 def _aligned_bases(spark, sf_dir) -> DataFrame:
     """Aligned bases with their own qualities: the alignment's errors joined to reads by name, the last of a name winning."""
     reads = calibration.last_of_name(syn.documents_reads(spark, sf_dir).select("rec", names.fastq_key(F.col("name")).alias("key"), "qual"), "key", "rec")
-    return _found(spark, sf_dir).join(reads.select("rec", "qual"), "rec").select(phred.char_q(F.substring(F.col("qual"), F.col("read_pos") + 1, F.lit(1))).alias("q"), "error", "skip")
+    rows = syn.alignments(spark, sf_dir)
+    flagged = rows.select("rec", "seq").join(align.read_flags(rows, _bins(spark, sf_dir)), "rec").join(reads.select("rec", F.col("qual").cast("binary").alias("q_text")), "rec")
+    return align.flagged_bases(flagged, "q_text").select(phred.char_q(covariates.letter("q_text", F.col("read_pos"))).alias("q"), "error", "skip")
 
 
 @_query(f"{_ERRORS}, {_CALIBRATION} SELECT * FROM calibration")
@@ -335,7 +328,7 @@ counts AS (SELECT s.rg, s.q, s.clip_cycle AS cycle, s.clip_dinuc AS dinuc, CAST(
 
 
 def _aligned_counts(spark, sf_dir) -> DataFrame:
-    return aligned.aligned_counts(_clipped(spark, sf_dir), _reference(spark, sf_dir), _skipped(spark, sf_dir))
+    return aligned.aligned_counts(_clipped(spark, sf_dir), _bins(spark, sf_dir))
 
 
 @_query(f"{_BAM_COUNTS} SELECT * FROM counts")
@@ -347,7 +340,7 @@ def bam_counts(spark, sf_dir):
 @_query(f"{_BAM_COUNTS}, {_EST} SELECT rg AS ReadGroup, 'M' AS EventType, CAST(post AS DOUBLE) AS EmpiricalQuality, round(prior, 4) AS EstimatedQReported, total AS Observations, CAST(errors AS DOUBLE) AS Errors FROM {_post('e0', 'rg')}")
 def bam_report(spark, sf_dir):
     """Alignments to a report: its table by read group."""
-    tables = aligned.alignment_report(_clipped(spark, sf_dir), _reference(spark, sf_dir), _skipped(spark, sf_dir))
+    tables = aligned.alignment_report(_clipped(spark, sf_dir), _bins(spark, sf_dir))
     return tables["RecalTable0"].withColumn("EstimatedQReported", F.round("EstimatedQReported", 4))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.covariates import clipped_cycle, complement, dinucleotide, strand_cycle
+from ..functions.covariates import clipped_cycle, complement, dinucleotide, letter, strand_cycle
+from ..functions.phred import char_q
 
 #: Positions that share one bin when points meet intervals.
 BIN = 1024
@@ -53,36 +54,134 @@ def aligned_pairs(ops: DataFrame, *keep: str) -> DataFrame:
     return rows.select("rec", *keep, "k", "op", "j", on(_READ, "read_at").alias("read_pos"), on(_REF, "ref_at").alias("ref_off"))
 
 
-def read_errors(reads: DataFrame, reference: DataFrame, skipped: DataFrame) -> DataFrame:
-    """Errors and skips along aligned reads: rec, read_pos, error, skip.
+def variant_spans(vcf: DataFrame) -> DataFrame:
+    """Half-open spans (chrom, start, end) of variant records, as variant_sites takes them; they may overlap."""
+    end = F.coalesce(F.col("stop"), F.col("pos") - 1 + F.length("ref"))
+    return vcf.where(end > F.col("pos") - 1).select("chrom", (F.col("pos") - 1).alias("start"), end.alias("end"))
+
+
+def _by_bin(spans: DataFrame, kind: str, text: Column) -> DataFrame:
+    """Spans (chrom, start, end, and what `text` reads) cut at bin borders: chrom, bin, kind, s, e (within the bin), t."""
+    cut = spans.where("end > start").select("*", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))).alias("bin"))
+    at = F.col("bin") * BIN
+    s, e = F.greatest(F.col("start") - at, F.lit(0)).cast("int"), F.least(F.col("end") - at, F.lit(BIN)).cast("int")
+    return cut.select("chrom", "bin", F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), text.alias("t"))
+
+
+def _marked(spans: Column) -> Column:
+    """Sorted spans (s, e) as text: 1 inside, 0 before and between; what follows the last is left out."""
+
+    def add(text: Column, x: Column) -> Column:
+        done = F.length(text)
+        return F.concat(text, F.repeat(F.lit("0"), F.greatest(x["s"] - done, F.lit(0))), F.repeat(F.lit("1"), F.greatest(x["e"] - F.greatest(x["s"], done), F.lit(0))))
+
+    return F.aggregate(spans, F.lit(""), add)
+
+
+def _gaps(spans: Column, low: Column, high: Column) -> Column:
+    """What sorted spans (s, e) leave uncovered of [low, high), as spans."""
+    span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    start = F.struct(low.alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("gaps"))
+
+    def step(a: Column, x: Column) -> Column:
+        to = F.least(x["s"], high)
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(to > a["at"], F.concat(a["gaps"], F.array(span(a["at"], to)))).otherwise(a["gaps"]).alias("gaps"))
+
+    return F.aggregate(spans, start, step, lambda a: F.when(a["at"] < high, F.concat(a["gaps"], F.array(span(a["at"], high)))).otherwise(a["gaps"]))
+
+
+def site_bins(chunks: DataFrame, skipped: DataFrame, bed: DataFrame | None = None) -> DataFrame:
+    """The reference and its excluded sites, BIN positions a row: chrom, bin, text, mask.
+
+    chunks: chrom, start, seq (ASCII), disjoint and without holes within a contig; skipped: half-open spans (chrom, start,
+    end); with bed (chrom, start, end), what it does not cover of the reference is skipped, too. `text` has a space where
+    there is no reference, `mask` a 1 at skipped sites and 0 elsewhere. Spans and chunks are cut at bin borders and meet
+    in one shuffle; no site is a row.
+    """
+    held = chunks.select("chrom", "start", (F.col("start") + F.length("seq")).alias("end"), F.col("seq").cast("binary").alias("raw"))
+    bin_start = F.col("bin") * BIN
+    piece = F.substring(F.col("raw"), (F.greatest(bin_start - F.col("start"), F.lit(0)) + 1).cast("int"), (F.least(F.col("end"), bin_start + BIN) - F.greatest(F.col("start"), bin_start)).cast("int")).cast("string")
+    none = F.lit(None).cast("string")
+    rows = _by_bin(held, "ref", piece).unionByName(_by_bin(skipped.select("chrom", "start", "end"), "skip", none))
+    if bed is not None:
+        rows = rows.unionByName(_by_bin(bed.select("chrom", "start", "end"), "bed", none))
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    span = F.struct("s", "e")
+    bins = rows.groupBy("chrom", "bin").agg(
+        F.array_sort(F.collect_list(of("ref", F.struct("s", "t")))).alias("ref"),
+        F.collect_set(of("skip", span)).alias("skips"),
+        F.array_sort(F.collect_set(of("bed", span))).alias("beds"),
+        F.min(of("ref", F.col("s"))).alias("low"),
+        F.max(of("ref", F.col("e"))).alias("high"),
+    )
+    text = F.aggregate("ref", F.lit(""), lambda t, x: F.concat(F.rpad(t, x["s"], F.lit(" ")), x["t"]))
+    outside = F.array().cast("array<struct<s:int,e:int>>") if bed is None else F.when(F.col("low").isNotNull(), _gaps(F.col("beds"), F.col("low"), F.col("high"))).otherwise(F.array())
+    mask = _marked(F.array_sort(F.concat(F.col("skips"), outside)))
+    return bins.select("chrom", "bin", F.rpad(text, BIN, " ").alias("text"), F.rpad(mask, BIN, "0").alias("mask"))
+
+
+def skipped_counts(bins: DataFrame) -> DataFrame:
+    """(chrom, n_skipped) of contigs with skipped sites."""
+    return bins.groupBy("chrom").agg(F.sum(F.length(F.replace("mask", F.lit("0"), F.lit("")))).alias("n_skipped")).where("n_skipped > 0")
+
 
-    reads: rec, chrom, pos (0-based), cigar, seq; reference: chrom, pos, base; skipped: chrom, pos, distinct.
-    M, =, X: error if the base differs from the reference, skip if the site is skipped. I: no error, skip if the sites
-    on both sides are skipped. D, N: if any deleted site is skipped, the base before it is. S: skip. H, P: nothing.
-    Sites beyond the reference count as neither; indels are no errors themselves.
+def reference_span(cigar: Column) -> Column:
+    """How many reference positions an alignment covers."""
+    moves = F.regexp_extract_all(cigar, F.lit("([0-9]+)[MDN=X]"), F.lit(1))
+    return F.aggregate(moves, F.lit(0), lambda s, x: s + x.cast("int"))
+
+
+def read_windows(reads: DataFrame, bins: DataFrame) -> DataFrame:
+    """(rec, ref, mask): text and mask of the sites from one before a read's alignment to one behind it.
+
+    reads: rec, chrom, pos, cigar. A read meets each bin that it touches once, without its sequence.
     """
-    rows = aligned_pairs(cigar_ops(reads, "chrom", "pos", "seq"), "chrom", "pos", "seq")
-    rows = rows.withColumn("site", F.col("pos") + F.col("ref_off"))
-    ref = reference.select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), F.col("base").alias("ref_base"))
-    bad = skipped.select(F.col("chrom").alias("_sc"), F.col("pos").alias("_sp"), F.lit(True).alias("bad"))
-    flag = lambda df, at: df.join(bad, (F.col("chrom") == F.col("_sc")) & (at == F.col("_sp")), "left").drop("_sc", "_sp")
+    placed = reads.where("cigar is not null and cigar <> '*'").select("rec", "chrom", (F.col("pos") - 1).alias("first"), (F.col("pos") + reference_span(F.col("cigar"))).alias("last"))
+    touched = placed.select("*", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(F.col("last") / BIN))).alias("bin"))
+    low = F.greatest(F.col("first") - F.col("bin") * BIN, F.lit(0)).cast("int")
+    n = (F.least(F.col("last") + 1 - F.col("bin") * BIN, F.lit(BIN)) - low).cast("int")
+    part = lambda c, fill: F.coalesce(F.substring(F.col(c), low + 1, n), F.repeat(F.lit(fill), n))
+    parts = touched.join(bins, ["chrom", "bin"], "left").select("rec", F.struct("bin", part("text", " ").alias("text"), part("mask", "0").alias("mask")).alias("x"))
+    joined = lambda c: F.array_join(F.transform("xs", lambda x: x[c]), "")
+    return parts.groupBy("rec").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("rec", joined("text").alias("ref"), joined("mask").alias("mask"))
 
-    matched = rows.where(F.col("op").isin("M", "=", "X"))
-    matched = flag(matched.join(ref, (F.col("chrom") == F.col("_c")) & (F.col("site") == F.col("_p")), "left").drop("_c", "_p"), F.col("site"))
-    base = F.substring(F.col("seq"), F.col("read_pos") + 1, F.lit(1))
-    matched = matched.select("rec", "read_pos", F.coalesce(base != F.col("ref_base"), F.lit(False)).alias("error"), F.coalesce("bad", F.lit(False)).alias("skip"))
 
-    clipped = rows.where("op = 'S'").select("rec", "read_pos", F.lit(False).alias("error"), F.lit(True).alias("skip"))
+def read_flags(reads: DataFrame, bins: DataFrame) -> DataFrame:
+    """(rec, ref, skip), a letter per base of the read: the reference base it is aligned to (a space for none), and 1 if it is skipped.
+
+    reads: rec, chrom, pos (0-based), cigar; bins: see site_bins. M, =, X: skipped if the site is. I: skipped if the
+    sites on both sides are. D, N: if any deleted site is skipped, the base before it is. S: skipped. H, P: nothing.
+    """
+    ops = cigar_ops(reads).join(read_windows(reads, bins), "rec")
+    op = F.col("op")
+    # Windows begin one site before the alignment.
+    sites = lambda c, at, n: F.substring(F.col(c), F.col("ref_at") + at, n)
+    times = lambda c: F.repeat(F.lit(c), F.col("n"))
+    match = op.isin("M", "=", "X")
+    ref = F.when(match, sites("ref", 2, F.col("n"))).when(op.isin("I", "S"), times(" ")).otherwise("")
+    around = F.when(sites("mask", 1, F.lit(2)) == "11", times("1")).otherwise(times("0"))
+    skip = F.when(match, sites("mask", 2, F.col("n"))).when(op == "I", around).when(op == "S", times("1")).otherwise("")
+    hit = op.isin("D", "N") & (F.col("read_at") > 0) & F.contains(sites("mask", 2, F.col("n")), F.lit("1"))
+    walked = ops.select("rec", F.struct("k", ref.alias("ref"), skip.alias("skip")).alias("x"), F.when(hit, F.col("read_at")).alias("hit"))
+    whole = walked.groupBy("rec").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.collect_set("hit").alias("hits"))
+    joined = lambda c: F.array_join(F.transform("xs", lambda x: x[c]), "")
+    return whole.select("rec", joined("ref").alias("ref"), F.aggregate("hits", joined("skip"), lambda t, p: F.overlay(t, F.lit("1"), p, F.lit(1))).alias("skip"))
+
+
+def flagged_bases(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row per base of reads with flags (rec, seq, ref, skip): rec, keep, read_pos, error, skip.
+
+    A base is an error if it differs from a reference base; sites beyond the reference and indels are none.
+    """
+    raw = lambda c: F.col(c).cast("binary").alias(f"_{c}")
+    held = rows.where(F.length("skip") > 0).select("rec", *keep, raw("seq"), raw("ref"), raw("skip"), F.explode(F.sequence(F.lit(0), F.length("skip") - 1)).alias("read_pos"))
+    on = lambda c: F.substring(F.col(c), F.col("read_pos") + 1, F.lit(1))
+    return held.select("rec", *keep, "read_pos", ((on("_ref") != F.lit(b" ")) & (on("_ref") != on("_seq"))).alias("error"), (on("_skip") == F.lit(b"1")).alias("skip"))
 
-    ops = cigar_ops(reads, "chrom", "pos")
-    around = ops.where("op = 'I'").select("rec", "chrom", "n", "read_at", F.explode(F.array(F.lit(-1), F.lit(0))).alias("d"), (F.col("pos") + F.col("ref_at")).alias("at"))
-    both = flag(around, F.col("at") + F.col("d")).groupBy("rec", "n", "read_at").agg(F.count("bad").alias("hit"))
-    inserted = both.select("rec", F.explode(F.sequence(F.col("read_at"), F.col("read_at") + F.col("n") - 1)).alias("read_pos"), F.lit(False).alias("error"), (F.col("hit") == 2).alias("skip"))
 
-    gaps = ops.where("op in ('D', 'N') and n > 0").select("rec", "chrom", "read_at", F.explode(F.sequence(F.col("pos") + F.col("ref_at"), F.col("pos") + F.col("ref_at") + F.col("n") - 1)).alias("at"))
-    before = flag(gaps, F.col("at")).where("bad and read_at > 0").select("rec", (F.col("read_at") - 1).alias("read_pos"), F.lit(False).alias("error"), F.lit(True).alias("skip"))
-    every = matched.unionByName(clipped).unionByName(inserted).unionByName(before)
-    return every.groupBy("rec", "read_pos").agg(F.bool_or("error").alias("error"), F.bool_or("skip").alias("skip"))
+def read_errors(reads: DataFrame, bins: DataFrame) -> DataFrame:
+    """Errors and skips along aligned reads: rec, read_pos, error, skip. reads: rec, chrom, pos (0-based), cigar, seq."""
+    return flagged_bases(reads.select("rec", "seq").join(read_flags(reads, bins), "rec"))
 
 
 def adaptor_boundary(start: Column, end: Column, tlen: Column, mate_start: Column, paired: Column, unmapped: Column, mate_unmapped: Column, reverse: Column, mate_reverse: Column) -> Column:
@@ -93,53 +192,54 @@ def adaptor_boundary(start: Column, end: Column, tlen: Column, mate_start: Colum
     return F.when(~none, F.coalesce(behind, ahead))
 
 
-def trimmed(reads: DataFrame) -> DataFrame:
-    """Bases that lie in adaptor: rec, read_pos. reads: rec, pos, cigar, reverse, boundary (nullable).
+def trim_bounds(reads: DataFrame) -> DataFrame:
+    """Bases that lie in adaptor, as (rec, gone_from, gone_to), half-open. reads: rec, pos, cigar, reverse, boundary (nullable).
 
     On the reverse strand everything up to the last read base at or before the boundary goes, on the forward strand
     everything from the first read base at or after it; bases aligned to nothing follow their neighbours.
     """
-    ops = cigar_ops(reads.where("boundary is not null"), "pos", "reverse", "boundary")
-    pairs = aligned_pairs(ops, "pos", "reverse", "boundary").withColumn("site", F.col("pos") + F.col("ref_off"))
-    at = F.struct("k", "j")
-    past = F.when(F.col("reverse"), F.col("site") <= F.col("boundary")).otherwise(F.col("site") >= F.col("boundary"))
-    place = pairs.groupBy("rec").agg(
-        F.max(F.when(F.col("reverse") & past, at)).alias("last"),
-        F.min(F.when(~F.col("reverse") & past, at)).alias("first"),
-        F.min("site").alias("low"),
-        F.max("site").alias("high"),
-    )
-    placed = pairs.join(place, "rec")
-    within = F.when(F.col("reverse"), F.col("boundary") >= F.col("low")).otherwise(F.col("boundary") <= F.col("high"))
-    gone = F.when(F.col("reverse"), at <= F.col("last")).otherwise(at >= F.col("first"))
-    return placed.where(within & gone & F.col("read_pos").isNotNull()).select("rec", "read_pos").distinct()
+    ops = cigar_ops(reads.where("boundary is not null"), "pos", "reverse", "boundary").where("n > 0")
+    # Distance from the operation's first site to the boundary; a deletion ends or begins where the next base would.
+    far, on_ref = F.col("boundary") - F.col("pos") - F.col("ref_at"), F.col("op").isin(*_REF)
+    inside = lambda d: F.when(F.col("op").isin("D", "N"), 0).otherwise(d)
+    last = F.when(on_ref & (far >= 0), F.col("read_at") + inside(F.least(F.col("n"), far + 1)))
+    first = F.when(on_ref & (far < F.col("n")), F.col("read_at") + inside(F.greatest(far, F.lit(0))))
+    end = F.max(F.when(F.col("op").isin(*_READ), F.col("read_at") + F.col("n")))
+    ends = ops.groupBy("rec").agg(F.first("reverse").alias("reverse"), F.max(last).alias("last"), F.min(first).alias("first"), end.alias("end"))
+    bounds = ends.select("rec", F.when(F.col("reverse"), 0).otherwise(F.col("first")).alias("gone_from"), F.when(F.col("reverse"), F.col("last")).otherwise(F.col("end")).alias("gone_to"))
+    return bounds.where("gone_to > gone_from")
+
+
+def trimmed(reads: DataFrame) -> DataFrame:
+    """The bases within trim_bounds: rec, read_pos."""
+    return trim_bounds(reads).select("rec", F.explode(F.sequence("gone_from", F.col("gone_to") - 1)).alias("read_pos"))
 
 
-def aligned_covariates(reads: DataFrame) -> DataFrame:
+def aligned_covariates(reads: DataFrame, *keep: str) -> DataFrame:
     """Bases of aligned reads with covariates in sequencing direction, mapped back to alignment direction.
 
-    reads: rec, rg, second, reverse, seq, qual, aln_start, aln_end (the part without soft clips). Gives rec, rg, pos,
+    reads: rec, rg, second, reverse, seq, qual, aln_start, aln_end (the part without soft clips). Gives rec, rg, keep, pos,
     base, q, cycle and dinuc over the whole read, and clip_cycle and clip_dinuc over the aligned part alone: 0 in soft
     clips, and its first base in sequencing direction has no context, whatever was clipped before it.
     """
-    letters = F.split("seq", "")
-    empty = F.array(F.lit(None).cast("string"))
-    x = F.arrays_zip(letters.alias("base"), F.concat(empty, letters).alias("before"), F.concat(F.slice(letters, 2, F.greatest(F.size(letters), F.lit(1))), empty).alias("after"), F.split("qual", "").alias("c"))
-    rows = reads.where(F.length("seq") > 0).select("rec", "rg", "second", "reverse", "aln_start", "aln_end", F.length("seq").alias("n"), F.posexplode(x).alias("pos", "x")).where("x.base is not null")
-    previous = F.when(F.col("reverse"), complement(F.col("x.after"))).otherwise(F.col("x.before"))
-    own = F.when(F.col("reverse"), complement(F.col("x.base"))).otherwise(F.col("x.base"))
-    q = F.ascii(F.col("x.c")) - 33
-    dinuc = dinucleotide(previous, own, q)
-    clipped = (F.col("pos") < F.col("aln_start")) | (F.col("pos") >= F.col("aln_end"))
-    first = F.col("pos") == F.when(F.col("reverse"), F.col("aln_end") - 1).otherwise(F.col("aln_start"))
+    pos, n = F.col("pos"), F.col("n")
+    held = reads.where(F.length("seq") > 0).select("rec", "rg", "second", "reverse", "aln_start", "aln_end", *keep, F.length("seq").alias("n"), F.col("seq").cast("binary").alias("_seq"), F.col("qual").cast("binary").alias("_qual"))
+    rows = held.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
+    rows = rows.select("*", letter("_seq", pos).alias("base"), char_q(letter("_qual", pos)).alias("q"), F.when(pos > 0, letter("_seq", pos - 1)).alias("before"), F.when(pos < n - 1, letter("_seq", pos + 1)).alias("after"))
+    previous = F.when(F.col("reverse"), complement(F.col("after"))).otherwise(F.col("before"))
+    own = F.when(F.col("reverse"), complement(F.col("base"))).otherwise(F.col("base"))
+    dinuc = dinucleotide(previous, own, F.col("q"))
+    clipped = (pos < F.col("aln_start")) | (pos >= F.col("aln_end"))
+    first = pos == F.when(F.col("reverse"), F.col("aln_end") - 1).otherwise(F.col("aln_start"))
     return rows.select(
         "rec",
         "rg",
+        *keep,
         "pos",
-        F.col("x.base").alias("base"),
-        q.alias("q"),
-        strand_cycle(F.col("pos"), F.col("n"), F.col("reverse"), F.col("second")).alias("cycle"),
+        "base",
+        "q",
+        strand_cycle(pos, n, F.col("reverse"), F.col("second")).alias("cycle"),
         dinuc.alias("dinuc"),
-        clipped_cycle(F.col("pos"), F.col("aln_start"), F.col("aln_end"), F.col("reverse"), F.col("second")).alias("clip_cycle"),
+        clipped_cycle(pos, F.col("aln_start"), F.col("aln_end"), F.col("reverse"), F.col("second")).alias("clip_cycle"),
         F.when(clipped, 0).when(first, -1).otherwise(dinuc).alias("clip_dinuc"),
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.covariates import letter
 from ..functions.phred import LEAST_Q
-from .align import adaptor_boundary, aligned_covariates, read_errors, trimmed
+from .align import adaptor_boundary, aligned_covariates, read_flags, reference_span, trim_bounds
 from .bases import assemble
 from .calibration import selected_quality
 from .model import Model, finest_counts, model_of_counts, recalibrated_bases
@@ -19,12 +20,6 @@ def aligned_part(cigar: Column, length: Column) -> tuple[Column, Column]:
     return clip("^(?:[0-9]+H)?([0-9]+)S"), length - clip("[^0-9]([0-9]+)S(?:[0-9]+H)?$")
 
 
-def reference_span(cigar: Column) -> Column:
-    """How many reference positions an alignment covers."""
-    moves = F.regexp_extract_all(cigar, F.lit("([0-9]+)[MDN=X]"), F.lit(1))
-    return F.aggregate(moves, F.lit(0), lambda s, x: s + x.cast("int"))
-
-
 def alignment_reads(alignments: DataFrame, read_groups: DataFrame | None = None, use_original: bool = True) -> DataFrame:
     """What the operators here take, from SAM or BAM rows, in alignment direction.
 
@@ -42,21 +37,25 @@ def alignment_reads(alignments: DataFrame, read_groups: DataFrame | None = None,
     return rows.select("rec", "rg", bit(128).alias("second"), bit(16).alias("reverse"), "seq", selected_quality(use_original, tag("OQ"), F.col("qual")).alias("qual"), F.col("rname").alias("chrom"), "pos", "cigar", boundary.alias("boundary"), start.alias("aln_start"), end.alias("aln_end"))
 
 
-def aligned_counts(reads: DataFrame, reference: DataFrame, skipped: DataFrame) -> DataFrame:
-    """Finest counts of aligned reads (see alignment_reads) against a reference and excluded sites (see read_errors).
+def aligned_counts(reads: DataFrame, bins: DataFrame) -> DataFrame:
+    """Finest counts of aligned reads (see alignment_reads) against a reference and excluded sites (see site_bins).
 
-    Low qualities, N, soft clips, adaptor and excluded sites are skipped; covariates are those of the aligned part.
+    Low qualities, N, soft clips, adaptor and excluded sites are skipped; covariates are those of the aligned part. What
+    is skipped is found per read, so bases are made once and meet no join.
     """
-    gone = trimmed(reads).select("rec", F.col("read_pos").alias("pos"))
-    found = read_errors(reads, reference, skipped).where("not skip").select("rec", F.col("read_pos").alias("pos"), "error")
-    rows = aligned_covariates(reads).where((F.col("q") >= LEAST_Q) & (F.col("base") != "N"))
-    rows = rows.join(found, ["rec", "pos"]).join(gone, ["rec", "pos"], "left_anti")
-    return finest_counts(rows.select("rg", "q", F.col("clip_cycle").alias("cycle"), F.col("clip_dinuc").alias("dinuc"), "error", F.lit(False).alias("skip")))
+    flagged = reads.join(read_flags(reads, bins), "rec").join(trim_bounds(reads), "rec", "left")
+    raw = flagged.withColumn("ref", F.col("ref").cast("binary")).withColumn("skip", F.col("skip").cast("binary"))
+    rows = aligned_covariates(raw, "ref", "skip", "gone_from", "gone_to")
+    pos, ref = F.col("pos"), letter("ref", F.col("pos"))
+    gone = F.coalesce((pos >= F.col("gone_from")) & (pos < F.col("gone_to")), F.lit(False))
+    rows = rows.where((F.col("q") >= LEAST_Q) & (F.col("base") != "N") & (letter("skip", pos) == "0") & ~gone)
+    error = (ref != " ") & (ref != F.col("base"))
+    return finest_counts(rows.select("rg", "q", F.col("clip_cycle").alias("cycle"), F.col("clip_dinuc").alias("dinuc"), error.alias("error"), F.lit(False).alias("skip")))
 
 
-def alignment_report(reads: DataFrame, reference: DataFrame, skipped: DataFrame) -> dict[str, DataFrame]:
+def alignment_report(reads: DataFrame, bins: DataFrame) -> dict[str, DataFrame]:
     """The report's five tables from aligned reads."""
-    return report_tables(aligned_counts(reads, reference, skipped))
+    return report_tables(aligned_counts(reads, bins))
 
 
 def model_of_report(tables: dict[str, DataFrame]) -> Model:

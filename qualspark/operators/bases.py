@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.covariates import cycle, dinucleotide
+from ..functions.covariates import cycle, dinucleotide, letter
 from ..functions.phred import LEAST_Q, MOST_Q, char_q, q_char
 
 
@@ -13,13 +13,13 @@ def explode_bases(reads: DataFrame, *keep: str) -> DataFrame:
     """One row per base: rec, rg, second, pos, base, prev, q, cycle, dinuc, and `keep` (columns of reads).
 
     reads: rec long, rg string (null is a group), second boolean, seq string, qual string (Phred+33), as long as seq.
-    Reads of any length; an empty or null sequence gives no rows.
+    Reads of any length, in ASCII; an empty or null sequence gives no rows.
     """
-    letters = F.split("seq", "")
-    pairs = F.arrays_zip(letters.alias("base"), F.concat(F.array(F.lit(None).cast("string")), letters).alias("prev"), F.split("qual", "").alias("c"))
-    rows = reads.where(F.length("seq") > 0).select("rec", "rg", "second", *keep, F.posexplode(pairs).alias("pos", "x"))
-    rows = rows.where(F.col("x.base").isNotNull()).select("rec", "rg", "second", *keep, "pos", "x.base", "x.prev", char_q(F.col("x.c")).alias("q"))
-    return rows.select("*", cycle(F.col("pos"), F.col("second")).alias("cycle"), dinucleotide(F.col("prev"), F.col("base"), F.col("q")).alias("dinuc"))
+    pos = F.col("pos")
+    held = reads.where(F.length("seq") > 0).select("rec", "rg", "second", *keep, F.col("seq").cast("binary").alias("_seq"), F.col("qual").cast("binary").alias("_qual"))
+    rows = held.select("*", F.explode(F.sequence(F.lit(0), F.length("_seq") - 1)).alias("pos"))
+    rows = rows.select("rec", "rg", "second", *keep, "pos", letter("_seq", pos).alias("base"), F.when(pos > 0, letter("_seq", pos - 1)).alias("prev"), char_q(letter("_qual", pos)).alias("q"))
+    return rows.select("*", cycle(pos, F.col("second")).alias("cycle"), dinucleotide(F.col("prev"), F.col("base"), F.col("q")).alias("dinuc"))
 
 
 def with_corrections(reads: DataFrame, corrected: DataFrame) -> DataFrame:
@@ -35,8 +35,8 @@ def with_corrections(reads: DataFrame, corrected: DataFrame) -> DataFrame:
 
 def corrected_bases(reads: DataFrame) -> DataFrame:
     """Bases of reads with a column `corrected`: also error (the corrected base differs) and skip (q below LEAST_Q)."""
-    rows = explode_bases(reads, "corrected")
-    changed = F.substring(F.col("corrected"), F.col("pos") + 1, F.lit(1)) != F.col("base")
+    rows = explode_bases(reads.withColumn("corrected", F.col("corrected").cast("binary")), "corrected")
+    changed = letter("corrected", F.col("pos")) != F.col("base")
     return rows.withColumn("error", changed).withColumn("skip", F.col("q") < LEAST_Q).drop("corrected")
 
 

@@ -27,10 +27,12 @@ def level_counts(finest: DataFrame, *keys: str) -> DataFrame:
 
 
 def grouping_set_counts(bases: DataFrame) -> DataFrame:
-    """All four levels in one statement: level, rg, q, cycle, dinuc, errors, total; keys of other levels are null."""
-    rows = bases.where(~F.col("skip")).select("rg", "q", "cycle", "dinuc", F.col("error").cast("long").alias("e"))
-    sets = rows.groupingSets([["rg"], ["rg", "q"], ["rg", "q", "cycle"], ["rg", "q", "dinuc"]], "rg", "q", "cycle", "dinuc")
-    counted = sets.agg(F.grouping_id().alias("g"), F.sum("e").alias("errors"), F.count("*").alias("total"))
+    """All four levels in one statement: level, rg, q, cycle, dinuc, errors, total; keys of other levels are null.
+
+    Only the finest counts are spread over the levels, not bases.
+    """
+    sets = finest_counts(bases).groupingSets([["rg"], ["rg", "q"], ["rg", "q", "cycle"], ["rg", "q", "dinuc"]], "rg", "q", "cycle", "dinuc")
+    counted = sets.agg(F.grouping_id().alias("g"), F.sum("errors").alias("errors"), F.sum("total").alias("total"))
     level = F.when(F.col("g") == 7, "rg").when(F.col("g") == 3, "q").when(F.col("g") == 1, "cycle").otherwise("dinuc")
     return counted.select(level.alias("level"), "rg", "q", "cycle", "dinuc", "errors", "total").where("level <> 'dinuc' or dinuc >= 0")
 
@@ -56,7 +58,11 @@ def fit_model(bases: DataFrame, means: DataFrame | None = None) -> Model:
 
     A cell that was never seen shifts nothing, and a read group whose bases are all skipped has no row.
     """
-    finest = finest_counts(bases)
+    return model_of_finest(finest_counts(bases), means)
+
+
+def model_of_finest(finest: DataFrame, means: DataFrame | None = None) -> Model:
+    """fit_model from finest counts; written out first, they are counted once for all levels."""
     by_q = level_counts(finest, "rg", "q")
     means = mean_qualities(by_q) if means is None else means
     by_rg = level_counts(by_q, "rg")

@@ -49,11 +49,11 @@ def test_sites(spark, files):
 
 def test_read_errors(spark, files):
     rows = alignments.read_sam(spark, f"{files}/a.sam").select("rec", F.col("rname").alias("chrom"), "pos", "cigar", "seq")
-    reference = sites.reference_bases(sites.read_fasta(spark, f"{files}/ref.fa"))
-    outside = align.in_intervals(reference.select("chrom", "pos"), sites.read_bed(spark, f"{files}/r.bed"), "inside").where("not inside").select("chrom", "pos")
-    skipped = align.variant_sites(sites.read_vcf(spark, f"{files}/v.vcf")).unionByName(outside).distinct()
-    assert sorted(r.pos for r in skipped.collect()) == [*range(8), 9]
-    found = align.read_errors(rows, reference, skipped).collect()
+    bins = align.site_bins(sites.read_fasta(spark, f"{files}/ref.fa"), align.variant_spans(sites.read_vcf(spark, f"{files}/v.vcf")), sites.read_bed(spark, f"{files}/r.bed"))
+    (only,) = bins.collect()
+    assert [k for k, c in enumerate(only.mask) if c == "1"] == [*range(8), 9]
+    assert only.text.rstrip() == FASTA.splitlines()[1] and len(only.text) == len(only.mask) == align.BIN
+    found = align.read_errors(rows, bins).collect()
     assert {(r.rec, r.read_pos) for r in found if r.error} == {(4, 5)}
     assert {(r.rec, r.read_pos) for r in found if r.skip} == {(3, 0), (3, 1), (3, 3)}
 
@@ -145,11 +145,10 @@ def test_counts_of_a_clipped_alignment(spark, files, tmp_path):
     (tmp_path / "c.sam").write_text("@SQ\tSN:ref\tLN:45\n@RG\tID:0\tPU:unit\nclipped\t0\tref\t9\t255\t1M9H\t*\t0\t0\tA\t#\tRG:Z:0\tOQ:Z:(\tOQ:Z:(\n")
     stored = alignments.read_sam(spark, f"{tmp_path}/c.sam")
     reads = aligned.alignment_reads(stored, alignments.read_groups(spark, f"{tmp_path}/c.sam"))
-    reference = sites.reference_bases(sites.read_fasta(spark, f"{files}/ref.fa"))
-    skipped = align.variant_sites(sites.read_vcf(spark, f"{files}/v.vcf"))
-    counts = aligned.aligned_counts(reads, reference, skipped)
+    bins = align.site_bins(sites.read_fasta(spark, f"{files}/ref.fa"), align.variant_spans(sites.read_vcf(spark, f"{files}/v.vcf")))
+    counts = aligned.aligned_counts(reads, bins)
     assert [tuple(r) for r in counts.collect()] == [("unit", 7, 0, -1, 0, 1)]
-    own = aligned.model_of_report(aligned.alignment_report(reads, reference, skipped))
+    own = aligned.model_of_report(aligned.alignment_report(reads, bins))
     assert [(r.rg, r.mean_q, r.total) for r in own.rg.collect()] == [("unit", 7.0, 1)]
     assert len(aligned.recalibrate_alignments(reads, own).collect()) == 1
     assert aligned.alignment_reads(stored, use_original=False).collect()[0].qual == "#"
