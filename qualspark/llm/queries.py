@@ -107,6 +107,14 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": """WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+    shingles AS (SELECT DISTINCT r, unnest(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 4 THEN [array_to_string(x, ' ')]
+      ELSE list_transform(range(1, len(x) - 2), lambda k: array_to_string(list_slice(x, k, k + 3), ' ')) END) AS s FROM w),
+    sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+    shared AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+    links AS (SELECT a, b FROM shared JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
+    reach AS (SELECT r, doc_id AS c FROM w UNION SELECT l.b, reach.c FROM reach JOIN links l ON l.a = reach.r)
+    SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id FROM w JOIN reach USING (r) LEFT JOIN sizes USING (r) GROUP BY w.r, w.doc_id, n""",
     "op8_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
     first AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
     hex AS (SELECT p.page_id, p.html, f.first, sha1(p.html) AS h FROM p JOIN first f ON f.html = p.html)

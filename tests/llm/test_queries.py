@@ -75,14 +75,16 @@ def test_op8(spark, sf_dir):
     assert Counter(tuple(r) for r in q.op8_warc(spark, sf_dir).collect()) == brute.warc(pages)
 
 
-def test_op8_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
+def test_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf_dir}/pages.parquet')")
-    got = con.execute(q.ORACLE_SQL["op8_warc"])
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    got = con.execute(q.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
-    assert Counter(got.fetchall()) == Counter(tuple(r[c] for c in names) for r in q.op8_warc(spark, sf_dir).collect())
+    assert Counter(got.fetchall()) == Counter(tuple(r[c] for c in names) for r in q.QUERIES[name](spark, sf_dir).collect())
 
 
 def test_op9(spark, sf_dir):
