@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READ = 100
+#: Record numbers that a document has for its reads: more than a text can fill.
+RECS = 1_000_000_000
 LETTERS = " " + string.ascii_uppercase + string.ascii_lowercase
 SEQ = "N" + "".join("ATGC"[(7 * k + k // 5) % 4] for k in range(52))
 #: Some letters are errors: there the corrected base is the next one.
@@ -30,7 +32,7 @@ def reads_of(docs: DataFrame) -> DataFrame:
     cut = docs.where("length(t) > 0").select("doc_id", "lang", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / READ).cast("int"))).alias("k"))
     piece = cut.select("doc_id", "lang", F.col("k"), F.substring(F.col("t"), F.col("k") * READ + 1, F.lit(READ)).alias("c"))
     second = F.col("doc_id") % 2 == 1
-    rec = F.col("doc_id") * 100_000 + F.col("k")
+    rec = F.col("doc_id") * RECS + F.col("k")
     name = F.concat(F.lit("r"), rec.cast("string"), F.when(second, "/2").otherwise("/1"), F.lit("_RG:Z:"), F.col("lang"))
     return piece.select(
         rec.alias("rec"),
@@ -58,7 +60,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pos = (F.col("k") * READ).cast("int")
     rows = documents_reads(spark, sf_dir).select("*", pos.alias("pos"), cigar.alias("cigar"), (F.col("rec") % 3 == 1).alias("reverse"))
-    step = ((F.col("rec") * 37) % 160).cast("int")
+    step = ((F.col("rec") % 160 * 37) % 160).cast("int")
     return rows.select("*", F.when(F.col("reverse"), -(step + 20)).otherwise(step - 10).alias("tlen"), F.when(F.col("reverse"), pos + step - 90).otherwise(pos + step - 40).alias("pnext"))
 
 
@@ -89,8 +91,8 @@ _Q = lambda s: s.replace("'", "''")
 READS_SQL = f"""cut AS (SELECT doc_id, lang, t, unnest(range(0, CAST((length(t) + {READ - 1}) // {READ} AS BIGINT))) AS k
   FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[^A-Za-z]', ' ', 'g') AS t FROM documents)),
 piece AS (SELECT doc_id, lang, k, substring(t, k * {READ} + 1, {READ}) AS c FROM cut),
-reads AS (SELECT doc_id * 100000 + k AS rec, doc_id, k, lang AS rg, doc_id % 2 = 1 AS second,
-  'r' || (doc_id * 100000 + k) || CASE WHEN doc_id % 2 = 1 THEN '/2' ELSE '/1' END || '_RG:Z:' || lang AS name, 'c' || doc_id AS chrom,
+reads AS (SELECT doc_id * {RECS} + k AS rec, doc_id, k, lang AS rg, doc_id % 2 = 1 AS second,
+  'r' || (doc_id * {RECS} + k) || CASE WHEN doc_id % 2 = 1 THEN '/2' ELSE '/1' END || '_RG:Z:' || lang AS name, 'c' || doc_id AS chrom,
   translate(c, '{LETTERS}', '{SEQ}') AS seq, translate(c, '{LETTERS}', '{CORRECTED}') AS corrected, translate(c, '{LETTERS}', '{_Q(QUALS)}') AS qual FROM piece)"""
 BASES_SQL = (
     READS_SQL
@@ -104,7 +106,7 @@ bases AS (SELECT rec, rg, second, pos, base, prev, CAST(q AS INTEGER) AS q, CAST
 ALIGNED_SQL = (
     READS_SQL
     + f""",
-step AS (SELECT *, length(seq) AS n, rec % 3 = 1 AS reverse, CAST(k * {READ} AS INTEGER) AS pos, CAST((rec * 37) % 160 AS INTEGER) AS s FROM reads),
+step AS (SELECT *, length(seq) AS n, rec % 3 = 1 AS reverse, CAST(k * {READ} AS INTEGER) AS pos, CAST((rec % 160 * 37) % 160 AS INTEGER) AS s FROM reads),
 aligned AS (SELECT *, CASE WHEN n < 60 OR rec % 4 = 0 THEN n || 'M' WHEN rec % 4 = 1 THEN '10S' || (n - 10) || 'M' WHEN rec % 4 = 2 THEN '20M5I' || (n - 25) || 'M' ELSE '20M3D' || (n - 20) || 'M' END AS cigar,
   CASE WHEN reverse THEN -(s + 20) ELSE s - 10 END AS tlen, CASE WHEN reverse THEN pos + s - 90 ELSE pos + s - 40 END AS pnext FROM step),
 ops AS (SELECT rec, chrom, pos, seq, reverse, k, right(x[k + 1], 1) AS op, CAST(left(x[k + 1], length(x[k + 1]) - 1) AS INTEGER) AS n FROM
