@@ -93,6 +93,18 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), path)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import encode_vectors
+
+    return encode_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -104,8 +116,27 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mix": op9_mix,
     "op10_site_quality": op10_site_quality,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
+# Vector codes: assignments a1, a2, a3 (distance and index in one number) and codebooks e0, e1, e2.
+_ASSIGN_SQL = "a{n} AS (SELECT r, p, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) * 64 + k) AS m FROM parts JOIN e{e} USING (p) GROUP BY r, p)"
+_REFINE_SQL = """s{n} AS (SELECT p, k, i, sum(y) AS s, count(*) AS n FROM (SELECT p, m % 64 AS k, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{n} JOIN parts USING (r, p)) GROUP BY p, k, i),
+    e{n} AS (SELECT p, k, coalesce(u.c, e{e}.c) AS c FROM e{e} LEFT JOIN (SELECT p, k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{n} GROUP BY p, k) u USING (p, k))"""
+_CODES_SQL = ",\n    ".join(
+    [
+        "v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "parts AS (SELECT r, p, z[p * len(z) // 16 + 1 : (p + 1) * len(z) // 16] AS x FROM (SELECT r, z, unnest(range(16)) AS p FROM v))",
+        "e0 AS (SELECT p, k, x AS c FROM parts JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v ORDER BY vec_id LIMIT 64) USING (r))",
+        _ASSIGN_SQL.format(n=1, e=0),
+        _REFINE_SQL.format(n=1, e=0),
+        _ASSIGN_SQL.format(n=2, e=1),
+        _REFINE_SQL.format(n=2, e=1),
+        _ASSIGN_SQL.format(n=3, e=2),
+    ]
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": """WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
     shingles AS (SELECT DISTINCT r, unnest(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 4 THEN [array_to_string(x, ' ')]
@@ -115,6 +146,19 @@ ORACLE_SQL: dict[str, str] = {
     links AS (SELECT a, b FROM shared JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
     reach AS (SELECT r, doc_id AS c FROM w UNION SELECT l.b, reach.c FROM reach JOIN links l ON l.a = reach.r)
     SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id FROM w JOIN reach USING (r) LEFT JOIN sizes USING (r) GROUP BY w.r, w.doc_id, n""",
+    "op11_vector_codes": f"""WITH {_CODES_SQL},
+    coded AS (SELECT p, r, m % 64 AS k, m // 64 AS d FROM a3),
+    rows AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM coded GROUP BY r),
+    sums AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM rows JOIN v USING (r) GROUP BY label)
+    SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, i)) FROM (SELECT p, k, unnest(c) AS x, unnest(range(len(c))) AS i FROM e2)) AS codebooks_sha256
+    FROM rows JOIN v USING (r) JOIN sums ON sums.label IS NOT DISTINCT FROM v.label""",
+    "op12_substring_dedup": """WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+    windows AS (SELECT r, doc_id, u.s AS s, u.k AS k FROM (SELECT r, doc_id, unnest(list_transform(range(1, len(x) - 18), lambda s: struct_pack(s := s, k := array_to_string(list_slice(x, s, s + 19), ' ')))) AS u FROM w)),
+    judged AS (SELECT r, s, (doc_id, s) > min((doc_id, s)) OVER (PARTITION BY k) AS later FROM windows),
+    gone AS (SELECT DISTINCT r, unnest(range(s, s + 20)) AS p FROM judged WHERE later),
+    words AS (SELECT r, unnest(x) AS word, unnest(range(1, len(x) + 1)) AS p FROM w),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+    SELECT doc_id, len(x) AS n_words, len(x) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)""",
     "op8_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
     first AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
     hex AS (SELECT p.page_id, p.html, f.first, sha1(p.html) AS h FROM p JOIN first f ON f.html = p.html)
