@@ -105,6 +105,12 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -118,6 +124,7 @@ QUERIES = {
     "op10_site_quality": op10_site_quality,
     "op11_vector_codes": op11_vector_codes,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 # Vector codes: assignments a1, a2, a3 (distance and index in one number) and codebooks e0, e1, e2.
@@ -159,6 +166,19 @@ ORACLE_SQL: dict[str, str] = {
     words AS (SELECT r, unnest(x) AS word, unnest(range(1, len(x) + 1)) AS p FROM w),
     kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
     SELECT doc_id, len(x) AS n_words, len(x) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)""",
+    "op13_collocations": """WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+    runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS w FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM pieces) WHERE len(w) >= k),
+    f AS (SELECT lang, k, w, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    cuts AS (SELECT lang, k, w, f AS a, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+    scored AS (SELECT c.lang, c.w, c.a, c.c, l.f AS l, r.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score FROM cuts c
+      JOIN f l ON l.lang = c.lang AND l.w = list_slice(c.w, 1, c.c) JOIN f r ON r.lang = c.lang AND r.w = list_slice(c.w, c.c + 1, c.k)),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, c) = 1),
+    parts AS (SELECT lang, f, w, k, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, f, w, k, unnest(range(2, k)) AS m FROM f WHERE k > 2)),
+    around AS (SELECT lang, list_slice(w, i, i + m - 1) AS w, max(f) AS f FROM parts GROUP BY ALL),
+    held AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.w = b.w WHERE o.f IS NULL OR 100 * CAST(o.f AS HUGEINT) < 80 * CAST(b.a AS HUGEINT))
+    SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM (SELECT *, array_to_string(w, ' ') AS phrase FROM held)) JOIN totals USING (lang) WHERE rank <= 2000""",
     "op8_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
     first AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
     hex AS (SELECT p.page_id, p.html, f.first, sha1(p.html) AS h FROM p JOIN first f ON f.html = p.html)
