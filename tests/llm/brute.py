@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -207,3 +208,69 @@ def linked_secrets(text, scope):
             if with_:
                 groups.append(name(p) + ">" + ",".join(map(name, with_)))
     return ",".join(spans), ";".join(groups)
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """[(vec_id, code, error, label_error, codebooks_sha256)] of rows (vec_id, vector, label), all in Python integers."""
+    kept = [(i, [math.floor(256 * x) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    if not kept:
+        return []
+    width = len(kept[0][1]) // parts
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, v, _ in kept]
+    first = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, kept[k][1]))[:entries]
+    books = [[list(cut[k][p]) for k in first] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    near = lambda x, p: min((far(x, e), k) for k, e in enumerate(books[p]))
+    for _ in range(rounds):
+        held = defaultdict(list)
+        for c in cut:
+            for p in range(parts):
+                held[p, near(c[p], p)[1]].append(c[p])
+        for (p, k), xs in held.items():
+            books[p][k] = [sum(y) // len(xs) for y in zip(*xs)]
+    coded = [[near(c[p], p) for p in range(parts)] for c in cut]
+    by_label = Counter()
+    for (_, _, label), c in zip(kept, coded):
+        by_label[label] += sum(d for d, _ in c)
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return [(i, "".join(f"{k:02x}" for _, k in c), sum(d for d, _ in c), by_label[label], digest) for (i, _, label), c in zip(kept, coded)]
+
+
+def passages(rows, window=20):
+    """[(doc_id, n_words, n_removed, kept_sha256)] of rows (doc_id, text); null ids last."""
+    order = lambda i: (i is None, i or 0)
+    words = [WORD.findall(t or "") for _, t in rows]
+    first = {}
+    for (i, _), w in zip(rows, words):
+        for s in range(len(w) - window + 1):
+            key, at = tuple(w[s : s + window]), (order(i), s)
+            first[key] = min(first.get(key, at), at)
+    out = []
+    for (i, _), w in zip(rows, words):
+        gone = {s + k for s in range(len(w) - window + 1) if first[tuple(w[s : s + window])] < (order(i), s) for k in range(window)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def phrases(rows, least=30, top=2000):
+    """[(lang, rank, phrase, a, l, r, n, score)] of rows (text, lang)."""
+    count, n = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower_ascii(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 5):
+                count[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in count.items():
+        found = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        gone = {p[i : i + m] for p, a in found.items() for m in range(2, len(p)) for i in range(len(p) - m + 1) if 100 * a >= 80 * f[p[i : i + m]]}
+        rows = []
+        for p, a in found.items():
+            if p not in gone:
+                score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, rank, p.decode(), -a, l, r, n[lang], -s) for rank, (s, a, p, l, r) in enumerate(sorted(rows)[:top], 1)]
+    return out

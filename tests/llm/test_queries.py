@@ -80,7 +80,7 @@ def test_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     got = con.execute(q.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
