@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Qualities below LEAST_Q are neither counted nor changed; MOST_Q is the largest that a model holds.
 LEAST_Q, MOST_Q = 6, 42
 _PLACES = decimal.Decimal(1).scaleb(-26)
+#: Probabilities of 26 places are held in two parts of 13 digits.
+LIMB = 10**13
 
 
 def q_to_p(q: Column) -> Column:
@@ -43,16 +45,46 @@ def true_p(q: int) -> str:
         return f"{(decimal.Decimal(10) ** (decimal.Decimal(-q) / 10)).quantize(_PLACES):f}"
 
 
-def expected_errors(q: Column, n: Column) -> Column:
-    """Expected errors of n bases of quality q, exact enough to decide borders: decimal(38,26) when summed."""
-    table = F.array(*(F.lit(double_p(k)).cast("decimal(27,26)") for k in range(MOST_Q + 1)))
-    return F.element_at(table, q + 1) * n.cast("decimal(10,0)")
+def limbs(p: str) -> tuple[int, int]:
+    """A probability of 26 places as two whole numbers of 13 digits: p = (high * 10^13 + low) / 10^26."""
+    return divmod(int(decimal.Decimal(p).scaleb(26)), LIMB)
 
 
-def mean_q(errors: Column, n: Column) -> Column:
-    """floor(-10 log10(errors / n)) without rounding at the borders: how many thresholds the mean does not exceed."""
-    borders = F.array(*(F.lit(true_p(k)).cast("decimal(27,26)") for k in range(1, MOST_Q + 1)))
-    return F.size(F.filter(borders, lambda t: errors <= t * n.cast("decimal(10,0)")))
+def _limb(values: list[int], at: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(str(v)).cast("decimal(14,0)") for v in values)), at)
+
+
+def expected_errors(q: Column, n: Column) -> tuple[Column, Column]:
+    """Expected errors of n bases of quality q as a high and a low part, whole numbers whose sums stay exact for any count."""
+    high, low = zip(*(limbs(double_p(k)) for k in range(MOST_Q + 1)), strict=True)
+    count = n.cast("decimal(19,0)")
+    return _limb(high, q + 1) * count, _limb(low, q + 1) * count
+
+
+def _carried(high: Column, low: Column) -> tuple[Column, Column]:
+    """The same number with a low part below LIMB."""
+    size, wide = F.lit(str(LIMB)).cast("decimal(14,0)"), low.cast("decimal(38,0)")
+    over = F.floor(wide / size)
+    # Division may round: the rest tells whether it did.
+    rest = wide - over * size
+    over = F.when(rest < 0, over - 1).when(rest >= size, over + 1).otherwise(over)
+    return high.cast("decimal(38,0)") + over.cast("decimal(30,0)"), wide - over * size
+
+
+def mean_q(high: Column, low: Column, n: Column) -> Column:
+    """floor(-10 log10(errors / n)) without rounding at the borders: how many thresholds times n the errors do not exceed.
+
+    high, low: sums of expected_errors. Both sides are compared by their parts, so no count is too large.
+    """
+    above, rest = _carried(high, low)
+    borders = F.array(*(F.struct(F.lit(str(h)).cast("decimal(14,0)").alias("h"), F.lit(str(x)).cast("decimal(14,0)").alias("l")) for h, x in (limbs(true_p(k)) for k in range(1, MOST_Q + 1))))
+    count = n.cast("decimal(24,0)")
+
+    def reached(t: Column) -> Column:
+        h, x = _carried(t["h"] * count, t["l"] * count)
+        return (above < h) | ((above == h) & (rest <= x))
+
+    return F.size(F.filter(borders, reached))
 
 
 def posterior_q(prior: Column, errors: Column, n: Column) -> Column:

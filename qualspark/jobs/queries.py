@@ -39,11 +39,14 @@ _B = "WITH " + syn.BASES_SQL
 _A = "WITH " + syn.ALIGNED_SQL
 _SUMS = "CAST(sum(CAST(error AS BIGINT)) AS BIGINT) AS errors, count(*) AS total"
 _COUNTS = _B + f", counts AS (SELECT rg, q, cycle, dinuc, {_SUMS} FROM bases WHERE NOT skip GROUP BY ALL)"
-_P = ", ".join(f"CAST('{phred.double_p(q)}' AS DECIMAL(27,26))" for q in range(43))
-_T = ", ".join(f"CAST('{phred.true_p(q)}' AS DECIMAL(27,26))" for q in range(1, 43))
+_WHOLE = lambda values: ", ".join(f"{v}::HUGEINT" for v in values)
+_P = [phred.limbs(phred.double_p(q)) for q in range(43)]
+_T = ", ".join(f"{{'h': {h}::HUGEINT, 'l': {x}::HUGEINT}}" for h, x in (phred.limbs(phred.true_p(q)) for q in range(1, 43)))
 _ADD = "CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(total) AS BIGINT) AS total"
-_MEANS = f"""means AS (SELECT rg, CAST(len(list_filter([{_T}], lambda t: s <= t * CAST(n AS DECIMAL(10,0)))) AS INTEGER) AS mean_q FROM
-  (SELECT rg, sum(list_extract([{_P}], q + 1) * CAST(total AS DECIMAL(10,0))) AS s, sum(total) AS n FROM (SELECT rg, q, sum(total) AS total FROM counts GROUP BY ALL) GROUP BY rg))"""
+# Expected errors and thresholds in two parts of 13 digits; the lower part's carry goes to the upper one before they are compared.
+_MEANS = f"""means AS (SELECT rg, CAST(len(list_filter([{_T}], lambda t: h < t.h * n + t.l * n // {phred.LIMB} OR h = t.h * n + t.l * n // {phred.LIMB} AND x <= t.l * n % {phred.LIMB})) AS INTEGER) AS mean_q FROM
+  (SELECT rg, h + x // {phred.LIMB} AS h, x % {phred.LIMB} AS x, n FROM (SELECT rg, sum(list_extract([{_WHOLE(h for h, _ in _P)}], q + 1) * total) AS h, sum(list_extract([{_WHOLE(x for _, x in _P)}], q + 1) * total) AS x, sum(total) AS n
+    FROM (SELECT rg, q, CAST(sum(total) AS HUGEINT) AS total FROM counts GROUP BY ALL) GROUP BY rg)))"""
 
 
 def _post(source: str, keys: str) -> str:

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.covariates import letter
+from ..functions.names import reverse_complement
 from ..functions.phred import LEAST_Q
 from .align import adaptor_boundary, aligned_covariates, read_flags, reference_span, trim_bounds
-from .bases import assemble
 from .calibration import selected_quality
-from .model import Model, finest_counts, model_of_counts, recalibrated_bases
+from .model import Model, finest_counts, model_of_counts, new_qualities
 from .report import counts_from_report, report_tables
 
 
@@ -65,6 +65,11 @@ def model_of_report(tables: dict[str, DataFrame]) -> Model:
 
 
 def recalibrate_alignments(reads: DataFrame, model: Model) -> DataFrame:
-    """(rec, qual) of aligned reads by a model, in alignment direction; covariates are those of whole reads, clips and all."""
-    whole = reads.select("rec", "rg", "second", "reverse", "seq", "qual", F.lit(0).alias("aln_start"), F.length("seq").alias("aln_end"))
-    return assemble(recalibrated_bases(aligned_covariates(whole.repartition("rec")), model), "new_q")
+    """(rec, qual) of aligned reads by a model, in alignment direction; covariates are those of whole reads, clips and all.
+
+    Reads are turned into sequencing direction, recalibrated there, and turned back.
+    """
+    back = lambda c: F.when(F.col("reverse"), F.reverse(c)).otherwise(c)
+    turned = F.when(F.col("reverse"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    ahead = reads.select(F.struct("rec", "reverse").alias("rec"), "rg", "second", turned.alias("seq"), back(F.col("qual")).alias("qual"))
+    return new_qualities(ahead, model).select("rec.rec", "rec.reverse", "qual").select("rec", back(F.col("qual")).alias("qual"))

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.phred import expected_errors, mean_q, posterior_q
+from ..functions.covariates import BASES, cycle
+from ..functions.phred import LEAST_Q, expected_errors, mean_q, posterior_q, q_char
+from ..jobs.tables import materialize
 from .bases import checked_quality
 
+#: Bytes of a model's arrays that are sent to all tasks.
+BROADCAST_BYTES = 256_000_000
+
 
 def finest_counts(bases: DataFrame) -> DataFrame:
     """errors and total by (rg, q, cycle, dinuc) over bases that are not skipped: one shuffle feeds all levels.
@@ -39,8 +44,9 @@ def grouping_set_counts(bases: DataFrame) -> DataFrame:
 
 def mean_qualities(by_q: DataFrame) -> DataFrame:
     """(rg, mean_q) from counts by (rg, q): the quality of the mean expected error, cut toward zero without rounding."""
-    sums = by_q.groupBy("rg").agg(F.sum(expected_errors(F.col("q"), F.col("total"))).alias("s"), F.sum("total").alias("n"))
-    return sums.select("rg", mean_q(F.col("s"), F.col("n")).alias("mean_q"))
+    high, low = expected_errors(F.col("q"), F.col("total"))
+    sums = by_q.groupBy("rg").agg(F.sum(high).alias("high"), F.sum(low).alias("low"), F.sum(F.col("total").cast("decimal(19,0)")).alias("n"))
+    return sums.select("rg", mean_q(F.col("high"), F.col("low"), F.col("n")).alias("mean_q"))
 
 
 @dataclass
@@ -88,35 +94,78 @@ def model_of_counts(by_rg: DataFrame, by_q: DataFrame, by_cycle: DataFrame, by_d
     return Model(rg, q, cells(by_cycle, "cycle"), cells(by_dinuc, "dinuc"))
 
 
-def recalibrated_bases(bases: DataFrame, model: Model, least: int = 6) -> DataFrame:
-    """`bases` (rg, q, cycle, dinuc and more) with new_q: mean plus all shifts; qualities below `least` stay.
+def _laid_out(cells: Column, gap: Column) -> Column:
+    """Cells (at, d), sorted, as an array in which d stands at place `at`; `gap` fills the places between."""
+
+    def place(x: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get(cells, k - 1)["at"]).otherwise(-1)
+        return F.concat(F.array_repeat(gap, x["at"] - before - 1), F.array(x["d"]))
+
+    return F.flatten(F.transform(cells, place))
+
 
-    The model's tables are as small as qualities times cycles times read groups; Spark broadcasts those under its size
-    threshold and shuffles larger ones.
+def shifts_by_group(model: Model) -> DataFrame:
+    """The model as one row per read group: _rg, whole, head, low, span, by_cycle, by_dinuc.
+
+    `whole` is the mean plus the group's shift, head[q] that plus the quality's shift. by_cycle holds the shift of quality
+    q and a cycle at q * span + cycle - low, by_dinuc that of a context at q * 17 + context + 1. Cells that were never
+    seen are null in head and zero in the others, or lie beyond the end.
     """
-    shift = {"q": model.q, "cycle": model.cycle, "dinuc": model.dinuc}
-    rg = model.rg.select(F.col("rg").alias("_rg"), (F.col("mean_q") + F.col("delta")).alias("_d_rg"))
-    out = bases.join(rg, F.col("rg").eqNullSafe(F.col("_rg")), "left").drop("_rg")
-    for name, table in shift.items():
-        keys = ["q"] if name == "q" else ["q", name]
-        small = table.where("delta <> 0").select(F.col("rg").alias("_rg"), *(F.col(k).alias(f"_{k}") for k in keys), F.col("delta").alias(f"_d_{name}"))
-        cond = F.col("rg").eqNullSafe(F.col("_rg"))
-        for k in keys:
-            cond = cond & (F.col(k) == F.col(f"_{k}"))
-        out = out.join(small, cond, "left").drop("_rg", *(f"_{k}" for k in keys))
-    total = F.col("_d_rg")
-    for name in shift:
-        total = total + F.coalesce(F.col(f"_d_{name}"), F.lit(0))
-    return out.withColumn("new_q", F.when(F.col("q") >= least, total.cast("int")).otherwise(F.col("q"))).drop("_d_rg", *(f"_d_{n}" for n in shift))
+    d = F.col("delta").cast("double").alias("d")
+    rg = model.rg.select(F.col("rg").alias("_rg"), (F.col("mean_q") + F.col("delta")).cast("double").alias("whole"))
 
+    def arrays(cells: DataFrame, at: Column, gap: Column, name: str, *kept: str) -> DataFrame:
+        placed = F.array_sort(F.transform("xs", lambda x: F.struct(at(x).cast("int").alias("at"), x["d"].alias("d"))))
+        rows = cells.select("rg", *kept, placed.alias("xs"))
+        return rows.select(F.col("rg").alias("_g"), *kept, _laid_out(F.col("xs"), gap.cast("double")).alias(name))
+
+    def grouped(cells: DataFrame, *keys: str) -> DataFrame:
+        spread = (F.min("cycle").alias("low"), (F.max("cycle") - F.min("cycle") + 1).alias("span")) if "cycle" in keys else ()
+        return cells.where("delta <> 0").groupBy("rg").agg(*spread, F.collect_list(F.struct(*keys, d)).alias("xs"))
+
+    low, span = F.col("low"), F.col("span")
+    by_q = arrays(grouped(model.q, "q"), lambda x: x["q"], F.lit(None), "head")
+    by_cycle = arrays(grouped(model.cycle, "q", "cycle"), lambda x: x["q"] * span + x["cycle"] - low, F.lit(0), "by_cycle", "low", "span")
+    by_dinuc = arrays(grouped(model.dinuc, "q", "dinuc"), lambda x: x["q"] * 17 + x["dinuc"] + 1, F.lit(0), "by_dinuc")
+    out = rg
+    for part in (by_q, by_cycle, by_dinuc):
+        out = out.join(part, F.col("_rg").eqNullSafe(F.col("_g")), "left").drop("_g")
+    return out.withColumn("head", F.transform("head", lambda x: F.col("whole") + x))
 
-def recalibrate_reads(reads: DataFrame, model: Model | None = None) -> DataFrame:
-    """(rec, qual): reads with a column `corrected` recalibrated by `model`, or by the model of the reads themselves.
 
-    Reads are spread by rec before they are exploded, so whole reads move once and assembling needs no exchange.
+def _met(reads: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Reads with their group's shifts. The model is broadcast if its arrays are small; otherwise reads meet it in a join
+    whose hot groups are split as it runs."""
+    size = F.sum(F.lit(64) + 8 * (F.coalesce(F.size("head"), F.lit(0)) + F.coalesce(F.size("by_cycle"), F.lit(0)) + F.coalesce(F.size("by_dinuc"), F.lit(0))))
+    held = shifts.agg(size.alias("n")).collect()[0]["n"] or 0
+    return reads.join(F.broadcast(shifts) if held <= BROADCAST_BYTES else shifts, F.col("rg").eqNullSafe(F.col("_rg")), "left")
+
+
+def new_qualities(reads: DataFrame, model: Model, least: int = LEAST_Q) -> DataFrame:
+    """(rec, qual): the mean plus all shifts for each base, cut toward zero; qualities below `least` stay.
+
+    reads: rec, rg, second, seq, qual, in sequencing direction. Everything happens within the row: positions of a read are
+    walked by array functions, a read meets the model once, and nothing but the model is moved.
     """
-    from .bases import assemble, corrected_bases, explode_bases
+    shifts = materialize(shifts_by_group(model), "model-shifts")
+    met = _met(reads.where(F.length("seq") > 0).select("rec", "rg", "second", "seq", "qual"), shifts)
+    digits = F.translate("seq", "0123" + BASES, "NNNN0123")
+    known = lambda c: c.between("0", "3")
+    context = F.zip_with(F.split(F.concat(F.lit("N"), digits), ""), F.split(digits, ""), lambda p, c: F.when(known(p) & known(c), 4 * F.ascii(p) + F.ascii(c) - 5 * 48 + 1).otherwise(0))
+    bases = F.zip_with(F.split("qual", ""), context, lambda c, x: F.struct((F.ascii(c) - 33).alias("q"), x.alias("x")))
+    zero = F.lit(0.0)
+
+    def renewed(b: Column, k: Column) -> Column:
+        q, at = b["q"], cycle(k, F.col("second")) - F.col("low")
+        by_cycle = F.when(at.between(0, F.col("span") - 1), F.get("by_cycle", q * F.col("span") + at))
+        total = F.coalesce(F.get("head", q), F.col("whole")) + F.coalesce(by_cycle, zero) + F.coalesce(F.get("by_dinuc", q * 17 + b["x"]), zero)
+        return q_char(F.when(q >= least, total.cast("int")).otherwise(q))
+
+    return met.select("rec", F.array_join(F.transform(F.slice(bases, F.lit(1), F.length("seq")), renewed), "").alias("qual"))
+
+
+def recalibrate_reads(reads: DataFrame, model: Model | None = None) -> DataFrame:
+    """(rec, qual): reads with a column `corrected` recalibrated by `model`, or by the model of the reads themselves."""
+    from .bases import corrected_bases
 
-    model = model or fit_model(corrected_bases(reads))
-    spread = explode_bases(reads.select("rec", "rg", "second", "seq", "qual").repartition("rec"))
-    return assemble(recalibrated_bases(spread, model), "new_q")
+    return new_qualities(reads, model or fit_model(corrected_bases(reads)))
