@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import covariates, names, phred
-from ..operators import align, aligned, bases, calibration, model, regression, report
+from ..operators import align, aligned, bases, calibration, model, read_arrays, regression, report
 from . import synthetic as syn
 from .tables import materialize, shared_dir
 
@@ -31,7 +31,12 @@ def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _finest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.finest_counts(_bases(spark, sf_dir))
+    return read_arrays.count_reads(syn.documents_reads(spark, sf_dir))
+
+
+def _model(spark: SparkSession, sf_dir: str) -> model.Model:
+    """The model of all reads; its counts are written out, as each of its levels reads them."""
+    return model.model_of_finest(materialize(_finest(spark, sf_dir), "finest-counts"))
 
 
 # --- SQL that several oracles share -------------------------------------------------------------------------------
@@ -117,7 +122,7 @@ def cov_dinuc(spark, sf_dir):
     UNION ALL SELECT 'dinuc', rg, q, NULL, dinuc, {_SUMS} FROM bases WHERE NOT skip AND dinuc >= 0 GROUP BY rg, q, dinuc"""
 )
 def cov_grouping_sets(spark, sf_dir):
-    return model.grouping_set_counts(_bases(spark, sf_dir))
+    return model.grouping_sets(_finest(spark, sf_dir))
 
 
 @_query(_B + " SELECT rg, max(length(seq)) AS longest, max(q) AS most_q, count(DISTINCT dinuc) FILTER (dinuc >= 0) AS n_dinucs FROM bases JOIN (SELECT rec, seq FROM reads) USING (rec) GROUP BY rg")
@@ -136,22 +141,22 @@ def mean_q(spark, sf_dir):
 
 @_query(_MODEL + " SELECT rg, mean_q, post - mean_q AS delta FROM g")
 def delta_rg(spark, sf_dir):
-    return model.fit_model(_bases(spark, sf_dir)).rg.select("rg", "mean_q", "delta")
+    return _model(spark, sf_dir).rg.select("rg", "mean_q", "delta")
 
 
 @_query(_MODEL + " SELECT rg, q, errors, total, prior, post - prior AS delta FROM h")
 def delta_q(spark, sf_dir):
-    return model.fit_model(_bases(spark, sf_dir)).q.select("rg", "q", "errors", "total", "prior", "delta")
+    return _model(spark, sf_dir).q.select("rg", "q", "errors", "total", "prior", "delta")
 
 
 @_query(_MODEL + " SELECT rg, q, cycle, prior, post - prior AS delta FROM y")
 def delta_cycle(spark, sf_dir):
-    return model.fit_model(_bases(spark, sf_dir)).cycle.select("rg", "q", "cycle", "prior", "delta")
+    return _model(spark, sf_dir).cycle.select("rg", "q", "cycle", "prior", "delta")
 
 
 @_query(_MODEL + " SELECT rg, q, dinuc, prior, post - prior AS delta FROM d")
 def delta_dinuc(spark, sf_dir):
-    return model.fit_model(_bases(spark, sf_dir)).dinuc.select("rg", "q", "dinuc", "prior", "delta")
+    return _model(spark, sf_dir).dinuc.select("rg", "q", "dinuc", "prior", "delta")
 
 
 @_query(
@@ -160,8 +165,7 @@ def delta_dinuc(spark, sf_dir):
     FROM bases b LEFT JOIN g ON g.rg = b.rg LEFT JOIN h ON h.rg = b.rg AND h.q = b.q LEFT JOIN y ON y.rg = b.rg AND y.q = b.q AND y.cycle = b.cycle LEFT JOIN d ON d.rg = b.rg AND d.q = b.q AND d.dinuc = b.dinuc GROUP BY b.rec"""
 )
 def recalibrate(spark, sf_dir):
-    finest = materialize(_finest(spark, sf_dir), "finest-counts")
-    return model.recalibrate_reads(syn.documents_reads(spark, sf_dir), model.model_of_finest(finest))
+    return model.recalibrate_reads(syn.documents_reads(spark, sf_dir), _model(spark, sf_dir))
 
 
 @_query()
@@ -381,7 +385,7 @@ def report_q(spark, sf_dir):
     SELECT rg AS ReadGroup, q AS QualityScore, value AS CovariateValue, name AS CovariateName, 'M' AS EventType, CAST(post AS DOUBLE) AS EmpiricalQuality, total AS Observations, CAST(errors AS DOUBLE) AS Errors FROM {_post('r0', 'rg, q, name, value')}"""
 )
 def report_cov(spark, sf_dir):
-    finest = _finest(spark, sf_dir)
+    finest = materialize(_finest(spark, sf_dir), "finest-counts")
     return report.covariate_table(model.level_counts(finest, "rg", "q", "cycle"), model.level_counts(finest, "rg", "q", "dinuc"))
 
 
@@ -391,4 +395,4 @@ def report_cov(spark, sf_dir):
 )
 def table_to_vectors(spark, sf_dir):
     """Counts read back from a report's tables, over the whole domain of a model."""
-    return report.dense_cells(report.counts_from_report(report.report_tables(_finest(spark, sf_dir)))["dinuc"], "dinuc")
+    return report.dense_cells(report.counts_from_report(report.report_tables(materialize(_finest(spark, sf_dir), "finest-counts")))["dinuc"], "dinuc")

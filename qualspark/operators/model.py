@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.covariates import BASES, cycle
-from ..functions.phred import LEAST_Q, expected_errors, mean_q, posterior_q, q_char
+from ..functions.covariates import BASES
+from ..functions.phred import LEAST_Q, MOST_Q, expected_errors, mean_q, posterior_q, q_char
 from ..jobs.tables import materialize
 from .bases import checked_quality
+from .read_arrays import CONTEXTS, count_reads, renew
 
 #: Bytes of a model's arrays that are sent to all tasks.
 BROADCAST_BYTES = 256_000_000
@@ -36,7 +37,12 @@ def grouping_set_counts(bases: DataFrame) -> DataFrame:
 
     Only the finest counts are spread over the levels, not bases.
     """
-    sets = finest_counts(bases).groupingSets([["rg"], ["rg", "q"], ["rg", "q", "cycle"], ["rg", "q", "dinuc"]], "rg", "q", "cycle", "dinuc")
+    return grouping_sets(finest_counts(bases))
+
+
+def grouping_sets(finest: DataFrame) -> DataFrame:
+    """grouping_set_counts from finest counts."""
+    sets = finest.groupingSets([["rg"], ["rg", "q"], ["rg", "q", "cycle"], ["rg", "q", "dinuc"]], "rg", "q", "cycle", "dinuc")
     counted = sets.agg(F.grouping_id().alias("g"), F.sum("errors").alias("errors"), F.sum("total").alias("total"))
     level = F.when(F.col("g") == 7, "rg").when(F.col("g") == 3, "q").when(F.col("g") == 1, "cycle").otherwise("dinuc")
     return counted.select(level.alias("level"), "rg", "q", "cycle", "dinuc", "errors", "total").where("level <> 'dinuc' or dinuc >= 0")
@@ -94,78 +100,91 @@ def model_of_counts(by_rg: DataFrame, by_q: DataFrame, by_cycle: DataFrame, by_d
     return Model(rg, q, cells(by_cycle, "cycle"), cells(by_dinuc, "dinuc"))
 
 
-def _laid_out(cells: Column, gap: Column) -> Column:
-    """Cells (at, d), sorted, as an array in which d stands at place `at`; `gap` fills the places between."""
+def _laid_out(cells: Column, n: Column) -> Column:
+    """Cells (at, d), sorted, as an array of n numbers in which d stands at place `at`, with zeros elsewhere."""
 
     def place(x: Column, k: Column) -> Column:
         before = F.when(k > 0, F.get(cells, k - 1)["at"]).otherwise(-1)
-        return F.concat(F.array_repeat(gap, x["at"] - before - 1), F.array(x["d"]))
+        return F.concat(F.array_repeat(F.lit(0.0), x["at"] - before - 1), F.array(x["d"]))
 
-    return F.flatten(F.transform(cells, place))
+    last = F.coalesce(F.try_element_at(cells, F.lit(-1))["at"], F.lit(-1))
+    return F.concat(F.coalesce(F.flatten(F.transform(cells, place)), F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), n - 1 - last))
 
 
 def shifts_by_group(model: Model) -> DataFrame:
-    """The model as one row per read group: _rg, whole, head, low, span, by_cycle, by_dinuc.
+    """The model as one row per read group: _rg, head, low, span, by_cycle, by_context.
 
-    `whole` is the mean plus the group's shift, head[q] that plus the quality's shift. by_cycle holds the shift of quality
-    q and a cycle at q * span + cycle - low, by_dinuc that of a context at q * 17 + context + 1. Cells that were never
-    seen are null in head and zero in the others, or lie beyond the end.
+    head[q] is the mean plus the shifts of the group and of quality q; by_cycle holds the shift of a cycle at
+    q * span + cycle - low, by_context that of a context at q * 32 + context + 1. Qualities above the model's range share
+    the place MOST_Q + 1, which has no shifts of its own. Cells that were never seen shift nothing.
     """
-    d = F.col("delta").cast("double").alias("d")
+    d, rows = F.col("delta").cast("double").alias("d"), MOST_Q + 2
     rg = model.rg.select(F.col("rg").alias("_rg"), (F.col("mean_q") + F.col("delta")).cast("double").alias("whole"))
 
-    def arrays(cells: DataFrame, at: Column, gap: Column, name: str, *kept: str) -> DataFrame:
-        placed = F.array_sort(F.transform("xs", lambda x: F.struct(at(x).cast("int").alias("at"), x["d"].alias("d"))))
-        rows = cells.select("rg", *kept, placed.alias("xs"))
-        return rows.select(F.col("rg").alias("_g"), *kept, _laid_out(F.col("xs"), gap.cast("double")).alias(name))
-
-    def grouped(cells: DataFrame, *keys: str) -> DataFrame:
-        spread = (F.min("cycle").alias("low"), (F.max("cycle") - F.min("cycle") + 1).alias("span")) if "cycle" in keys else ()
-        return cells.where("delta <> 0").groupBy("rg").agg(*spread, F.collect_list(F.struct(*keys, d)).alias("xs"))
-
-    low, span = F.col("low"), F.col("span")
-    by_q = arrays(grouped(model.q, "q"), lambda x: x["q"], F.lit(None), "head")
-    by_cycle = arrays(grouped(model.cycle, "q", "cycle"), lambda x: x["q"] * span + x["cycle"] - low, F.lit(0), "by_cycle", "low", "span")
-    by_dinuc = arrays(grouped(model.dinuc, "q", "dinuc"), lambda x: x["q"] * 17 + x["dinuc"] + 1, F.lit(0), "by_dinuc")
-    out = rg
-    for part in (by_q, by_cycle, by_dinuc):
-        out = out.join(part, F.col("_rg").eqNullSafe(F.col("_g")), "left").drop("_g")
-    return out.withColumn("head", F.transform("head", lambda x: F.col("whole") + x))
-
-
-def _met(reads: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Reads with their group's shifts. The model is broadcast if its arrays are small; otherwise reads meet it in a join
-    whose hot groups are split as it runs."""
-    size = F.sum(F.lit(64) + 8 * (F.coalesce(F.size("head"), F.lit(0)) + F.coalesce(F.size("by_cycle"), F.lit(0)) + F.coalesce(F.size("by_dinuc"), F.lit(0))))
-    held = shifts.agg(size.alias("n")).collect()[0]["n"] or 0
-    return reads.join(F.broadcast(shifts) if held <= BROADCAST_BYTES else shifts, F.col("rg").eqNullSafe(F.col("_rg")), "left")
+    def cells(table: DataFrame, name: str, at: Column, *spread: Column) -> DataFrame:
+        found = table.where("delta <> 0").groupBy(F.col("rg").alias("_g")).agg(*spread, F.collect_list(F.struct(at.alias("at"), d)).alias(name))
+        return found.select("_g", *found.columns[1:-1], F.array_sort(name).alias(name))
+
+    q = F.col("q")
+    parts = (
+        cells(model.q, "qs", q),
+        cells(model.cycle, "cycles", F.struct("q", "cycle"), F.min("cycle").alias("low"), (F.max("cycle") - F.min("cycle") + 1).alias("span")),
+        cells(model.dinuc, "contexts", q * CONTEXTS + F.col("dinuc") + 1),
+    )
+    for part in parts:
+        rg = rg.join(part, F.col("_rg").eqNullSafe(F.col("_g")), "left").drop("_g")
+    low, span = F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("span", F.lit(1)).alias("span")
+    # Sorted by quality and cycle, cells are sorted by place, too.
+    placed = F.transform("cycles", lambda x: F.struct((x["at"]["q"] * F.col("span") + x["at"]["cycle"] - F.col("low")).alias("at"), x["d"].alias("d")))
+    held = rg.select("_rg", "whole", low, span, "qs", placed.alias("cycles"), "contexts")
+    by_q = F.transform(_laid_out(F.col("qs"), F.lit(rows)), lambda x: F.col("whole") + x)
+    return held.select("_rg", "low", "span", by_q.alias("head"), _laid_out(F.col("cycles"), rows * F.col("span")).alias("by_cycle"), _laid_out(F.col("contexts"), F.lit(rows * CONTEXTS)).alias("by_context"))
 
 
 def new_qualities(reads: DataFrame, model: Model, least: int = LEAST_Q) -> DataFrame:
     """(rec, qual): the mean plus all shifts for each base, cut toward zero; qualities below `least` stay.
 
-    reads: rec, rg, second, seq, qual, in sequencing direction. Everything happens within the row: positions of a read are
-    walked by array functions, a read meets the model once, and nothing but the model is moved.
+    reads: rec, rg, second, seq, qual, in sequencing direction; null and empty sequences are left out. Everything happens
+    within the row, so nothing but the model is moved. A model whose arrays are small is sent to all tasks, which renew
+    whole batches; a larger one (very many read groups, or very long reads) meets the reads in a join by read group, whose
+    hot groups are split as it runs, and positions are walked by array functions.
     """
     shifts = materialize(shifts_by_group(model), "model-shifts")
-    met = _met(reads.where(F.length("seq") > 0).select("rec", "rg", "second", "seq", "qual"), shifts)
-    digits = F.translate("seq", "0123" + BASES, "NNNN0123")
-    known = lambda c: c.between("0", "3")
-    context = F.zip_with(F.split(F.concat(F.lit("N"), digits), ""), F.split(digits, ""), lambda p, c: F.when(known(p) & known(c), 4 * F.ascii(p) + F.ascii(c) - 5 * 48 + 1).otherwise(0))
-    bases = F.zip_with(F.split("qual", ""), context, lambda c, x: F.struct((F.ascii(c) - 33).alias("q"), x.alias("x")))
-    zero = F.lit(0.0)
-
-    def renewed(b: Column, k: Column) -> Column:
-        q, at = b["q"], cycle(k, F.col("second")) - F.col("low")
-        by_cycle = F.when(at.between(0, F.col("span") - 1), F.get("by_cycle", q * F.col("span") + at))
-        total = F.coalesce(F.get("head", q), F.col("whole")) + F.coalesce(by_cycle, zero) + F.coalesce(F.get("by_dinuc", q * 17 + b["x"]), zero)
-        return q_char(F.when(q >= least, total.cast("int")).otherwise(q))
-
-    return met.select("rec", F.array_join(F.transform(F.slice(bases, F.lit(1), F.length("seq")), renewed), "").alias("qual"))
+    whole = reads.where(F.length("seq") > 0).select("rec", "rg", "second", "seq", "qual")
+    size = F.sum(F.lit(64) + 8 * (F.size("head") + F.size("by_cycle") + F.size("by_context")))
+    if (shifts.agg(size.alias("n")).collect()[0]["n"] or 0) <= BROADCAST_BYTES:
+        return renew(whole, shifts.collect(), least)
+    return _renew_joined(whole, shifts, least)
+
+
+def _renew_joined(reads: DataFrame, shifts: DataFrame, least: int) -> DataFrame:
+    """(rec, qual) of reads that meet their group's arrays in a join."""
+    met = reads.withColumn("seq", F.regexp_replace("seq", f"[^{BASES}]", "N")).join(shifts, F.col("rg").eqNullSafe(F.col("_rg")), "left")
+    # Each step of an array is bound to a variable of the next one, as an expression used twice is computed twice a base.
+    digits = F.translate("seq", BASES, "0123")
+    pair = F.zip_with(F.split(F.concat(F.lit("N"), digits), ""), F.split(digits, ""), lambda p, c: 4 * F.ascii(p) + F.ascii(c))
+    none = F.lit(4 * 48 + 48 + 16)  # beyond all pairs of digits
+    keys = F.zip_with(F.split("qual", ""), pair, lambda c, x: F.least(F.ascii(c) - 33, F.lit(MOST_Q + 1)) * CONTEXTS + F.when(x < none, x - 239).otherwise(0))
+    quality = lambda key: F.shiftright(key, 5)
+    sign = F.when(F.col("second"), -1).otherwise(1)
+    from_low = F.when(F.col("second"), -1 - F.col("low")).otherwise(-F.col("low"))
+
+    def renewed(by_cycle) -> Column:
+        def one(key: Column, k: Column) -> Column:
+            total = F.get("head", quality(key)) + by_cycle(key, from_low + sign * k) + F.get("by_context", key)
+            return F.when(key >= least * CONTEXTS, total.cast("int")).otherwise(quality(key))
+
+        return F.transform(F.slice(keys, F.lit(1), F.length("seq")), one)
+
+    inside = lambda key, at: F.get("by_cycle", quality(key) * F.col("span") + at)
+    anywhere = lambda key, at: F.when(at.between(0, F.col("span") - 1), inside(key, at)).otherwise(0.0)
+    ends = (from_low, from_low + sign * (F.length("seq") - 1))
+    covered = (F.least(*ends) >= 0) & (F.greatest(*ends) < F.col("span"))
+    found = F.when(covered, renewed(inside)).otherwise(renewed(anywhere))
+    written = F.transform(found, lambda q: q_char(q))
+    return met.select("rec", F.array_join(written, "").alias("qual"))
 
 
 def recalibrate_reads(reads: DataFrame, model: Model | None = None) -> DataFrame:
     """(rec, qual): reads with a column `corrected` recalibrated by `model`, or by the model of the reads themselves."""
-    from .bases import corrected_bases
-
-    return new_qualities(reads, model or fit_model(corrected_bases(reads)))
+    return new_qualities(reads, model or model_of_finest(materialize(count_reads(reads), "finest-counts")))
