@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import struct
-import zlib
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bam_blocks import RANGE_BYTES, found_ranges, header_lines, records_of
 from .text_lines import numbered_lines
 
 SCHEMA = "rec long, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>"
@@ -42,7 +41,16 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """(rg_id, pu, rg_ord) of the @RG lines of SAM text, in header order; one without PU fails."""
-    lines = numbered_lines(spark, path).where("startswith(value, '@RG\t')")
+    return _groups_of(numbered_lines(spark, path))
+
+
+def bam_read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """read_groups of a BAM file's header."""
+    return _groups_of(header_lines(spark, path))
+
+
+def _groups_of(header: DataFrame) -> DataFrame:
+    lines = header.where("startswith(value, '@RG\t')")
     field = lambda k: F.regexp_extract("value", f"\t{k}:([^\t]*)", 1)
     pu = F.when(field("PU") != "", field("PU")).otherwise(F.raise_error(F.concat(F.lit("read group without PU: "), F.col("value"))))
     before = lines.select("line", field("ID").alias("rg_id"), pu.alias("pu"))
@@ -51,14 +59,6 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
     return before.select("rg_id", "pu", (F.row_number().over(Window.orderBy("line")) - 1).alias("rg_ord"))  # a header's lines
 
 
-def _inflated(stream) -> Iterator[bytes]:
-    """Payloads of BGZF blocks, one at a time."""
-    while head := stream.read(18):
-        (size,) = struct.unpack_from("<H", head, 16)
-        body = stream.read(size + 1 - 18)
-        yield zlib.decompress(body[:-8], -15)
-
-
 def _tag(raw: bytes, at: int) -> tuple[str, str, int]:
     name, kind, at = raw[at : at + 2].decode(), chr(raw[at + 2]), at + 3
     if kind in "ZH":
@@ -75,7 +75,8 @@ def _tag(raw: bytes, at: int) -> tuple[str, str, int]:
     return name, str(value), at + struct.calcsize(width[kind])
 
 
-def _alignment(raw: bytes, names: list[str], rec: int) -> dict:
+def _alignment(raw: bytes, names: list[str], rec: int) -> tuple:
+    """A record's columns, in the order of SCHEMA."""
     ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHIiii", raw)
     at = 32
     qname, at = raw[at : at + n_name - 1].decode(), at + n_name
@@ -91,52 +92,36 @@ def _alignment(raw: bytes, names: list[str], rec: int) -> dict:
     ref_name = lambda k: names[k] if k >= 0 else "*"
     qual = "*" if not n_seq or quals[0] == 255 else "".join(chr(q + 33) for q in quals)
     rnext = "=" if mate == ref and mate >= 0 else ref_name(mate)
-    return {"rec": rec, "qname": qname, "flag": flag, "rname": ref_name(ref), "pos": pos, "mapq": mapq, "cigar": "".join(f"{x >> 4}{'MIDNSHP=X'[x & 15]}" for x in ops) or "*", "rnext": rnext, "pnext": mate_pos, "tlen": tlen, "seq": seq or "*", "qual": qual, "tags": list(tags.items())}
+    cigar = "".join(f"{x >> 4}{'MIDNSHP=X'[x & 15]}" for x in ops)
+    return rec, qname, flag, ref_name(ref), pos, mapq, cigar or "*", rnext, mate_pos, tlen, seq or "*", qual, list(tags.items())
 
 
-def read_bam(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Alignments of BAM files, each streamed by one task in bounded pieces; rec counts within its file."""
+def read_bam(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Alignments of BAM files, each read in ranges of bytes by many tasks; rec counts within its file."""
 
     def decode(batches):
         import pyarrow as pa
-        from pyarrow import fs as pafs
 
         types = pa.schema([("rec", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("rname", pa.string()), ("pos", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.string()), ("rnext", pa.string()), ("pnext", pa.int32()), ("tlen", pa.int32()), ("seq", pa.string()), ("qual", pa.string()), ("tags", pa.map_(pa.string(), pa.string()))])
+
+        def pack(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                fs, name = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(name, compression=None) as stream:
-                    blocks, held = _inflated(stream), bytearray()
-
-                    def take(n: int) -> bytes:
-                        while len(held) < n:  # noqa: B023
-                            piece = next(blocks, None)  # noqa: B023
-                            if piece is None:
-                                return b""
-                            held.extend(piece)  # noqa: B023
-                        out = bytes(held[:n])  # noqa: B023
-                        del held[:n]  # noqa: B023
-                        return out
-
-                    if take(4) != b"BAM\1":
-                        raise ValueError(f"{path} is not a BAM file")
-                    take(struct.unpack("<i", take(4))[0])
-                    names = []
-                    for _ in range(struct.unpack("<i", take(4))[0]):
-                        names.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
-                        take(4)
-                    rec, rows = 0, []
-                    while size := take(4):
-                        rows.append(_alignment(take(struct.unpack("<i", size)[0]), names, rec))
-                        rec += 1
-                        if len(rows) == 2000:
-                            yield pa.RecordBatch.from_pylist(rows, types)
-                            rows = []
-                    if rows:
-                        yield pa.RecordBatch.from_pylist(rows, types)
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths) or 1, "path")
-    return files.mapInArrow(decode, SCHEMA)
+            for path, start, stop, first, rec, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = []
+                for names, raw in records_of(path, start, stop, first, n):
+                    rows.append(_alignment(raw, names, rec))
+                    rec += 1
+                    if len(rows) == 2000:
+                        yield pack(rows)
+                        rows = []
+                if rows:
+                    yield pack(rows)
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    ranges = found_ranges(spark, paths, range_bytes).select("path", "start", "stop", "first", "rec", "n")
+    return ranges.repartition(tasks, "path", "start").mapInArrow(decode, SCHEMA)
 
 
 def as_reads(alignments: DataFrame, use_original: bool = False) -> DataFrame:
