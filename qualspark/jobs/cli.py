@@ -33,7 +33,7 @@ def benchmark(spark: SparkSession, sam: str, fasta: str, vcf: str, bed: str | No
     rows = alignments.as_reads(stored, use_original)
     written = rows.withColumn("seq", F.when(F.col("reverse"), F.reverse(F.translate("seq", "ATGC", "TACG"))).otherwise(F.col("seq")))
     bins = align.site_bins(sites.read_fasta(spark, fasta), align.variant_spans(sites.read_vcf(spark, vcf)), None if bed is None else sites.read_bed(spark, bed))
-    found = written.select("rec", "seq").join(align.read_flags(written, bins), "rec")
+    found = align.flag_reads(written, bins).select("rec", "seq", "ref", "skip")
     if reads is not None:
         # By name, and the last alignment of a name counts; a read that no alignment names fails.
         known = calibration.last_of_name(rows.select("rec", "name", "reverse"), "name", "rec")

@@ -273,7 +273,7 @@ def _aligned_bases(spark, sf_dir) -> DataFrame:
     """Aligned bases with their own qualities: the alignment's errors joined to reads by name, the last of a name winning."""
     reads = calibration.last_of_name(syn.documents_reads(spark, sf_dir).select("rec", names.fastq_key(F.col("name")).alias("key"), "qual"), "key", "rec")
     rows = syn.alignments(spark, sf_dir)
-    flagged = rows.select("rec", "seq").join(align.read_flags(rows, _bins(spark, sf_dir)), "rec").join(reads.select("rec", F.col("qual").cast("binary").alias("q_text")), "rec")
+    flagged = align.flag_reads(rows.select("rec", "chrom", "pos", "cigar", "seq"), _bins(spark, sf_dir)).join(reads.select("rec", F.col("qual").cast("binary").alias("q_text")), "rec")
     return align.flagged_bases(flagged, "q_text").select(phred.char_q(covariates.letter("q_text", F.col("read_pos"))).alias("q"), "error", "skip")
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.covariates import clipped_cycle, complement, dinucleotide, letter, strand_cycle
 from ..functions.phred import char_q
+from .cigar import cigar_rows, with_flags, with_trim
 
 #: Positions that share one bin when points meet intervals.
 BIN = 1024
-_OPS = "MIDNSHP=X"
 _READ, _REF = "MIS=X", "MDN=X"
 
 
@@ -38,13 +38,7 @@ def cigar_ops(reads: DataFrame, *keep: str) -> DataFrame:
 
     reads: rec, cigar. Reads without a CIGAR give none; a letter outside MIDNSHP=X fails.
     """
-    whole = F.col("cigar").rlike(f"^([0-9]+[{_OPS}])+$")
-    parts = F.when(whole, F.regexp_extract_all("cigar", F.lit(f"([0-9]+[{_OPS}])"), F.lit(1))).otherwise(F.raise_error(F.concat(F.lit("CIGAR cannot be read: "), F.col("cigar"))))
-    named = reads.where("cigar is not null and cigar <> '*'").select("rec", *keep, F.posexplode(parts).alias("k", "p"))
-    named = named.select("rec", *keep, "k", F.right("p", F.lit(1)).alias("op"), F.expr("cast(left(p, length(p) - 1) as int)").alias("n"))
-    before = Window.partitionBy("rec").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    moved = lambda ops: F.coalesce(F.sum(F.when(F.col("op").isin(*ops), F.col("n")).otherwise(0)).over(before), F.lit(0)).cast("int")
-    return named.select("*", moved(_READ).alias("read_at"), moved(_REF).alias("ref_at"))
+    return cigar_rows(reads, *keep)
 
 
 def aligned_pairs(ops: DataFrame, *keep: str) -> DataFrame:
@@ -131,41 +125,36 @@ def reference_span(cigar: Column) -> Column:
     return F.aggregate(moves, F.lit(0), lambda s, x: s + x.cast("int"))
 
 
-def read_windows(reads: DataFrame, bins: DataFrame) -> DataFrame:
-    """(rec, ref, mask): text and mask of the sites from one before a read's alignment to one behind it.
+def with_windows(reads: DataFrame, bins: DataFrame) -> DataFrame:
+    """Reads with _ref and _mask: letters of the sites from one before the alignment to one behind it.
 
-    reads: rec, chrom, pos, cigar. A read meets each bin that it touches once, without its sequence.
+    reads: rec, chrom, pos, cigar and more. A read meets each bin that it touches; its own columns go to the first of them
+    only, and its parts come together in one exchange by rec.
     """
-    placed = reads.where("cigar is not null and cigar <> '*'").select("rec", "chrom", (F.col("pos") - 1).alias("first"), (F.col("pos") + reference_span(F.col("cigar"))).alias("last"))
-    touched = placed.select("*", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(F.col("last") / BIN))).alias("bin"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in reads.columns))
+    placed = reads.where("cigar is not null and cigar <> '*'").select("rec", "chrom", whole.alias("_row"), (F.col("pos") - 1).alias("first"), (F.col("pos") + reference_span(F.col("cigar"))).alias("last"))
+    bin_of = lambda c: F.floor(F.col(c) / BIN)
+    touched = placed.select("rec", "chrom", "first", "last", "_row", F.explode(F.sequence(bin_of("first"), bin_of("last"))).alias("bin"))
     low = F.greatest(F.col("first") - F.col("bin") * BIN, F.lit(0)).cast("int")
     n = (F.least(F.col("last") + 1 - F.col("bin") * BIN, F.lit(BIN)) - low).cast("int")
-    part = lambda c, fill: F.coalesce(F.substring(F.col(c), low + 1, n), F.repeat(F.lit(fill), n))
-    parts = touched.join(bins, ["chrom", "bin"], "left").select("rec", F.struct("bin", part("text", " ").alias("text"), part("mask", "0").alias("mask")).alias("x"))
+    held = touched.select("rec", "chrom", "bin", low.alias("low"), n.alias("n"), F.when(F.col("bin") == bin_of("first"), F.col("_row")).alias("_row"))
+    part = lambda c, fill: F.coalesce(F.substring(F.col(c), F.col("low") + 1, F.col("n")), F.repeat(F.lit(fill), F.col("n")))
+    parts = held.join(bins, ["chrom", "bin"], "left").select("rec", "_row", F.struct("bin", part("text", " ").alias("text"), part("mask", "0").alias("mask")).alias("x"))
     joined = lambda c: F.array_join(F.transform("xs", lambda x: x[c]), "")
-    return parts.groupBy("rec").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("rec", joined("text").alias("ref"), joined("mask").alias("mask"))
+    return parts.groupBy("rec").agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.collect_list("x")).alias("xs")).select("_row.*", joined("text").alias("_ref"), joined("mask").alias("_mask"))
 
 
-def read_flags(reads: DataFrame, bins: DataFrame) -> DataFrame:
-    """(rec, ref, skip), a letter per base of the read: the reference base it is aligned to (a space for none), and 1 if it is skipped.
+def flag_reads(reads: DataFrame, bins: DataFrame) -> DataFrame:
+    """Reads with ref and skip, a letter per base: the reference base it is aligned to (a space for none), and 1 if it is skipped.
 
-    reads: rec, chrom, pos (0-based), cigar; bins: see site_bins. M, =, X: skipped if the site is. I: skipped if the
-    sites on both sides are. D, N: if any deleted site is skipped, the base before it is. S: skipped. H, P: nothing.
+    reads: rec, chrom, pos (0-based), cigar and more; bins: see site_bins. See `cigar.flags` for the rules.
     """
-    ops = cigar_ops(reads).join(read_windows(reads, bins), "rec")
-    op = F.col("op")
-    # Windows begin one site before the alignment.
-    sites = lambda c, at, n: F.substring(F.col(c), F.col("ref_at") + at, n)
-    times = lambda c: F.repeat(F.lit(c), F.col("n"))
-    match = op.isin("M", "=", "X")
-    ref = F.when(match, sites("ref", 2, F.col("n"))).when(op.isin("I", "S"), times(" ")).otherwise("")
-    around = F.when(sites("mask", 1, F.lit(2)) == "11", times("1")).otherwise(times("0"))
-    skip = F.when(match, sites("mask", 2, F.col("n"))).when(op == "I", around).when(op == "S", times("1")).otherwise("")
-    hit = op.isin("D", "N") & (F.col("read_at") > 0) & F.contains(sites("mask", 2, F.col("n")), F.lit("1"))
-    walked = ops.select("rec", F.struct("k", ref.alias("ref"), skip.alias("skip")).alias("x"), F.when(hit, F.col("read_at")).alias("hit"))
-    whole = walked.groupBy("rec").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.collect_set("hit").alias("hits"))
-    joined = lambda c: F.array_join(F.transform("xs", lambda x: x[c]), "")
-    return whole.select("rec", joined("ref").alias("ref"), F.aggregate("hits", joined("skip"), lambda t, p: F.overlay(t, F.lit("1"), p, F.lit(1))).alias("skip"))
+    return with_flags(with_windows(reads, bins))
+
+
+def read_flags(reads: DataFrame, bins: DataFrame) -> DataFrame:
+    """(rec, ref, skip) of flag_reads."""
+    return flag_reads(reads.select("rec", "chrom", "pos", "cigar"), bins).select("rec", "ref", "skip")
 
 
 def flagged_bases(rows: DataFrame, *keep: str) -> DataFrame:
@@ -181,7 +170,7 @@ def flagged_bases(rows: DataFrame, *keep: str) -> DataFrame:
 
 def read_errors(reads: DataFrame, bins: DataFrame) -> DataFrame:
     """Errors and skips along aligned reads: rec, read_pos, error, skip. reads: rec, chrom, pos (0-based), cigar, seq."""
-    return flagged_bases(reads.select("rec", "seq").join(read_flags(reads, bins), "rec"))
+    return flagged_bases(flag_reads(reads.select("rec", "chrom", "pos", "cigar", "seq"), bins))
 
 
 def adaptor_boundary(start: Column, end: Column, tlen: Column, mate_start: Column, paired: Column, unmapped: Column, mate_unmapped: Column, reverse: Column, mate_reverse: Column) -> Column:
@@ -195,19 +184,9 @@ def adaptor_boundary(start: Column, end: Column, tlen: Column, mate_start: Colum
 def trim_bounds(reads: DataFrame) -> DataFrame:
     """Bases that lie in adaptor, as (rec, gone_from, gone_to), half-open. reads: rec, pos, cigar, reverse, boundary (nullable).
 
-    On the reverse strand everything up to the last read base at or before the boundary goes, on the forward strand
-    everything from the first read base at or after it; bases aligned to nothing follow their neighbours.
+    See `cigar.trimmed_part` for the rules.
     """
-    ops = cigar_ops(reads.where("boundary is not null"), "pos", "reverse", "boundary").where("n > 0")
-    # Distance from the operation's first site to the boundary; a deletion ends or begins where the next base would.
-    far, on_ref = F.col("boundary") - F.col("pos") - F.col("ref_at"), F.col("op").isin(*_REF)
-    inside = lambda d: F.when(F.col("op").isin("D", "N"), 0).otherwise(d)
-    last = F.when(on_ref & (far >= 0), F.col("read_at") + inside(F.least(F.col("n"), far + 1)))
-    first = F.when(on_ref & (far < F.col("n")), F.col("read_at") + inside(F.greatest(far, F.lit(0))))
-    end = F.max(F.when(F.col("op").isin(*_READ), F.col("read_at") + F.col("n")))
-    ends = ops.groupBy("rec").agg(F.first("reverse").alias("reverse"), F.max(last).alias("last"), F.min(first).alias("first"), end.alias("end"))
-    bounds = ends.select("rec", F.when(F.col("reverse"), 0).otherwise(F.col("first")).alias("gone_from"), F.when(F.col("reverse"), F.col("last")).otherwise(F.col("end")).alias("gone_to"))
-    return bounds.where("gone_to > gone_from")
+    return with_trim(reads.select("rec", "pos", "cigar", "reverse", "boundary")).where("gone_from is not null").select("rec", "gone_from", "gone_to")
 
 
 def trimmed(reads: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.covariates import letter
 from ..functions.names import reverse_complement
-from ..functions.phred import LEAST_Q
-from .align import adaptor_boundary, aligned_covariates, read_flags, reference_span, trim_bounds
+from .align import adaptor_boundary, flag_reads, reference_span
 from .calibration import selected_quality
-from .model import Model, finest_counts, model_of_counts, new_qualities
+from .cigar import with_trim
+from .model import Model, model_of_counts, new_qualities
+from .read_arrays import count_aligned
 from .report import counts_from_report, report_tables
 
 
@@ -41,16 +41,9 @@ def aligned_counts(reads: DataFrame, bins: DataFrame) -> DataFrame:
     """Finest counts of aligned reads (see alignment_reads) against a reference and excluded sites (see site_bins).
 
     Low qualities, N, soft clips, adaptor and excluded sites are skipped; covariates are those of the aligned part. What
-    is skipped is found per read, so bases are made once and meet no join.
+    is skipped is found per read, and whole batches of reads are summed to their cells.
     """
-    flagged = reads.join(read_flags(reads, bins), "rec").join(trim_bounds(reads), "rec", "left")
-    raw = flagged.withColumn("ref", F.col("ref").cast("binary")).withColumn("skip", F.col("skip").cast("binary"))
-    rows = aligned_covariates(raw, "ref", "skip", "gone_from", "gone_to")
-    pos, ref = F.col("pos"), letter("ref", F.col("pos"))
-    gone = F.coalesce((pos >= F.col("gone_from")) & (pos < F.col("gone_to")), F.lit(False))
-    rows = rows.where((F.col("q") >= LEAST_Q) & (F.col("base") != "N") & (letter("skip", pos) == "0") & ~gone)
-    error = (ref != " ") & (ref != F.col("base"))
-    return finest_counts(rows.select("rg", "q", F.col("clip_cycle").alias("cycle"), F.col("clip_dinuc").alias("dinuc"), error.alias("error"), F.lit(False).alias("skip")))
+    return count_aligned(with_trim(flag_reads(reads, bins)))
 
 
 def alignment_report(reads: DataFrame, bins: DataFrame) -> dict[str, DataFrame]:

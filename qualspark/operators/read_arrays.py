@@ -15,6 +15,7 @@ from ..functions.phred import LEAST_Q, MOST_Q
 
 #: Places of a quality in an array of context shifts: 0 for no context, then their codes plus one.
 CONTEXTS = 32
+_CELLS = "rg string, q int, cycle int, dinuc int, errors long, total long"
 _CODE = np.full(256, 4, dtype=np.int64)
 for _k, _b in enumerate(BASES):
     _CODE[ord(_b)] = _k
@@ -54,6 +55,28 @@ def _errors(seq: np.ndarray, sizes: np.ndarray, column) -> np.ndarray:
     return out
 
 
+def _cells(groups, sizes: np.ndarray, q: np.ndarray, cycle: np.ndarray, context: np.ndarray, error: np.ndarray, counted: np.ndarray):
+    """Counts of a batch's bases that are counted, by read group (one a read), quality, cycle and context."""
+    import pyarrow as pa
+
+    groups = groups.dictionary_encode()
+    group = np.repeat(np.asarray(groups.indices.fill_null(len(groups.dictionary))), sizes)
+    held = np.flatnonzero(counted)
+    q, cycle = q[held], cycle[held]
+    if (q > MOST_Q).any():
+        raise ValueError(f"quality above the model's range: {int(q.max())}")
+    low = int(cycle.min()) if len(held) else 0
+    span = int(cycle.max()) - low + 1 if len(held) else 1
+    key = ((group[held] * (MOST_Q + 1) + q) * span + cycle - low) * 17 + context[held] + 1
+    cells, place, total = np.unique(key, return_inverse=True, return_counts=True)
+    errors = np.bincount(place, weights=error[held], minlength=len(cells)).astype(np.int64)
+    dinuc, rest = cells % 17 - 1, cells // 17
+    cycle, rest = rest % span + low, rest // span
+    names = pa.concat_arrays([groups.dictionary, pa.nulls(1, pa.string())])
+    columns = [names.take(pa.array(rest // (MOST_Q + 1))), *(pa.array(x, pa.int32()) for x in (rest % (MOST_Q + 1), cycle, dinuc)), pa.array(errors, pa.int64()), pa.array(total, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["rg", "q", "cycle", "dinuc", "errors", "total"])
+
+
 def count_reads(reads: DataFrame, least: int = LEAST_Q) -> DataFrame:
     """errors and total by (rg, q, cycle, dinuc) over the bases of reads, as `finest_counts` of their bases gives them.
 
@@ -63,8 +86,6 @@ def count_reads(reads: DataFrame, least: int = LEAST_Q) -> DataFrame:
     """
 
     def count(batches):
-        import pyarrow as pa
-
         for batch in batches:
             seq, sizes = letters(batch.column(2))
             qual, lengths = letters(batch.column(3))
@@ -72,27 +93,47 @@ def count_reads(reads: DataFrame, least: int = LEAST_Q) -> DataFrame:
                 raise ValueError("a read's qualities are not as long as its sequence")
             place, q = places(sizes), qual.astype(np.int64) - 33
             second = np.repeat(np.asarray(batch.column(1).fill_null(False)), sizes)
-            groups = batch.column(0).dictionary_encode()
-            group = np.repeat(np.asarray(groups.indices.fill_null(len(groups.dictionary))), sizes)
             error, context = _errors(seq, sizes, batch.column(4)), contexts(seq, place)
-            held = np.flatnonzero(q >= least)
-            if (q[held] > MOST_Q).any():
-                raise ValueError(f"quality above the model's range: {int(q[held].max())}")
-            cycle = np.where(second, -(place + 1), place)[held]
-            low = int(cycle.min()) if len(cycle) else 0
-            span = int(cycle.max()) - low + 1 if len(cycle) else 1
-            key = ((group[held] * (MOST_Q + 1) + q[held]) * span + cycle - low) * 17 + context[held] + 1
-            cells, place_of, total = np.unique(key, return_inverse=True, return_counts=True)
-            errors = np.bincount(place_of, weights=error[held], minlength=len(cells)).astype(np.int64)
-            dinuc, rest = cells % 17 - 1, cells // 17
-            cycle, rest = rest % span + low, rest // span
-            names = pa.concat_arrays([groups.dictionary, pa.nulls(1, pa.string())])
-            columns = [names.take(pa.array(rest // (MOST_Q + 1))), *(pa.array(x, pa.int32()) for x in (rest % (MOST_Q + 1), cycle, dinuc)), pa.array(errors, pa.int64()), pa.array(total, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["rg", "q", "cycle", "dinuc", "errors", "total"])
+            yield _cells(batch.column(0), sizes, q, np.where(second, -(place + 1), place), context, error, q >= least)
+
+    binary = lambda c: F.col(c).cast("binary").alias(c)
+    return _summed(reads.select("rg", "second", binary("seq"), binary("qual"), binary("corrected")).mapInArrow(count, _CELLS))
+
+
+def _summed(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("rg", "q", "cycle", "dinuc").agg(F.sum("errors").alias("errors"), F.sum("total").alias("total"))
+
+
+def count_aligned(reads: DataFrame, least: int = LEAST_Q) -> DataFrame:
+    """errors and total by (rg, q, cycle, dinuc) of aligned reads with flags, in sequencing direction within the aligned part.
+
+    reads: rg, second, reverse, seq, qual, ref, skip (see flag_reads), aln_start, aln_end, gone_from, gone_to (nullable).
+    Bases of low quality, N, and those that are skipped or in adaptor do not count; a base that differs from a reference
+    base is an error. The aligned part's first base in sequencing direction has no context. Lengths that differ fail.
+    """
+
+    def count(batches):
+        for batch in batches:
+            (seq, sizes), *rest = (letters(batch.column(k)) for k in range(3, 7))
+            if any((n != sizes).any() for _, n in rest):
+                raise ValueError("qualities or flags are not as long as their read")
+            (qual, _), (ref, _), (skip, _) = rest
+            place, q = places(sizes), qual.astype(np.int64) - 33
+            second, reverse = (np.repeat(np.asarray(batch.column(k).fill_null(False)), sizes) for k in (1, 2))
+            start, end, gone_from, gone_to = (np.repeat(np.asarray(batch.column(k).fill_null(0)).astype(np.int64), sizes) for k in range(7, 11))
+            code = _CODE[seq]
+            before, behind = (np.concatenate(x) if len(code) else code for x in (([4], code[:-1]), (code[1:], [4])))
+            # Codes of complements differ in their last bit.
+            own = np.where(reverse, code ^ 1, code)
+            prev = np.where(reverse, behind ^ 1, before)
+            known = (code < 4) & (np.where(reverse, behind, before) < 4) & np.where(reverse, place < end - 1, place > start)
+            order = np.where(reverse, end - 1 - place, place - start)
+            counted = (q >= least) & (seq != ord("N")) & (skip == ord("0")) & ~((place >= gone_from) & (place < gone_to)) & (place >= start) & (place < end)
+            yield _cells(batch.column(0), sizes, q, np.where(second, -(order + 1), order), np.where(known, 4 * prev + own, -1), (ref != ord(" ")) & (ref != seq), counted)
 
     binary = lambda c: F.col(c).cast("binary").alias(c)
-    rows = reads.select("rg", "second", binary("seq"), binary("qual"), binary("corrected")).mapInArrow(count, "rg string, q int, cycle int, dinuc int, errors long, total long")
-    return rows.groupBy("rg", "q", "cycle", "dinuc").agg(F.sum("errors").alias("errors"), F.sum("total").alias("total"))
+    columns = ("rg", "second", "reverse", *map(binary, ("seq", "qual", "ref", "skip")), "aln_start", "aln_end", "gone_from", "gone_to")
+    return _summed(reads.where(F.length("seq") > 0).select(*columns).mapInArrow(count, _CELLS))
 
 
 class GroupShifts:
