@@ -250,11 +250,11 @@ class ToxicityModel:
         share = (weights @ self.toxic[near] + PRIOR_WEIGHT * self.prior) / (weights.sum() + PRIOR_WEIGHT)
         return math.log(share / (1 - share)), near, cosines
 
-    def score(self, at, n, far: float = 0.0, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score, nearest examples, cosines) of sparse counts; `far` is of the words that are no terms, `without` the place of an example left out."""
+    def score(self, at, n, far: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, nearest examples, cosines) of sparse counts; `far` is of the words that are no terms."""
         if not len(self.idf):
             return self.prior, np.empty(0, np.int64), np.empty(0)
-        vote, near, cosines = self._vote(*_vector(at, n, self.idf, far * self.rare**2), without)
+        vote, near, cosines = self._vote(*_vector(at, n, self.idf, far * self.rare**2))
         return 1 / (1 + math.exp(-(self.curve[0] * vote + self.curve[1]))), near, cosines
 
 
@@ -296,7 +296,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
     """Per row of `docs`: doc_id, held_out, score (0 to 1), predicted (score >= threshold), evidence.
 
     docs: doc_id, text; labels: doc_id, toxic (0 or 1); other columns are ignored. evidence: the nearest examples with
-    doc_id, cosine and toxic. A row that is an example itself is scored without it, so no row meets its own label.
+    doc_id, cosine and toxic. The score is a function of the text alone: equal texts score equally, whatever their ids, and
+    a text that is an example finds it; only the curve of the votes is fitted with each example left out of its own vote.
     Null and empty texts, and texts without a word of any example, get the score of no neighbours. Rows that repeat a
     doc_id are scored each by its own text; of equally near examples the first in the index's order count. Without
     labels of both classes every score is the labels' share of toxic rows. An empty table gives no rows.
@@ -308,17 +309,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
         import pyarrow as pa
 
         model, known = shared.value, {}
-        place = {model.ids[i]: p for p, i in enumerate(model.index.order.tolist())}
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             scores, near = [], []
-            for doc_id, counts, far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                without = place.get(doc_id, -1)
-                key = (xxhash.xxh3_128_digest(counts or b""), far, without)
+            for counts, far in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                key = (xxhash.xxh3_128_digest(counts or b""), far)
                 if key not in known:
                     if len(known) >= 50_000:
                         known.clear()
-                    s, found, cosines = model.score(*(unpack(counts) if counts else _NONE), far, without)
+                    s, found, cosines = model.score(*(unpack(counts) if counts else _NONE), far)
                     known[key] = s, [{"doc_id": model.ids[i], "cosine": float(c), "toxic": int(model.toxic[i])} for i, c in zip(found, cosines, strict=True)]
                 scores.append(known[key][0])
                 near.append(known[key][1])

@@ -147,15 +147,15 @@ def toxicity(docs, labels, k=12, least_z=4.0, epsilon=0.05):
     examples = np.array([vectors[i] for i in ids])
     prior = min(0.99, max(0.001, np.mean([y for i, y in labels if not held(i)])))
 
-    def vote(i):
-        cosines = np.array([0.0 if j == i else c for j, c in zip(ids, examples @ vectors[i], strict=True)])
+    def vote(i, without=None):
+        cosines = np.array([0.0 if j == without else c for j, c in zip(ids, examples @ vectors[i], strict=True)])
         near = np.argsort(-cosines, kind="stable")[:k]
         c = np.minimum(cosines[near], 1.0)
         weight = c / (1 - c + epsilon)
         s = (weight @ toxic[near] + prior) / (weight.sum() + 1)
         return math.log(s / (1 - s))
 
-    x = np.array([vote(i) for i in ids])
+    x = np.array([vote(i, i) for i in ids])  # the curve's votes leave each example out
     weight = np.where(toxic == 1, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
     slope, level = 1.0, 0.0
     for _ in range(50):

@@ -327,6 +327,15 @@ def test_toxicity_takes_all_words(spark):
     assert all(e.doc_id != i for i in ids for e in got[i].evidence)
 
 
+def test_equal_texts_score_equally(spark):
+    """A text scores the same under the id of an example and under any other."""
+    texts = {i: words(12, i, 60) + (" vile" if i % 3 == 0 else "") for i in range(90)}
+    docs = [(i, t, "a") for i, t in texts.items()] + [(i + 1000, t, "b") for i, t in texts.items()]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in texts], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(table(spark, docs), labels).collect()}
+    assert all(got[i] == got[i + 1000] for i in texts)
+
+
 def test_toxicity_equals_dense_cosines(spark):
     """All scores of the query's operator, against all pairs of whole vectors."""
     r = random.Random(3)
