@@ -10,8 +10,13 @@ from ..functions.phred import p_to_q
 
 def calibration_table(bases: DataFrame, label: str) -> DataFrame:
     """predicted_q, actual_q, label, n_bases of bases (q, error, skip) that are not skipped; qualities seen only."""
-    counts = bases.where(~F.col("skip")).groupBy("q").agg(F.count("*").alias("n_bases"), F.sum(F.col("error").cast("long")).alias("e"))
-    return counts.select(F.col("q").alias("predicted_q"), p_to_q(F.col("e") / F.col("n_bases")).alias("actual_q"), F.lit(label).alias("label"), "n_bases")
+    counts = bases.where(~F.col("skip")).groupBy("q").agg(F.count("*").alias("total"), F.sum(F.col("error").cast("long")).alias("errors"))
+    return calibration_of_counts(counts, label)
+
+
+def calibration_of_counts(counts: DataFrame, label: str) -> DataFrame:
+    """calibration_table from counts by quality: q, errors, total."""
+    return counts.select(F.col("q").alias("predicted_q"), p_to_q(F.col("errors") / F.col("total")).alias("actual_q"), F.lit(label).alias("label"), F.col("total").alias("n_bases"))
 
 
 def last_of_name(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -100,6 +100,37 @@ def count_reads(reads: DataFrame, least: int = LEAST_Q) -> DataFrame:
     return _summed(reads.select("rg", "second", binary("seq"), binary("qual"), binary("corrected")).mapInArrow(count, _CELLS))
 
 
+def read_values(reads: DataFrame, least: int = LEAST_Q) -> DataFrame:
+    """(rec, q_errors, q_valid, cycle_errors, cycle_valid, dinuc_errors, dinuc_valid): each read's values, in order.
+
+    reads: rec, second, seq, qual, corrected. Valid bases have a quality of `least` at least, and for dinuc a context;
+    errors are valid bases that differ from the corrected ones. Reads without bases are left out.
+    """
+    names = [f"{c}_{kind}" for c in ("q", "cycle", "dinuc") for kind in ("errors", "valid")]
+
+    def values(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            seq, sizes = letters(batch.column(2))
+            qual, lengths = letters(batch.column(3))
+            if (sizes != lengths).any():
+                raise ValueError("a read's qualities are not as long as its sequence")
+            place, q = places(sizes), qual.astype(np.int64) - 33
+            second = np.repeat(np.asarray(batch.column(1).fill_null(False)), sizes)
+            error, context, read = _errors(seq, sizes, batch.column(4)), contexts(seq, place), np.repeat(np.arange(len(sizes)), sizes)
+            out = [batch.column(0)]
+            for value, valid in ((q, q >= least), (np.where(second, -(place + 1), place), q >= least), (context, (q >= least) & (context >= 0))):
+                for held in (np.flatnonzero(valid & error), np.flatnonzero(valid)):
+                    offsets = np.concatenate(([0], np.cumsum(np.bincount(read[held], minlength=len(sizes)))))
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value[held], pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, ["rec", *names])
+
+    binary = lambda c: F.col(c).cast("binary").alias(c)
+    rows = reads.where(F.length("seq") > 0).select("rec", "second", binary("seq"), binary("qual"), binary("corrected"))
+    return rows.mapInArrow(values, f"rec {reads.schema['rec'].dataType.simpleString()}, " + ", ".join(f"{c} array<int>" for c in names))
+
+
 def _summed(cells: DataFrame) -> DataFrame:
     return cells.groupBy("rg", "q", "cycle", "dinuc").agg(F.sum("errors").alias("errors"), F.sum("total").alias("total"))
 

@@ -102,6 +102,11 @@ def counts_from_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def longest_cycle(cells: DataFrame) -> DataFrame:
+    """One row, n: how many cycles the longest read has; null without cells."""
+    return cells.agg(F.max(F.when(F.col("cycle") >= 0, F.col("cycle") + 1).otherwise(-F.col("cycle"))).alias("n"))
+
+
 def dense_cells(cells: DataFrame, key: str) -> DataFrame:
     """Counts over the whole domain rg x quality x key of a report, with zeros where nothing was seen.
 
@@ -111,7 +116,7 @@ def dense_cells(cells: DataFrame, key: str) -> DataFrame:
     if key == "dinuc":
         domain = spark.range(16).select(F.col("id").cast("int").alias(key))
     else:
-        longest = cells.agg(F.max(F.when(F.col(key) >= 0, F.col(key) + 1).otherwise(-F.col(key))).alias("n")).where("n is not null")
-        domain = longest.select(F.explode(F.expr("sequence(-n, n - 1)")).cast("int").alias(key))
+        longest = longest_cycle(cells).where("n is not null")
+        domain = longest.select(F.explode(F.expr("sequence(-n, n - 1)")).alias(key))
     every = groups.crossJoin(spark.range(43).select(F.col("id").cast("int").alias("q"))).crossJoin(domain)
     return every.join(cells, ["rg", "q", key], "left").select("rg", "q", key, F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("total", F.lit(0)).alias("total"))

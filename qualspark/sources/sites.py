@@ -5,22 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text_lines import numbered_lines
+from ..jobs.tables import materialize
 
 
 def read_fasta(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
     """(chrom, start, seq): each line of a sequence with the position of its first base; letters as written unless `upper`.
 
-    Headers are few and are sent to all tasks through a join on line ranges; lines of a contig are summed up in order.
+    A segmented scan: a partition walks its lines in order and numbers bases from its last header, or from its own start
+    where it has had none yet. What is open at a partition's end is then carried on over the partitions of a file, a row
+    each. Neither many contigs nor one long one gather anywhere. Lines before a file's first header fail.
     """
-    lines = numbered_lines(spark, path).where("value <> ''")
-    heads = lines.where("startswith(value, '>')").select("file", F.col("line").alias("head"), F.regexp_extract("value", r"^>(\S*)", 1).alias("chrom"))
-    heads = heads.withColumn("next", F.lead("head").over(Window.partitionBy("file").orderBy("head")))
-    body = lines.where("not startswith(value, '>')").select(F.col("file").alias("f"), "line", F.trim("value").alias("seq"))
-    named = body.join(heads, (F.col("f") == F.col("file")) & (F.col("line") > F.col("head")) & (F.col("next").isNull() | (F.col("line") < F.col("next"))))
-    before = Window.partitionBy("file", "head").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("seq")).over(before), F.lit(0))
-    return named.select("chrom", start.alias("start"), (F.upper("seq") if upper else F.col("seq")).alias("seq"))
+    text = spark.read.text(path).where("value <> ''").select(F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("part"), "value")
+
+    def scan(batches):
+        import pyarrow as pa
+
+        open_at: dict[tuple[str, int], tuple[str | None, int]] = {}
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string())
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["file", "part", "head", "at", "seq"])
+        for batch in batches:
+            rows = []
+            for file, part, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                head, at = open_at.get((file, part), (None, 0))
+                if value.startswith(">"):
+                    head, at = (value[1:].split(None, 1) or [""])[0] if value[1:2].strip() else "", 0
+                else:
+                    seq = value.strip(" ")
+                    rows.append((file, part, head, at, seq))
+                    at += len(seq)
+                open_at[file, part] = head, at
+            yield pack(rows)
+        # What each file's piece leaves open: no line.
+        yield pack([(file, part, head, at, None) for (file, part), (head, at) in open_at.items()])
+
+    rows = materialize(text.mapInArrow(scan, "file string, part int, head string, at long, seq string"), "fasta-lines")
+    ends = rows.where("seq is null")
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    run = ends.withColumn("run", F.count("head").over(Window.partitionBy("file").orderBy("part")))
+    # The last header before a piece, and the bases since: those of the piece with that header and of all after it.
+    named = run.withColumn("held", F.sum("at").over(Window.partitionBy("file", "run").orderBy("part"))).select("file", "part", "held", F.last("head", ignorenulls=True).over(Window.partitionBy("file").orderBy("part")).alias("last"))
+    carried = named.select("file", "part", F.last("last").over(before).alias("open"), F.last("held").over(before).alias("carried"))
+    lines = rows.where("seq is not null").join(carried, ["file", "part"])
+    chrom = F.coalesce("head", "open", F.raise_error(F.lit("a sequence without a header")))
+    start = F.when(F.col("head").isNull(), F.col("at") + F.col("carried")).otherwise(F.col("at"))
+    return lines.select(chrom.alias("chrom"), start.alias("start"), (F.upper("seq") if upper else F.col("seq")).alias("seq"))
 
 
 def reference_bases(chunks: DataFrame) -> DataFrame:
@@ -48,7 +76,7 @@ def bed_positions(bed: DataFrame) -> DataFrame:
     return bed.where("end > start").select("chrom", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).distinct()
 
 
-def read_calibration(spark: SparkSession, path: str) -> DataFrame:
+def read_calibration(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Calibration tables written as tab-separated text without a header."""
     return spark.read.csv(path, sep="\t", schema="predicted_q int, actual_q int, label string, n_bases long")
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from qualspark.jobs.queries import ORACLE_SQL, QUERIES
+from qualspark.jobs.file_queries import ORACLE_SQL, QUERIES
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
