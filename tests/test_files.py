@@ -6,10 +6,10 @@ import random
 import pytest
 
 from qualspark.operators import regression
-from qualspark.sources import sites
+from qualspark.sources import fastq, sites
 
 
-@pytest.mark.parametrize("size", ["1m", "64", "17"])
+@pytest.mark.parametrize("size", ["1m", "90"])
 def test_fasta_cut_anywhere(spark, tmp_path, size):
     """Pieces of a file that begin within a contig carry on where the piece before left off."""
     r = random.Random(3)
@@ -36,6 +36,38 @@ def test_fasta_cut_anywhere(spark, tmp_path, size):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("size", ["1m", "200", "71"])
+def test_fastq_cut_anywhere(spark, tmp_path, size):
+    """Records are found whatever lines a piece begins and ends with; quality lines may begin with @."""
+    r = random.Random(9)
+    want = []
+    for name, blank in (("a.fq", ""), ("b.fq", "\n\n\n"), ("c.fq", "\n" * 5)):
+        text = ""
+        for k in range(25):
+            n = r.randrange(0, 9)
+            seq, qual = "".join(r.choice("ACGT") for _ in range(n)), "".join(r.choice("@+I#") for _ in range(n))
+            comment = r.choice([None, "a comment"])
+            want.append((k, f"{name}{k}", comment, seq, qual))
+            text += f"@{name}{k}{' ' + comment if comment else ''}\n{seq}\n+\n{qual}\n"
+        (tmp_path / name).write_text(text + blank)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = fastq.read_fastq(spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        (tmp_path / "d.fq").write_text("@x\nAC\n+\nI\n")
+        with pytest.raises(Exception, match="not a record"):
+            fastq.read_fastq(spark, str(tmp_path / "d.fq")).collect()
+        (tmp_path / "e.fq").write_text("@x\nAC\n+\n")
+        with pytest.raises(Exception, match="not a record"):
+            fastq.read_fastq(spark, str(tmp_path / "e.fq")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_fasta_without_a_header_fails(spark, tmp_path):
     (tmp_path / "bad.fa").write_text("ACGT\n>a\nA\n")
     with pytest.raises(Exception, match="without a header"):
