@@ -173,6 +173,18 @@ def regression_recalibrate(spark, sf_dir):
     return regression.regression_qualities(model.level_counts(_finest(spark, sf_dir), "rg", "q"))
 
 
+@_query(
+    f"""{_COUNTS}, by_q AS (SELECT rg, q, {_ADD} FROM counts GROUP BY rg, q),
+    means AS (SELECT x.rg, x.a, x.b, CAST(sum(y.errors) AS BIGINT) / CAST(sum(y.total) AS BIGINT) AS m FROM (SELECT l.rg, l.q AS a, r.q AS b FROM by_q l JOIN by_q r ON l.rg = r.rg AND l.q <= r.q) x JOIN by_q y ON y.rg = x.rg AND y.q BETWEEN x.a AND x.b GROUP BY ALL),
+    highest AS (SELECT i.rg, i.q, m.a, max(m.m) AS m FROM by_q i JOIN means m ON m.rg = i.rg AND m.a <= i.q AND m.b >= i.q GROUP BY ALL),
+    fit AS (SELECT rg, q, min(m) AS p FROM highest GROUP BY rg, q)
+    SELECT rg, q, CASE WHEN p = 0 THEN 42 ELSE greatest(0, least(42, CAST(trunc(-10 * log10(p)) AS INTEGER))) END AS new_q FROM fit"""
+)
+def isotonic_recalibrate(spark, sf_dir):
+    """Qualities from error rates that never rise with the reported quality, per read group."""
+    return regression.isotonic_qualities(model.level_counts(_finest(spark, sf_dir), "rg", "q"))
+
+
 @_query(ORACLE_SQL["cov_q"])
 def stream_cov_q(spark, sf_dir):
     """The counts by (rg, q), from a stream over the documents."""

@@ -98,3 +98,28 @@ def test_regression_equals_a_plain_fit(spark, strength):
         want[q] = {int(max(0, min(42, exact - 0.02))), int(max(0, min(42, exact + 0.02)))}
     got = regression.regression_qualities(spark.createDataFrame(cells, "q int, errors long, total long"), strength).collect()
     assert len(got) == len(cells) and all(x.new_q in want[x.q] for x in got)
+
+
+def pooled(cells):
+    """{q: rate} by pooling neighbours whose rates rise, from the lowest quality on."""
+    pools = []
+    for q, e, n in sorted(cells):
+        pools.append([[q], e, n])
+        while len(pools) > 1 and pools[-1][1] * pools[-2][2] > pools[-2][1] * pools[-1][2]:
+            qs, e, n = pools.pop()
+            pools[-1] = [pools[-1][0] + qs, pools[-1][1] + e, pools[-1][2] + n]
+    return {q: e / n for qs, e, n in pools for q in qs}
+
+
+def test_isotonic_equals_pooling(spark):
+    r = random.Random(12)
+    cells = [(g, q, r.randrange(0, 60), r.randrange(60, 4000)) for g in ("a", "b", None) for q in range(6, 43) if r.random() < 0.8] + [("b", 2, 0, 0), ("c", 9, 0, 5)]
+    got = {(x.rg, x.q): x.new_q for x in regression.isotonic_qualities(spark.createDataFrame(cells, "rg string, q int, errors long, total long")).collect()}
+    want = {}
+    for g in {c[0] for c in cells}:
+        for q, p in pooled([c[1:] for c in cells if c[0] == g and c[3]]).items():
+            want[g, q] = 42 if p == 0 else max(0, min(42, int(-10 * math.log10(p))))
+    assert got == want
+    for g in ("a", "b", None):
+        own = [got[k] for k in sorted((k for k in got if k[0] == g), key=lambda k: k[1])]
+        assert own == sorted(own)
