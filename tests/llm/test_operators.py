@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -222,6 +223,52 @@ def test_decontamination_of_edited_copies_beside_exact_ones(spark):
     assert found == {(d, (d // 10,)) for d, _, _ in docs}
 
 
+def plain_scores(docs, items):
+    """Smith-Waterman of every item with every whole text: {(doc_id, item_id): score}."""
+    number = {}
+    ids = lambda t: np.array([number.setdefault(w, len(number)) for w in re.findall(r"[^\W_]+", (t or "").lower())], dtype=np.int64)
+    numbered = [(i, a) for i, t in items if len(a := ids(t))]
+    return {(d, i): decontaminate.align(a, b) / (2 * len(a)) for d, t in docs if len(b := ids(t)) for i, a in numbered}
+
+
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    """Replaced, left out and inserted words, long insertions, several copies and long texts: as if all pairs were aligned."""
+    r = random.Random(11)
+    items = [(i, words(r.randrange(15, 70), 500 + i, 900)) for i in range(12)]
+    docs = []
+    for n, (i, item) in enumerate(items * 6):
+        w, kind = item.split(), n % 6
+        if kind == 0:
+            w = [f"z{k}" if k % 5 == 4 else x for k, x in enumerate(w)]
+        elif kind == 1:
+            w = [x for x in w if r.random() > 0.15]
+        elif kind == 2:
+            w = [y for x in w for y in ([x, "zz"] if r.random() < 0.1 else [x])]
+        elif kind == 3:
+            w[len(w) // 2 : len(w) // 2] = ["zz"] * (len(w) // 2)
+        elif kind == 4:
+            w = [x if r.random() > 0.22 else f"z{r.randrange(99)}" for x in w]
+        docs.append((n, words(r.randrange(0, 300), 700 + n, 900) + " " + " ".join(w) + " " + words(40, 900 + n, 900)))
+    docs.append((900, " ".join(words(3000, 3, 900) + " " + t for _, t in items)))
+    want = {k: s for k, s in plain_scores(docs, items).items() if s >= 0.6}
+    assert len(want) > 60
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leak_scores(table(spark, [(i, t, "a") for i, t in docs]), bench).collect()
+    assert {(x.doc_id, x.item_id): x.score for x in got} == want
+
+
+def test_decontamination_of_a_line_that_many_share(spark):
+    """A line of ten words in every document and item opens no passage of items of 60 words."""
+    line = words(10, 77, 3000)
+    items = [(i, words(25, 4000 + i, 3000) + " " + line + " " + words(25, 5000 + i, 3000)) for i in range(20)]
+    docs = [(i, words(60, 6000 + i, 3000) + " " + line, "a") for i in range(60)]
+    docs.append((99, items[3][1], "a"))
+    given = table(spark, docs)
+    bench = spark.createDataFrame(items, "item_id long, text string").select("item_id", decontaminate.plain_words(F.col("text")).alias("words")).withColumn("grams", decontaminate.grams("words", 3))
+    opened = decontaminate.openings(bench, decontaminate.seed_hits(given, bench, 3), 3, 0.6)
+    assert {(x.doc_id, x.item_id) for x in opened.collect()} == {(99, 3)}
+
+
 def test_alignment():
     number = lambda s: np.array([ord(c) for c in s])
 

@@ -41,17 +41,16 @@ def test_op4(spark, sf_dir, docs):
 
 
 def test_op5(spark, sf_dir, docs):
-    """Items that stand word for word in a document are found; what is found shares many words with its item."""
-    import re
-
-    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
-    text = {i: f" {' '.join(words(t))} " for i, t in docs}
-    whole = {i for i, t in text.items() if any(f" {' '.join(w)} " in t for w in items.values())}
-    got = {r.doc_id: r for r in q.op5_decontaminate(spark, sf_dir).collect()}
-    assert whole <= set(got)
-    for i, r in got.items():
-        assert any(sum(f" {x} " in text[i] for x in items[k]) >= 0.6 * len(items[k]) for k in r.item_ids)
+    """What an alignment of every item with every whole text finds, and its scores."""
+    from test_operators import plain_scores
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = {}
+    for (doc, item), score in plain_scores(docs, items).items():
+        if score >= 0.6:
+            want.setdefault(doc, {})[item] = score
+    got = q.op5_decontaminate(spark, sf_dir).collect()
+    assert {r.doc_id: (r.item_ids, r.score) for r in got} == {d: (sorted(s), max(s.values())) for d, s in want.items()}
 
 
 def test_op6(spark, sf_dir, docs):
