@@ -140,5 +140,4 @@ def read_values(spark, sf_dir):
     return values.select("rec", *(F.array_join(c, ",").alias(c) for c in values.columns[1:]))
 
 
-
 __all__ = ["ORACLE_SQL", "QUERIES"]

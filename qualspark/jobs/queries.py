@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import covariates, names, phred
-from ..operators import align, aligned, bases, calibration, model, read_arrays, regression, report
+from ..operators import align, aligned, bases, calibration, kmers, model, read_arrays, regression, report
+from ..streaming import count_store
 from . import synthetic as syn
 from .tables import materialize, shared_dir
 
@@ -408,3 +409,40 @@ def report_cov(spark, sf_dir):
 def table_to_vectors(spark, sf_dir):
     """Counts read back from a report's tables, over the whole domain of a model."""
     return report.dense_cells(report.counts_from_report(report.report_tables(materialize(_finest(spark, sf_dir), "finest-counts")))["dinuc"], "dinuc")
+
+
+# --- k-mers and stored counts ------------------------------------------------------------------------------------
+K = 16
+_KMERS = (
+    "WITH "
+    + syn.READS_SQL
+    + f""", kmers AS (SELECT substring(seq, p, {K}) AS kmer, count(*) AS abundance FROM (SELECT seq, unnest(range(1, length(seq) - {K} + 2)) AS p FROM reads)
+    WHERE NOT contains(substring(seq, p, {K}), 'N') GROUP BY ALL)"""
+)
+
+
+@_query(_KMERS + " SELECT abundance, count(*) AS kmers FROM kmers GROUP BY abundance")
+def kmer_spectrum(spark, sf_dir):
+    """How many k-mers of all reads occur how often."""
+    return kmers.kmer_spectrum(kmers.kmer_counts(kmers.kmer_cells(syn.documents_reads(spark, sf_dir), K)))
+
+
+@_query()
+def kmer_errors(spark, sf_dir):
+    """Each read's expected number of k-mers that hold an error, by a mixture fitted to all of them."""
+    reads = syn.documents_reads(spark, sf_dir)
+    cells = materialize(kmers.kmer_cells(reads, K), "kmer-cells")
+    mixture = kmers.fit_mixture(kmers.occurrence_table(cells))
+    return kmers.read_kmer_errors(reads, kmers.kmer_counts(cells), mixture, K)
+
+
+@_query(_B + f" SELECT rg, q, cycle, dinuc, CAST(sum(CASE WHEN error THEN w ELSE 0 END) AS BIGINT) AS errors, CAST(sum(w) AS BIGINT) AS total FROM (SELECT *, 1 + rec // {syn.RECS} % 3 AS w FROM bases WHERE NOT skip) GROUP BY ALL")
+def stream_merged_counts(spark, sf_dir):
+    """Weighted counts of two streams over the documents, each with a store of its own, one compacted, merged."""
+    out = f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    reads = syn.reads_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")).withColumn("weight", 1 + F.col("doc_id") % 3)
+    for part in (0, 1):
+        count_store.write_increments(reads.where(F.col("doc_id") % 2 == part), f"{out}/{part}", f"{out}/state-{part}", weight="weight").awaitTermination()
+    count_store.compact(spark, f"{out}/0")
+    return count_store.merge_counts(*(count_store.stored_counts(spark, f"{out}/{part}") for part in (0, 1)))

@@ -55,7 +55,7 @@ def _errors(seq: np.ndarray, sizes: np.ndarray, column) -> np.ndarray:
     return out
 
 
-def _cells(groups, sizes: np.ndarray, q: np.ndarray, cycle: np.ndarray, context: np.ndarray, error: np.ndarray, counted: np.ndarray):
+def _cells(groups, sizes: np.ndarray, q: np.ndarray, cycle: np.ndarray, context: np.ndarray, error: np.ndarray, counted: np.ndarray, weight: np.ndarray | None = None):
     """Counts of a batch's bases that are counted, by read group (one a read), quality, cycle and context."""
     import pyarrow as pa
 
@@ -70,6 +70,11 @@ def _cells(groups, sizes: np.ndarray, q: np.ndarray, cycle: np.ndarray, context:
     key = ((group[held] * (MOST_Q + 1) + q) * span + cycle - low) * 17 + context[held] + 1
     cells, place, total = np.unique(key, return_inverse=True, return_counts=True)
     errors = np.bincount(place, weights=error[held], minlength=len(cells)).astype(np.int64)
+    if weight is not None:
+        weight = np.repeat(weight, sizes)[held]
+        errors, total = np.zeros_like(errors), np.zeros_like(errors)
+        np.add.at(errors, place, np.where(error[held], weight, 0))
+        np.add.at(total, place, weight)
     dinuc, rest = cells % 17 - 1, cells // 17
     cycle, rest = rest % span + low, rest // span
     names = pa.concat_arrays([groups.dictionary, pa.nulls(1, pa.string())])
@@ -77,12 +82,13 @@ def _cells(groups, sizes: np.ndarray, q: np.ndarray, cycle: np.ndarray, context:
     return pa.RecordBatch.from_arrays(columns, ["rg", "q", "cycle", "dinuc", "errors", "total"])
 
 
-def count_reads(reads: DataFrame, least: int = LEAST_Q) -> DataFrame:
+def count_reads(reads: DataFrame, least: int = LEAST_Q, weight: str | None = None) -> DataFrame:
     """errors and total by (rg, q, cycle, dinuc) over the bases of reads, as `finest_counts` of their bases gives them.
 
     reads: rg, second, seq, qual and corrected. Bases of quality below `least` are skipped; a base whose quality is too
     low has no context. Each batch is summed to its cells before anything is shuffled. Empty and null sequences have no
-    bases; a quality string of another length, or a counted quality above the model's range, fails.
+    bases; a quality string of another length, or a counted quality above the model's range, fails. A read counts as
+    often as its column `weight`, a whole number, says (null: not at all), if one is named.
     """
 
     def count(batches):
@@ -94,10 +100,12 @@ def count_reads(reads: DataFrame, least: int = LEAST_Q) -> DataFrame:
             place, q = places(sizes), qual.astype(np.int64) - 33
             second = np.repeat(np.asarray(batch.column(1).fill_null(False)), sizes)
             error, context = _errors(seq, sizes, batch.column(4)), contexts(seq, place)
-            yield _cells(batch.column(0), sizes, q, np.where(second, -(place + 1), place), context, error, q >= least)
+            times = np.asarray(batch.column(5).fill_null(0)) if weight else None
+            yield _cells(batch.column(0), sizes, q, np.where(second, -(place + 1), place), context, error, q >= least, times)
 
     binary = lambda c: F.col(c).cast("binary").alias(c)
-    return _summed(reads.select("rg", "second", binary("seq"), binary("qual"), binary("corrected")).mapInArrow(count, _CELLS))
+    times = [F.col(weight).cast("long").alias("times")] if weight else []
+    return _summed(reads.select("rg", "second", binary("seq"), binary("qual"), binary("corrected"), *times).mapInArrow(count, _CELLS))
 
 
 def read_values(reads: DataFrame, least: int = LEAST_Q) -> DataFrame:
