@@ -6,10 +6,11 @@ more in all; hex: 16 or more lower-case hex digits.
 
 Weak candidates are parts of a multipart credential that alone say little: identifiers (short or temporary access
 ids, user and client names), secrets (short assigned values, mixed 40-character keys) and endpoints (URLs, connection
-strings). Parts meet in an interval join on bins of SCOPE code points: a part's scope is SCOPE code points around its
-start, and its partners are the parts of another role that start within it. A weak candidate is reported only if its
-partners complement it. Base spans take part as identifiers (access) and secrets (assign, hex). Weak candidates that
-overlap a base span are left to it. A scope holds a bounded number of matches, so pairs grow with the matches.
+strings). Parts meet in an interval join on bins of SCOPE code points: a part's partners are the parts of another role
+with at most SCOPE code points between the end of one and the start of the other, however long either is. A weak
+candidate is reported only if its partners complement it. Base spans take part as identifiers (access) and secrets
+(assign, hex). Weak candidates that overlap a base span are left to it. Matches of a kind do not overlap, so few parts
+are within reach of a part's start, and pairs grow with the matches.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Code points around a candidate's start.
+#: Most code points between the end of a part and the start of its partner.
 SCOPE = 160
 
 _SEPARATOR = r"""["']?\x20*[:=]\x20*["']?"""
@@ -64,13 +65,19 @@ def _kind(family: Column, m: Column) -> Column:
 
 
 def _partners(parts: DataFrame, scope: int) -> DataFrame:
-    """`parts` (row, start, rank, end, kind, role, ...; distinct) with `partners`, the parts of other roles in scope, and their `roles`; null without any."""
-    other = parts.select("row", F.floor(F.col("start") / scope).alias("bin"), F.col("role").alias("role_b"), F.struct("start", "rank", "end", "kind").alias("partner"))
-    first, last = (F.floor((F.col("start") + d) / scope) for d in (-scope, scope))
-    around = parts.withColumn("bin", F.explode(F.sequence(first, last)))
-    met = around.join(other, ["row", "bin"]).where((F.col("role") != F.col("role_b")) & F.col("partner.start").between(F.col("start") - scope, F.col("start") + scope))
+    """`parts` (row, start, rank, end, kind, role, ...; distinct) with `partners`, the parts of other roles in scope, and their `roles`; null without any.
+
+    The later of two parts starts from the earlier one's start to `scope` beyond its end, and is looked for in the bins
+    from here to there. A part covers bins by its length, so they grow with the text.
+    """
     own = ["row", "start", "rank", "end", "kind"]
-    found = met.groupBy(*own).agg(F.sort_array(F.collect_set("partner")).alias("partners"), F.collect_set("role_b").alias("roles"))
+    span = F.struct("start", "rank", "end", "kind")
+    later = parts.select("row", F.floor(F.col("start") / scope).alias("bin"), F.col("role").alias("role_b"), span.alias("b"))
+    reach = parts.select("row", "role", span.alias("a"), F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") + scope) / scope))).alias("bin"))
+    met = reach.join(later, ["row", "bin"]).where((F.col("role") != F.col("role_b")) & F.col("b.start").between(F.col("a.start"), F.col("a.end") + scope))
+    view = lambda one, other, role: F.struct(F.col(one).alias("one"), F.col(other).alias("partner"), F.col(role).alias("role_b"))
+    both = met.select("row", F.inline(F.array(view("a", "b", "role_b"), view("b", "a", "role")))).select("row", "one.*", "partner", "role_b")
+    found = both.groupBy(*own).agg(F.sort_array(F.collect_set("partner")).alias("partners"), F.collect_set("role_b").alias("roles"))
     return parts.join(found, own, "left")
 
 

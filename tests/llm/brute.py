@@ -201,7 +201,7 @@ def linked_secrets(text, scope):
     name = lambda p: f"{_KINDS[p[1]]}:{p[0]}:{p[2]}"
     spans, groups = [], []
     for p in sorted(parts):
-        with_ = sorted(o for o in parts if role[o[1]] != role[p[1]] and abs(o[0] - p[0]) <= scope)
+        with_ = sorted(o for o in parts if role[o[1]] != role[p[1]] and max(o[0] - p[2], p[0] - o[2]) <= scope)
         covered = any(o[1] < 3 and o[0] < p[2] and p[0] < o[2] for o in parts)
         if p[1] < 3 or (needs[role[p[1]]] <= {role[o[1]] for o in with_} and not covered):
             spans.append(name(p))
