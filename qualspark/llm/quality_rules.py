@@ -210,6 +210,12 @@ def verdict(rules: list[Rule], stats: Column = None) -> Column:
 
 
 def apply_quality_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """`docs` with `stats`, `rule` (see verdict; -1 if none), base_failed and kept. Rows are never dropped here."""
-    scored = with_text_stats(docs).withColumn("rule", F.coalesce(verdict(rules), F.lit(-1)))
-    return scored.withColumn("base_failed", base_failed()).withColumn("kept", F.col("rule") == -1)
+    """`docs` with `stats`, `rule` (see verdict; -1 if none), base_failed and kept. Rows are never dropped here.
+
+    Columns of `docs` with one of these names, in any case, give way; all others stay, whatever they are called.
+    """
+    own = ("stats", "rule", "base_failed", "kept")
+    names = {c: "text" if c.lower() == "text" else f"c{k}" for k, c in enumerate(docs.columns) if c.lower() not in own}
+    scored = with_text_stats(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())))
+    scored = scored.withColumn("rule", F.coalesce(verdict(rules), F.lit(-1))).withColumn("base_failed", base_failed()).withColumn("kept", F.col("rule") == -1)
+    return scored.select(*(F.col(n).alias(c) for c, n in names.items()), *own)
