@@ -1,7 +1,8 @@
 """Text to token ids inside tasks: a tokenizer of the `tokenizers` library behind bounded word caches.
 
-The tokenizer drops white space and its splitting pattern never crosses it, so a text's ids are the ids of its
-white-space-free chunks, one after the other. Chunks repeat a lot; each is encoded once and kept as packed bytes.
+Where a tokenizer drops white space and its splitting pattern never crosses it, a text's ids are the ids of its
+white-space-free chunks, one after the other. Chunks repeat a lot; each is encoded once and kept as packed bytes. A
+tokenizer that does otherwise on texts with all kinds of white space encodes whole texts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import numpy as np
 #: Entries after which a cache starts anew, so a worker's memory stays bounded.
 MOST_CHUNKS, MOST_PIECES = 1_000_000, 700_000
 
+#: White space at the ends of texts, between words, between marks and digits, and repeated.
+_PROBES = ("a b", " a", "a ", "The  cat", "the\tcat", "the\n\ncat \r\n sat", "\x0ba\x0cb", "1 2  3", "a , b !", "é ü\nß")
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: Latin-1 letters (composed, so NFC keeps them), then marks that the tokenizer keeps together; anything else goes to the tokenizer whole.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -39,6 +42,8 @@ class ChunkIds(dict):
         self._letters = _byte_letters()
         self._direct = all(self._whole(w) == self._model(w) for w in ("a", "The", "Zebra", "élévation", "ÜBERGRÖSSE", "straße", "ñçþ", "xqzjk", "!?", "."))
 
+        self._cuts = all(self._whole(t) == b"".join([self[w] for w in _CHUNK.findall(t)]) for t in _PROBES)
+
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self._dtype).tobytes()
 
@@ -74,6 +79,8 @@ class ChunkIds(dict):
         """Packed ids of a whole text; null: no ids."""
         if not text:
             return b""
+        if not self._cuts:
+            return self._whole(text)
         # str.split() also parts at U+001C..U+001F, which the tokenizer does not drop.
         odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
         return b"".join([self[w] for w in (_CHUNK.findall(text) if odd else text.split())])

@@ -18,6 +18,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from .text_ids import chunk_ids
 
 _FOOTER = struct.Struct("<8sQQQQQ")
 _MAGIC = b"TOKSHRD1"
+#: Buckets of keys in which keys and shards are joined.
+KEY_BUCKETS = 1024
 _MANIFEST = "shard int, path string, n_docs long, n_ids long, first_key long, last_key long, keys array<long>"
 
 
@@ -194,13 +197,12 @@ def spread(rows: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """Keyed access: doc_id and ids (array<long>) of each document whose doc_id is among `keys` (column doc_id).
 
-    Keys meet the shards whose key range holds them, then each is one hash probe and one range read. Keys that no
-    shard holds, and null keys, give no row; a repeated key gives its documents once for each repeat.
+    Keys meet the shards whose key range holds them in a join on buckets of keys, whose borders are quantiles of the
+    shards' first keys; then each is one hash probe and one range read. Keys that no shard holds, and null keys, give
+    no row; a repeated key gives its documents once for each repeat.
     """
 
     def probe(rows):
-        import pandas as pd
-
         for part in rows:
             for uri, own in part.groupby("path"):
                 shard = Shard(uri)
@@ -212,7 +214,16 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=["doc_id", "ids"])
 
     ranges = manifest.where("first_key is not null").select("path", "first_key", "last_key")
-    hit = keys.select(F.col("doc_id").cast("long").alias("doc_id")).join(ranges, F.col("doc_id").between(F.col("first_key"), F.col("last_key")))
+    borders = ranges.agg(F.percentile_approx("first_key", [k / KEY_BUCKETS for k in range(1, KEY_BUCKETS)], 100 * KEY_BUCKETS).alias("b")).first().b
+    borders = np.unique(np.array(borders or [], dtype=np.int64))
+
+    @F.pandas_udf("long")
+    def bucket(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(borders, key.to_numpy(np.int64), side="right"))
+
+    within = ranges.withColumn("bucket", F.explode(F.sequence(bucket("first_key"), bucket("last_key"))))
+    own = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").withColumn("bucket", bucket("doc_id"))
+    hit = own.join(within, "bucket").where(F.col("doc_id").between(F.col("first_key"), F.col("last_key")))
     return hit.select("path", "doc_id").repartition("path").mapInPandas(probe, "doc_id long, ids array<long>")
 
 
