@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, aligned, calibration, model, read_arrays, report
 from ..sources import alignments, fastq, report_file, sites
+from ..sources.bam_writer import bam_parts, write_bam
 from . import synthetic as syn
 from .queries import _A, _ACTUAL, _B, _COUNTS, ORACLE_SQL, QUERIES, _finest, _query
 from .tables import materialize, shared_dir
@@ -52,6 +53,16 @@ def sam_file(spark, sf_dir):
     return alignments.as_reads(_sam(spark, sf_dir), use_original=True).drop("rec")
 
 
+@_query(ORACLE_SQL["sam_file"].replace("cigar, chrom, pos", "cigar, coalesce(rg, '*') AS chrom, pos"))
+def bam_file(spark, sf_dir):
+    """sam_file by way of BAM files, one for each partition; a language is a contig, so that the header is short."""
+    langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang").where("lang is not null").distinct().orderBy("lang").collect()  # a handful
+    path, rows = _path(spark, "bam"), _sam(spark, sf_dir)
+    contig = F.coalesce(F.try_element_at("tags", F.lit("RG")), F.lit("*"))
+    write_bam(rows.withColumn("rname", contig).withColumn("pnext", F.greatest("pnext", F.lit(-1))), path, "".join(f"@SQ\tSN:{x['lang']}\tLN:{(1 << 31) - 1}\n" for x in langs))
+    return alignments.as_reads(alignments.read_bam(spark, bam_parts(path)), use_original=True).drop("rec")
+
+
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read groups of a header that has one for each language."""
     langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang").where("lang is not null").distinct().coalesce(1).orderBy("lang")

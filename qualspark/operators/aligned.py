@@ -54,7 +54,8 @@ def alignment_report(reads: DataFrame, bins: DataFrame) -> dict[str, DataFrame]:
 def model_of_report(tables: dict[str, DataFrame]) -> Model:
     """The model that a report's counts make; mean qualities stay fractions."""
     counts = counts_from_report(tables)
-    return model_of_counts(counts["rg"], counts["q"], counts["cycle"], counts["dinuc"])
+    by_q = (counts[k].withColumn("q", F.col("q").cast("int")) for k in ("q", "cycle", "dinuc"))  # a file's numbers are long
+    return model_of_counts(counts["rg"], *by_q)
 
 
 def recalibrate_alignments(reads: DataFrame, model: Model) -> DataFrame:

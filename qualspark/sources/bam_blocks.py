@@ -165,6 +165,9 @@ def find_records(path: str, k: int, start: int, stop: int) -> tuple[int, int, in
             found = _ended(source, raw, after, size, at, len(header.names))
             if found:
                 return at, len(raw), found[1] - len(raw), found[0]
+            if k == 0:
+                # A record that no rule allows: the file is read from the start by lengths alone.
+                return at, len(raw), 0, -1
         # A header or a record that is longer than the range.
         return (header.length if k == 0 else len(raw)), len(raw), max(header.length - len(raw), 0) if k == 0 else 0, 0
 
@@ -210,7 +213,7 @@ def found_ranges(spark: SparkSession, paths: list[str], range_bytes: int = RANGE
     # Bytes from the file's beginning: where the last record so far ends, and where a range's content and first record begin.
     begun = rows.withColumn("at", F.coalesce(F.sum("total").over(before), F.lit(0)))
     ended = begun.withColumn("due", F.max(F.col("at") + F.col("total") + F.col("over")).over(before))
-    fine = F.col("due").isNull() | (F.col("n") == 0) & (F.col("due") >= F.col("at") + F.col("total")) | (F.col("n") > 0) & (F.col("due") == F.col("at") + F.col("first"))
+    fine = F.col("due").isNull() & (F.col("n") >= 0) | (F.col("n") == 0) & (F.col("due") >= F.col("at") + F.col("total")) | (F.col("n") > 0) & (F.col("due") == F.col("at") + F.col("first"))
     judged = ended.withColumn("rec", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("bad", F.max((~fine).cast("int")).over(Window.partitionBy("path")))
     good = judged.where("bad = 0 and n > 0").select("path", "k", "start", "stop", "first", "rec", "n")
     whole = judged.where("bad = 1").groupBy("path").agg(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("start"), F.max("stop").alias("stop"), F.lit(-1).cast("long").alias("first"), F.lit(0).cast("long").alias("rec"), F.lit(-1).cast("long").alias("n"))

@@ -82,6 +82,19 @@ def test_a_wrong_guess_is_noticed(spark, stored, monkeypatch):
     assert alignments.read_bam(spark, [path], 30_000).count() == 1500
 
 
+def test_unsound_records_are_read_by_lengths(spark, tmp_path):
+    """A position below -1 is no reason to lose a file's records, the first one's or a later one's."""
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 2) + b"".join(struct.pack("<i", 4) + n + b"\0" + struct.pack("<i", 20000) for n in (b"one", b"two"))
+    r = random.Random(2)
+    made = [record(r, k)[0] for k in range(60)]
+    for at in (0, 40):
+        odd = [x if k != at else x[:8] + struct.pack("<i", -7) + x[12:] for k, x in enumerate(made)]
+        (tmp_path / f"{at}.bam").write_bytes(b"".join(block(x) for x in [head, *odd, b""]))
+        for size in (1 << 30, 3_000):
+            got = alignments.read_bam(spark, [f"file://{tmp_path}/{at}.bam"], size).orderBy("rec").collect()
+            assert [x.qname for x in got] == [f"read{k}" for k in range(60)] and got[at].pos == -7
+
+
 def test_bam_read_groups(spark, stored):
     assert [tuple(x) for x in alignments.bam_read_groups(spark, f"file://{stored}/a.bam").collect()] == [("group", "unit", 0), ("other", "unit2", 1)]
 
