@@ -14,10 +14,11 @@ Shingles move between tasks as packed runs, one entry for each chunk of document
 of the chunk hold it: a shingle that a third of all documents hold is as many entries as there are chunks.
 
 Identical sets are one node. To emit no square of a family's size, nodes are first verified against one hub for each
-posted shingle, in rounds, with the hub of the largest component from the second on. Then the lists are joined in
-full, without pairs that already are in one component, whose sizes differ too much, or whose bitmaps (parities of
-hashed shingles) prove too many differences; all of these are tested inside the join. Intersections are counted on
-whole sets. No cap on partners, lists or candidates.
+posted shingle, in rounds, with the hub of the largest component from the second on. Then, on each list, the nodes
+outside its largest component meet all others of the list, without pairs that already are in one component, whose sizes
+differ too much, or whose bitmaps (parities of hashed shingles) prove too many differences; all of these are tested
+inside the join. A family that is one component is never compared with itself. Intersections are counted on whole sets.
+No cap on partners, lists or candidates; keys with many rows are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ CHUNK_SHINGLES, CHUNK_DOCS = 1 << 20, 60_000
 ROUNDS, FEW = 6, 0.05
 #: Longs in a node's bitmap.
 BITMAP = 8
+#: Rows of one key that meet a hub or a set in one task, and rows a side of a list that meet in one; more are dealt in parts.
+HOT, LIST = 50_000, 4_000
+#: Bytes of text for each range of shingles at least; there are as many ranges as partitions, or more if texts are many.
+RANGE_TEXT = 64 << 20
 _SHARED = 0xFFFF
 _MIX = np.uint64(0x9FB21C651E98DF25)
 
@@ -100,21 +105,36 @@ class _Chunk:
 
 
 def _ranges(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Ranges of shingles: what a task holds of one is bounded whatever the texts' number."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_TEXT)
+
+
+def _dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """`left` joined with `right`, a row for each `key`. Rows of the keys that `hot` (key, deals) names are dealt by `by`."""
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot = sized_broadcast(hot, BROADCAST_ROWS)
+    dealt = left.join(hot, key, "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64(by), "deals"), F.lit(0))).drop("deals")
+    copies = right.join(hot, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    return dealt.join(copies, [key, "deal"]).drop("deal")
+
+
+def _deals(rows: str, most: int) -> Column:
+    return F.ceil(F.col(rows) / most).cast("long")
 
 
 def _joined(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
-def shingle_windows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def shingle_windows(docs: DataFrame, width: int, num: int, den: int, ranges: int) -> DataFrame:
     """Screening windows, two kinds of rows.
 
     Of documents (range null): doc_id, mark (hash of the text), n_shingles, node (null for an empty set), chunk, number
     in the chunk, met (window shingles that other sets of the chunk hold; null for copies in the chunk).
     Of runs: range, chunk, tokens (u64), docs (u16: number, or _SHARED if several of the chunk hold the shingle).
     """
-    ranges = _ranges(docs)
     kinds = [("doc_id", "long"), ("mark", "long"), ("n_shingles", "long"), ("node", "long"), ("number", "int"), ("met", "int")]
 
     def sets(batches):
@@ -195,13 +215,12 @@ def _screened(windows: DataFrame, num: int, den: int) -> DataFrame:
     return alike.groupBy("node").agg(F.min(F.struct("doc_id", "mark", "n")).alias("rep"), F.max("may").alias("may")).where("may").select("node", "rep.doc_id", "rep.mark", (F.col("rep.n") > 1).alias("again"))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int, ranges: int) -> DataFrame:
     """Whole sets of the `wanted` nodes, two kinds of rows.
 
     Of nodes (range null): node, chunk, n, own (shingles, u64), bits (the bitmap). Of runs: range, chunk, tokens (u64),
     held (u16: documents of the chunk that hold each).
     """
-    ranges = _ranges(docs)
 
     def sets(batches):
         import pyarrow as pa
@@ -301,10 +320,14 @@ def _posts(nodes: DataFrame, often: DataFrame, num: int, den: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of `pairs` (a, b: nodes) whose whole sets reach the threshold, written out."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
+    pairs = materialize(pairs, "jaccard-pairs")
+    often = lambda c: pairs.groupBy(c).count().where(F.col("count") > HOT).select(c, _deals("count", HOT).alias("deals"))
+    left = _dealt_join(pairs, sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a", often("a"), "b")
+    both = _dealt_join(left, sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b", often("b"), "a")
     met = both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("met"), (F.size("own_a").cast("long") + F.size("own_b")).alias("total"))
-    return materialize(met.where(F.col("met") * den >= (F.col("total") - F.col("met")) * num).select("a", "b"), "jaccard-links")
+    links = materialize(met.where(F.col("met") * den >= (F.col("total") - F.col("met")) * num).select("a", "b"), "jaccard-links")
+    discard(pairs)
+    return links
 
 
 def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -335,6 +358,28 @@ def _may_link(num: int, den: int) -> Column:
     return (F.col("part") != F.col("part_b")) & (n * den >= m * num) & (m * den >= n * num) & (n + m - 2 * met >= apart)
 
 
+def _across(labelled: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of different components whose lists meet as often as the less demanding of the two asks, a < b.
+
+    Of two nodes in different components at least one is outside the largest component of a list that holds both, so
+    those outside meet all. A long list is cut into blocks of its outsiders and of all, and each pair of blocks meets.
+    """
+    by_part = labelled.groupBy("token", "part").agg(F.count("*").alias("c"))
+    lists = by_part.groupBy("token").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("posts"), F.count("*").alias("parts")).where("parts > 1")
+    lists = lists.select("token", F.col("top.part").alias("top"), "posts", (F.col("posts") - F.col("top.c")).alias("others"))
+    crowd = materialize(labelled.join(lists, "token"), "jaccard-lists")
+    # Rows of the outsiders' block i and of the block j of all meet in (i, j).
+    all_of = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
+    i, j = _deals("others", LIST), _deals("posts", LIST)
+    outside = crowd.where("part <> top").withColumn("i", own(i)).withColumn("j", F.explode(all_of(j))).drop("posts", "others", "parts", "top")
+    everyone = crowd.withColumn("j", own(j)).withColumn("i", F.explode(all_of(i))).select("token", "i", "j", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "part", "bits", "matches", "top")))
+    once = (F.col("part_b") == F.col("top_b")) | (F.col("node") < F.col("node_b"))
+    met = outside.join(everyone, ["token", "i", "j"]).where(once & _may_link(num, den))
+    met = met.groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("matches", "matches_b")).alias("least"))
+    return met.where("met >= least").select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Link documents whose shingle sets have den * |intersection| >= num * |union|.
 
@@ -344,24 +389,25 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     of their own, each with the component of its text. Rows with a null doc_id link as others do, but a null is no
     component id unless a component has nothing else.
     """
-    windows = materialize(shingle_windows(docs, width, num, den), "jaccard-windows")
+    ranges = _ranges(docs)
+    windows = materialize(shingle_windows(docs, width, num, den, ranges), "jaccard-windows")
     wanted = materialize(_screened(windows, num, den), "jaccard-screened")
     rows = materialize(windows.where("range is null").select("doc_id", "mark", "n_shingles", "node"), "jaccard-rows")
     discard(windows)
-    whole = materialize(_whole_sets(docs, wanted, width), "jaccard-sets")
+    whole = materialize(_whole_sets(docs, wanted, width, ranges), "jaccard-sets")
     sets, runs = whole.where("range is null"), whole.where("range is not null")
     posts = materialize(_posts(sets, _frequencies(runs), num, den), "jaccard-posts")
 
-    other = lambda of, *columns: of.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "part", "bits", *columns)))
     parts, first = None, 0
     for k in range(ROUNDS):
         labelled = _labelled(posts, parts)
         # Of the largest component on each list, one node drawn for this list and round: a node meets many hubs of its family.
         drawn = F.min_by(F.struct("node", "n", "part", "bits"), F.xxhash64("node", "token", F.lit(k)))
         by_part = labelled.groupBy("token", "part").agg(F.count("*").alias("c"), drawn.alias("h"))
-        hubs = by_part.groupBy("token").agg(F.max_by("h", F.struct("c", F.xxhash64("part", "token"))).alias("h"), F.count("*").alias("parts")).where("parts > 1")
-        hubs = materialize(hubs.select("token", "h.*"), "jaccard-hubs")
-        found = labelled.join(other(hubs), "token").where(_may_link(num, den)).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+        hubs = by_part.groupBy("token").agg(F.max_by("h", F.struct("c", F.xxhash64("part", "token"))).alias("h"), F.count("*").alias("parts"), F.sum("c").alias("posts")).where("parts > 1")
+        hubs = materialize(hubs.select("token", *(F.col(f"h.{c}").alias(f"{c}_b") for c in ("node", "n", "part", "bits")), "posts"), "jaccard-hubs")
+        hot = hubs.where(F.col("posts") > HOT).select("token", _deals("posts", HOT).alias("deals"))
+        found = _dealt_join(labelled, hubs.drop("posts"), "token", hot, "node").where(_may_link(num, den)).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
         links = _verified(found, sets, num, den)
         discard(hubs)
         n = links.count()
@@ -373,9 +419,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
 
     # Exact rest: the lists in full, across components only.
     labelled = materialize(_labelled(posts, parts), "jaccard-labelled")
-    met = labelled.join(other(labelled, "matches"), "token").where((F.col("node") < F.col("node_b")) & _may_link(num, den))
-    met = met.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("matches", "matches_b")).alias("least"))
-    links = _verified(met.where("met >= least").select("a", "b"), sets, num, den)
+    links = _verified(_across(labelled, num, den), sets, num, den)
     if not links.isEmpty():
         parts = _merged(parts, links)
     discard(labelled, posts, whole, wanted)

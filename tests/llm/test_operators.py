@@ -147,8 +147,12 @@ def test_jaccard_links_near_copies_without_ids(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(4, 4), (None, 4), (6, 6)}
 
 
-def test_jaccard_families(spark):
-    """Families of near copies, a passage in many texts, and chains of links, against all pairs."""
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_families(spark, monkeypatch, small):
+    """Families of near copies, a passage in many texts, and chains of links, against all pairs; also with every hub, set and list dealt."""
+    if small:
+        for name, value in (("HOT", 7), ("LIST", 5), ("RANGE_TEXT", 4000), ("ROUNDS", 1)):
+            monkeypatch.setattr(jaccard_join, name, value)
     r, rows = random.Random(4), []
     base, passage = words(120, 1, 3000).split(), words(60, 2, 3000)
     for _ in range(130):
@@ -169,6 +173,18 @@ def test_jaccard_families(spark):
         assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
 
 
+def test_jaccard_lists_meet_across_components_only(spark, monkeypatch):
+    """A list of one component opens nothing; every pair of different components on a list meets once in each shared list."""
+    monkeypatch.setattr(jaccard_join, "LIST", 3)
+    r = random.Random(5)
+    bits = [0] * jaccard_join.BITMAP
+    posts = [(t, node, 10, node % parts, bits, 1) for t, parts in ((1, 1), (2, 2), (3, 5), (4, 17)) for node in r.sample(range(100), 17)]
+    want = {(min(a, b), max(a, b)) for t, a, _, pa, *_ in posts for u, b, _, pb, *_ in posts if t == u and pa != pb}
+    labelled = spark.createDataFrame(posts, "token long, node long, n int, part long, bits array<long>, matches int")
+    got = [tuple(x) for x in jaccard_join._across(labelled, 85, 100).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 140)] + [(200, 200), (7, 3), (7, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
