@@ -43,7 +43,8 @@ def aligned_counts(reads: DataFrame, bins: DataFrame) -> DataFrame:
     Low qualities, N, soft clips, adaptor and excluded sites are skipped; covariates are those of the aligned part. What
     is skipped is found per read, and whole batches of reads are summed to their cells.
     """
-    return count_aligned(with_trim(flag_reads(reads, bins)))
+    held = reads.select("rec", "rg", "second", "reverse", "seq", "qual", "chrom", "pos", "cigar", "boundary", "aln_start", "aln_end")
+    return count_aligned(with_trim(flag_reads(held, bins)))
 
 
 def alignment_report(reads: DataFrame, bins: DataFrame) -> dict[str, DataFrame]:
