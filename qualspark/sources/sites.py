@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..jobs.tables import materialize
+from ..operators.align import BIN
 
 
 def read_fasta(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
@@ -72,8 +73,18 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bed_positions(bed: DataFrame) -> DataFrame:
-    """Distinct (chrom, pos) inside the intervals."""
-    return bed.where("end > start").select("chrom", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).distinct()
+    """Distinct (chrom, pos) inside the intervals.
+
+    Intervals are cut at the borders of bins and give up what those before them in their bin cover, so no position is
+    made twice and none is shuffled.
+    """
+    bins = F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))
+    cut = bed.where("end > start").select("chrom", "start", "end", F.explode(bins).alias("bin"))
+    low, high = F.greatest("start", F.col("bin") * BIN).cast("int"), F.least("end", (F.col("bin") + 1) * BIN).cast("int")
+    spans = cut.select("chrom", "bin", low.alias("start"), high.alias("end")).groupBy("chrom", "bin", "start").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("chrom", "bin").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    own = spans.select("chrom", F.greatest("start", F.max("end").over(before)).alias("start"), "end").where("end > start")
+    return own.select("chrom", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
 
 
 def read_calibration(spark: SparkSession, path: str | list[str]) -> DataFrame:
