@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phred import p_to_q
+from ..jobs.tables import materialize
 
 
 def regression_qualities(by_q: DataFrame, strength: float = 1.0) -> DataFrame:
@@ -16,7 +17,8 @@ def regression_qualities(by_q: DataFrame, strength: float = 1.0) -> DataFrame:
 
     by_q: q, errors, total. `strength` is the inverse of the ridge penalty, as for a sum of losses over all bases.
     """
-    counts = by_q.groupBy("q").agg(F.sum("errors").alias("e"), F.sum("total").alias("n"))
+    # A row per quality, written out, as every step of the fit reads it.
+    counts = materialize(by_q.groupBy("q").agg(F.sum("errors").alias("e"), F.sum("total").alias("n")), "regression-counts")
     split = counts.select("q", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("e").cast("double").alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("e")).cast("double").alias("w")))).alias("x")).select("q", "x.*").where("w > 0")
     points = VectorAssembler(inputCols=["q"], outputCol="features").transform(split)
     total = split.agg(F.sum("w")).collect()[0][0] or 1.0
