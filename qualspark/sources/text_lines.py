@@ -19,4 +19,5 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     counts = lines.groupBy("file", "part").agg(F.min("at").alias("least"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("file", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("shift"))
-    return lines.join(starts, ["file", "part"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+    # A row per piece of a file: sent to the lines, which stay where they are.
+    return lines.join(F.broadcast(starts), ["file", "part"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
