@@ -40,9 +40,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
     before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    stepped = own.select("*", level.alias("level"))
-    # The first source in this order that its level leaves below its cap sets the level for all.
-    free = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "level"))).over(everything)
+    stepped = own.select("*", level.alias("level"), F.row_number().over(by_cap).alias("at"))
+    # The first source in this order that its level leaves below its cap sets the level for all: by its place, as several may
+    # have the same cap / weight, and the levels of the others there take the first one for capped.
+    free = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("at", "level"))).over(everything)
     return stepped.select("source", "source_size", F.when(free.isNull(), F.col("cap")).otherwise(F.least("cap", free["level"] * F.col("w"))).alias("target"))
 
 
